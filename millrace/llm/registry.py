@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.quality_rules import op4_quality_rules
+from millrace.llm.secrets import op2_secret_scan
 from millrace.llm.url_filter import op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
 }
 
