@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.chat_format import op8_chat_format
+from millrace.llm.mixing import op6_mixing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op2_secret_scan
 from millrace.llm.url_filter import op1_url_filter
@@ -14,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op8_chat_format": op8_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}
