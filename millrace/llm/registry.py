@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat_format import op8_chat_format
+from millrace.llm.html_extract import op3_html_extract
 from millrace.llm.mixing import op6_mixing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op2_secret_scan
@@ -15,6 +16,7 @@ from millrace.llm.url_filter import op1_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_extract": op3_html_extract,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op8_chat_format": op8_chat_format,
