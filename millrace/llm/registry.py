@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.chat_format import op8_chat_format
 from millrace.llm.html_extract import op3_html_extract
 from millrace.llm.mixing import op6_mixing
+from millrace.llm.quality_classifier import op10_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op2_secret_scan
 from millrace.llm.url_filter import op1_url_filter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op8_chat_format": op8_chat_format,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
