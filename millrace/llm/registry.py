@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat_format import op8_chat_format
 from millrace.llm.html_extract import op3_html_extract
+from millrace.llm.jaccard_join import op5_ngram_jaccard
 from millrace.llm.mixing import op6_mixing
 from millrace.llm.quality_classifier import op10_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_html_extract": op3_html_extract,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_mixing": op6_mixing,
     "op8_chat_format": op8_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
