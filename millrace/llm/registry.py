@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat_format import op8_chat_format
+from millrace.llm.decontaminate import op7_decontaminate
 from millrace.llm.html_extract import op3_html_extract
 from millrace.llm.jaccard_join import op5_ngram_jaccard
 from millrace.llm.mixing import op6_mixing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
 }
