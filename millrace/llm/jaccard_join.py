@@ -122,15 +122,16 @@ def _size_class(n: int, percent: int) -> int:
     return int(np.log(n) / np.log(100 / percent) + 1e-9)
 
 
-def prefix_signatures(s: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set, and for each the overlap that is still possible.
+def prefix_signatures(s: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set, the overlap each still leaves possible, and how many
+    of them (the first ones) are of the rare class.
 
     The second number supposes that the signature is the first thing that two
     sets share: the shingles before it are then lost to both.
     """
     n = len(s)
     least = -(-percent * n // 100)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     if least == n and n * 100 // percent == n:
         return none  # Only equal sets are similar enough.
     order = np.lexsort((s, counts))
@@ -152,29 +153,33 @@ def prefix_signatures(s: np.ndarray, counts: np.ndarray, frequent: int, percent:
             i, j = np.triu_indices(len(tail), 1)
             sigs += [mix(mix(tail[i] * _PAIR + mix(tail[j])) + c) for c in classes]
             room += [n - rare - j + 1] * 2
-    return np.concatenate(sigs), np.concatenate(room)
+    return np.concatenate(sigs), np.concatenate(room), len(singles)
 
 
 def _signatures(size: int, percent: int, counters, frequent: int):
+    """Signatures of the distinct sets of each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mask = WordHashes(), np.uint64((1 << COUNTER_BITS) - 1)
-        table = counters.value
+        table, seen = counters.value, set()
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
             sig, room = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            rare = np.concatenate([np.arange(len(p[0])) < p[2] for p in parts])
             reps = [len(p[0]) for p in parts]
-            columns = [sig.view(np.int64), np.repeat(np.array([p[2] for p in parts], np.int64), reps), np.repeat(np.array([p[3] for p in parts], np.int32), reps), room.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "fp", "n", "room"])
+            columns = [sig.view(np.int64), np.repeat(np.array([p[3] for p in parts], np.int64), reps), np.repeat(np.array([p[4] for p in parts], np.int32), reps), room.astype(np.int32), rare]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "fp", "n", "room", "rare"])
 
         for batch in batches:
             parts, held = [], 0
             for raw in batch.column("raw").to_pylist():
                 s = shingle_set(raw, size, hashes)
-                if not len(s):
+                if not len(s) or (print_ := _fingerprint(s)) in seen:
                     continue
-                sig, room = prefix_signatures(s, table[s & mask], frequent, percent)
+                seen.add(print_)
+                sig, room, rare = prefix_signatures(s, table[s & mask], frequent, percent)
                 if len(sig):
-                    parts.append((sig, room, _fingerprint(s), len(s)))
+                    parts.append((sig, room, rare, print_, len(s)))
                     held += len(sig)
                 if held > 200_000:
                     yield out(parts)
@@ -185,6 +190,29 @@ def _signatures(size: int, percent: int, counters, frequent: int):
     return run
 
 
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature, those whose signature several sets have."""
+    rest = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        sig = held.column("sig").to_numpy()
+        last = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
+        rest = held.slice(last)
+        yield from _of_several(held.slice(0, last))
+    if rest is not None:
+        yield from _of_several(rest)
+
+
+def _of_several(rows: pa.Table) -> list[pa.RecordBatch]:
+    if not len(rows):
+        return []
+    sig, fp = rows.column("sig").to_numpy(), rows.column("fp").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sizes = np.diff(np.append(first, len(sig)))
+    several = np.logical_or.reduceat(fp != np.repeat(fp[first], sizes), first)
+    return rows.filter(pa.array(np.repeat(several, sizes))).to_batches()
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -237,22 +265,26 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     members = described.where("doc_id IS NOT NULL")
     nodes = stored(members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
 
-    signatures = source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int")
+    # A rare signature is in a bounded number of sets: one sorted pass leaves those
+    # that several share. A frequent one may be in a third of all sets and is only
+    # ever aggregated and joined.
+    signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, rare boolean"), "jaccard-signatures")
+    rare = signatures.where("rare").drop("rare").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only, "sig long, fp long, n int, room int")
+    met = stored(rare.unionByName(signatures.where("NOT rare").drop("rare")), "jaccard-met")
     # The best-placed set of a signature has lost the least before it.
-    best = signatures.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct((F.col("n") - F.col("room")).alias("lost"), "n", "fp", "room")).alias("p")).where("rows > 1").select("sig", "rows", F.struct("p.fp", "p.n", "p.room").alias("p"))
-    # Copies of one set repeat its rows; a signature of one set alone has no pairs.
-    postings = signatures.join(best, "sig").groupBy("sig", "fp").agg(F.min("n").alias("n"), F.max("room").alias("room"), F.first("p").alias("p"), F.first("rows").alias("rows"))
+    best = met.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"), F.min(F.struct((F.col("n") - F.col("room")).alias("lost"), "n", "fp", "room")).alias("p")).where("low <> high").select("sig", "rows", F.struct("p.fp", "p.n", "p.room").alias("p"))
+    postings = met.distinct().join(best, "sig")
     # What meets neither by size nor by position with the best may still meet others.
     postings = stored(postings.select("sig", "rows", F.struct("fp", "n", "room").alias("m"), "p"), "jaccard-postings")
     apart = postings.where(F.col("m.fp") != F.col("p.fp"))
     stars = stored(_pairs(apart.where(_may_link("m", "p", percent)).select(F.col("m.fp").alias("a"), F.col("p.fp").alias("b"))), "jaccard-stars")
 
-    wanted = postings.join(apart.select("sig").distinct(), "sig", "left_semi").select(F.col("m.fp").alias("fp")).distinct().join(nodes, "fp")
-    owners = source.join(wanted.select("fp", F.col("node").alias("doc_id")), "doc_id")
-    sets = stored(owners.dropDuplicates(["fp"]).select("fp", "raw").mapInArrow(_sets(size), "fp long, shingles binary"), "jaccard-sets")
-
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The verified pairs, as links between nodes."""
+        wanted = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes, "fp").select("fp", F.col("node").alias("doc_id")), f"{name}-wanted")
+        # Up to a million ids (16 MB) go to the texts; beyond, both sides are shuffled.
+        ids = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
+        sets = stored(source.join(ids, "doc_id").select("fp", "raw").mapInArrow(_sets(size), "fp long, shingles binary").dropDuplicates(["fp"]), f"{name}-sets")
         x = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
         true = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
