@@ -296,7 +296,11 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     labels = components(first, "jaccard-components1")
     roots = nodes.join(labels, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     labelled = postings.join(roots.withColumnRenamed("fp", "_fp"), F.col("m.fp") == F.col("_fp")).drop("_fp")
-    split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high AND sets > 2").select("sig", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
+    # A set goes on if its place leaves it a link with the least set it may meet.
+    smallest = labelled.groupBy("sig").agg(F.min("m.n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("m.n") * percent / 100))
+    labelled = labelled.join(smallest, "sig").where((100 + percent) * F.col("m.room") >= percent * (F.col("m.n") + partner)).drop("least")
+    split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("sig", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
     # Block i of a signature meets block j once, in the cell (min, max).
     mine = F.pmod(F.xxhash64("m.fp"), F.col("blocks")).cast("int")
     spread = labelled.join(split, "sig").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
