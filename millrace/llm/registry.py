@@ -10,6 +10,7 @@ from millrace.llm.chat_format import op8_chat_format
 from millrace.llm.decontaminate import op7_decontaminate
 from millrace.llm.html_extract import op3_html_extract
 from millrace.llm.jaccard_join import op5_ngram_jaccard
+from millrace.llm.katz import op9_katz_score
 from millrace.llm.mixing import op6_mixing
 from millrace.llm.quality_classifier import op10_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
+    "op9_katz_score": op9_katz_score,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
