@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.text import WordHashes, mix, texts, windows
-from millrace.llm.work import stored
+from millrace.llm.work import stored, without
 
 COUNTER_BITS = 22
 SLICES = 64
@@ -190,27 +190,45 @@ def _signatures(size: int, percent: int, counters, frequent: int):
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, those whose signature several sets have."""
-    rest = None
-    for batch in batches:
-        held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        sig = held.column("sig").to_numpy()
-        last = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
-        rest = held.slice(last)
-        yield from _of_several(held.slice(0, last))
-    if rest is not None:
-        yield from _of_several(rest)
-
-
-def _of_several(rows: pa.Table) -> list[pa.RecordBatch]:
-    if not len(rows):
-        return []
-    sig, fp = rows.column("sig").to_numpy(), rows.column("fp").to_numpy()
+def _shared_only(percent: int):
+    """Of rows sorted by signature, those that may link with another of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            sig = held.column("sig").to_numpy()
+            last = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
+            rest = held.slice(last)
+            yield from held.slice(0, last).filter(pa.array(_with_partner(held.slice(0, last), percent))).to_batches()
+        if rest is not None:
+            yield from rest.filter(pa.array(_with_partner(rest, percent))).to_batches()
+
+    return run
+
+
+def _with_partner(rows: pa.Table, percent: int) -> np.ndarray:
+    """Marks rows that size and position let link with a row of the same signature."""
+    sig, fp, n, room = (rows.column(c).to_numpy().astype(np.int64) for c in ("sig", "fp", "n", "room"))
+    keep = np.zeros(len(sig), bool)
+    if not len(sig):
+        return keep
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(first, len(sig)))
-    several = np.logical_or.reduceat(fp != np.repeat(fp[first], sizes), first)
-    return rows.filter(pa.array(np.repeat(several, sizes))).to_batches()
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        return near & ((100 + percent) * np.minimum(room[x], room[y]) >= percent * (n[x] + n[y])) & (fp[x] != fp[y])
+
+    two = first[sizes == 2]
+    both = may(two, two + 1)
+    keep[two[both]] = keep[two[both] + 1] = True
+    for start, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        # Copies of one set, from different tasks, count once.
+        group = start + np.unique(fp[start : start + size], return_index=True)[1]
+        for x in np.array_split(group, -(-len(group) // 256)):
+            keep[x] = may(x[:, None], group[None, :]).any(axis=1)
+    return keep
 
 
 def _sets(size: int):
@@ -269,7 +287,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     # that several share. A frequent one may be in a third of all sets and is only
     # ever aggregated and joined.
     signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, rare boolean"), "jaccard-signatures")
-    rare = signatures.where("rare").drop("rare").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only, "sig long, fp long, n int, room int")
+    rare = signatures.where("rare").drop("rare").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
     met = stored(rare.unionByName(signatures.where("NOT rare").drop("rare")), "jaccard-met")
     # The best-placed set of a signature has lost the least before it.
     best = met.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"), F.min(F.struct((F.col("n") - F.col("room")).alias("lost"), "n", "fp", "room")).alias("p")).where("low <> high").select("sig", "rows", F.struct("p.fp", "p.n", "p.room").alias("p"))
@@ -323,8 +341,7 @@ def keep_one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     Of equal rows that repeat a doc_id, one stays.
     """
     linked = link_similar(docs, size, percent)
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, linked.where("component_id <> doc_id"), "jaccard-gone")
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.take(1):
         return kept

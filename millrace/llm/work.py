@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str, broadcast_upto: int = 1_000_000) -> DataFrame:
+    """`docs` without the doc_ids in `gone` (a null doc_id equals a null).
+
+    Up to `broadcast_upto` ids (8 MB) are counted and then sent to the texts;
+    beyond that both sides are shuffled.
+    """
+    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), name)
+    ids = F.broadcast(gone) if gone.count() <= broadcast_upto else gone
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(*docs.columns)
