@@ -53,6 +53,16 @@ def shingle_set(raw: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(hashes.of(raw.lower().split()), size))
 
 
+#: Longs in a set's bitmap: each shingle flips one bit, so two bitmaps differ in
+#: no more bits than the sets in shingles.
+BITMAP = 8
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    flipped = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(flipped.astype(np.uint8)).view(np.int64)
+
+
 def _fingerprint(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
@@ -64,7 +74,7 @@ def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mask = WordHashes(), np.uint64((1 << COUNTER_BITS) - 1)
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
-        names = ["doc_id", "n", "fp", "slice", "counts"]
+        names = ["doc_id", "n", "fp", "bits", "slice", "counts"]
         waiting, held = [], 0
 
         def add() -> None:
@@ -73,24 +83,25 @@ def _describe(size: int):
                 waiting.clear()
 
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, bits = [], [], []
             for raw in batch.column("raw").to_pylist():
                 s = shingle_set(raw, size, hashes)
                 sizes.append(len(s))
                 prints.append(_fingerprint(s))
+                bits.append(_bitmap(s))
                 waiting.append((s & mask).astype(np.int64))
                 held += len(s)
                 if held > 2_000_000:
                     add()
                     held = 0
             none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         add()
         if counters.any():
             packer = zstandard.ZstdCompressor(level=1)
             parts = [packer.compress(p.tobytes()) for p in counters.reshape(SLICES, -1)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -236,7 +247,7 @@ def _sets(size: int):
         hashes = WordHashes()
         for batch in batches:
             blobs = [shingle_set(raw, size, hashes).tobytes() for raw in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(blobs, pa.binary())], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
@@ -250,7 +261,7 @@ def _verify(percent: int):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
     return run
 
@@ -274,14 +285,14 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     """
     spark = docs.sparkSession
     source = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = stored(source.mapInArrow(_describe(size), "doc_id long, n long, fp long, slice int, counts binary"), "jaccard-documents")
+    described = stored(source.mapInArrow(_describe(size), "doc_id long, n long, fp long, bits array<long>, slice int, counts binary"), "jaccard-documents")
     counters = _counters(described)
     mean = counters.sum(dtype=np.int64) / len(counters)
     frequent = int(mean + 6 * mean**0.5 + 32)
     shared = spark.sparkContext.broadcast(counters)
     del counters
     members = described.where("doc_id IS NOT NULL")
-    nodes = stored(members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
+    nodes = stored(members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes")
 
     # A rare signature is in a bounded number of sets: one sorted pass leaves those
     # that several share. A frequent one may be in a third of all sets and is only
@@ -298,17 +309,23 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     stars = stored(_pairs(apart.where(_may_link("m", "p", percent)).select(F.col("m.fp").alias("a"), F.col("p.fp").alias("b"))), "jaccard-stars")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The verified pairs, as links between nodes."""
-        wanted = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes, "fp").select("fp", F.col("node").alias("doc_id")), f"{name}-wanted")
+        """The verified pairs, as links between nodes.
+
+        Pairs whose bitmaps differ too much cannot be similar; the others' sets
+        are fetched and compared whole.
+        """
+        end = lambda x, y: nodes.select(F.col("fp").alias(x), F.col("node").alias(y), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"bits{y}"))
+        differ = F.aggregate(F.zip_with("bitsu", "bitsv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+        near = pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").where((100 + percent) * differ <= (100 - percent) * (F.col("nu") + F.col("nv")))
+        near = stored(near.select("u", "v"), f"{name}-near")
+        wanted = stored(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), f"{name}-wanted")
         # Up to a million ids (16 MB) go to the texts; beyond, both sides are shuffled.
         ids = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-        sets = stored(source.join(ids, "doc_id").select("fp", "raw").mapInArrow(_sets(size), "fp long, shingles binary").dropDuplicates(["fp"]), f"{name}-sets")
-        x = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-        true = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
-        u = nodes.select(F.col("fp").alias("a"), F.col("node").alias("u"))
-        v = nodes.select(F.col("fp").alias("b"), F.col("node").alias("v"))
-        return stored(true.join(u, "a").join(v, "b").select("u", "v"), name)
+        sets = stored(source.join(ids, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"), f"{name}-sets")
+        x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
+        y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
+        true = near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long")
+        return stored(true, name)
 
     first = links(stars, "jaccard-links1")
     labels = components(first, "jaccard-components1")
