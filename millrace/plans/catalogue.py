@@ -295,22 +295,22 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.edge_events(_ticks(spark, sf_dir), ["user_id"], "at", ["at", "event_id"], cooldown=43_200_000)
 
 
-@query(f"WITH {TICKS} SELECT user_id, event_id, "at", kind, held_ms, suppressed FROM ev")
+@query(f"""WITH {TICKS} SELECT user_id, event_id, "at", kind, held_ms, suppressed FROM ev""")
 def threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir)
 
 
-@query(f"WITH {TICKS} SELECT user_id, max("at") AS since FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'")
+@query(f"""WITH {TICKS} SELECT user_id, max("at") AS since FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'""")
 def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.live_state(_log(spark, sf_dir), ["user_id"], "at")
 
 
-@query(f"WITH {TICKS} SELECT user_id, count(*) FILTER (kind = 'breach') AS times_fired, coalesce(max(held_ms), 0) AS longest_ms, count(*) FILTER (kind = 'breach') >= 3 AS flapping FROM ev GROUP BY 1")
+@query(f"""WITH {TICKS} SELECT user_id, count(*) FILTER (kind = 'breach') AS times_fired, coalesce(max(held_ms), 0) AS longest_ms, count(*) FILTER (kind = 'breach') >= 3 AS flapping FROM ev GROUP BY 1""")
 def flapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.flapping(_log(spark, sf_dir), ["user_id"])
 
 
-@query(f"WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind) AS k FROM ev) SELECT user_id, event_id, "at", kind FROM n WHERE k <= 5")
+@query(f"""WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind) AS k FROM ev) SELECT user_id, event_id, "at", kind FROM n WHERE k <= 5""")
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.newest(_log(spark, sf_dir), ["user_id"], "at", 5).select("user_id", "event_id", "at", "kind")
 
@@ -401,7 +401,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.generate(states, units.where("unit % 10 = 0"), FIRST, LAST, STEP, SEED)
 
 
-@query(SERIES + " SELECT unit, "at", state, value FROM series")
+@query(SERIES + ' SELECT unit, "at", state, value FROM series')
 def generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature of this query is a fleet of every tenth unit."""
     return _series(spark, sf_dir)
