@@ -41,9 +41,10 @@ def members(df: DataFrame, q: Question) -> DataFrame:
 def answer(df: DataFrame, q: Question) -> DataFrame:
     """The ranking: position, member, value, n, and how far the next member is behind.
 
-    Sorting is a top-k, so all members never meet in one task. Ties go by name.
+    Sorting is a top-k, so all members never meet in one task. Values that
+    agree to six decimals tie, and ties go by name, so the order of summing never shows.
     """
-    size = F.abs("value") if q.by_magnitude else F.col("value")
+    size = half_up(F.abs("value") if q.by_magnitude else F.col("value"), 6)
     key = F.asc("size") if q.rank == "min" else F.desc("size")
     top = members(df, q).withColumn("size", size).orderBy(key, "member").limit(q.top + 1)
     order = Window.orderBy(key, "member")

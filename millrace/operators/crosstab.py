@@ -49,17 +49,17 @@ def _with_baseline(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, "measure", "n", *(half_up(c).alias(c) for c in ("mean", "sd", "lo", "hi")), "ex_n", half_up("ex_sum").alias("ex_sum"), baseline_n.alias("baseline_n"), half_up(F.when(F.col("ex_n") > 0, F.col("clean")).otherwise(F.col("mean"))).alias("baseline_mean"))
 
 
-def marginal(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column = F.lit(False)) -> DataFrame:
+def marginal(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column | None = None) -> DataFrame:
     """Cells (category, value, measure): all rows, held-out rows and the baseline."""
-    rows = df.withColumn("quarantined", quarantined)
+    rows = df.withColumn("quarantined", F.lit(False) if quarantined is None else quarantined)
     long = unpivot_measures(rows, measures, [*categories, "quarantined"])
     by_value = long.unpivot(["quarantined", "measure", "v"], categories, "category", "value").where("value IS NOT NULL")
     return _with_baseline(_cells(by_value, ["category", "value"]), ["category", "value"])
 
 
-def joint(df: DataFrame, first: str, second: str, measures: list[str], quarantined: Column = F.lit(False)) -> DataFrame:
+def joint(df: DataFrame, first: str, second: str, measures: list[str], quarantined: Column | None = None) -> DataFrame:
     """Cells of two categories at once."""
-    long = unpivot_measures(df.withColumn("quarantined", quarantined), measures, [first, second, "quarantined"])
+    long = unpivot_measures(df.withColumn("quarantined", F.lit(False) if quarantined is None else quarantined), measures, [first, second, "quarantined"])
     named = long.withColumnsRenamed({first: "first_value", second: "second_value"}).where("first_value IS NOT NULL AND second_value IS NOT NULL")
     return _with_baseline(_cells(named, ["first_value", "second_value"]), ["first_value", "second_value"])
 

@@ -240,7 +240,8 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES = "s AS (SELECT l.*, n_name, l_extendedprice * l_discount AS rebate FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
 
 
-def _answer_sql(members: str, order: str = "value DESC") -> str:
+def _answer_sql(members: str, size: str = "value", way: str = "DESC") -> str:
+    order = f"{r(size, 6)} {way}"
     return f"""WITH {SALES}, m AS ({members}), a AS (SELECT CAST(row_number() OVER o AS INTEGER) AS position, member, value, n, value - lead(value) OVER o AS gap FROM m WINDOW o AS (ORDER BY {order}, member))
 SELECT position, member, {r("value")} AS value, n, {r("gap")} AS gap FROM a WHERE position <= 10"""
 
@@ -250,12 +251,12 @@ def answer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.answer(_sales(spark, sf_dir), answer.Question("n_name", "l_extendedprice", "sum"))
 
 
-@query(_answer_sql("SELECT n_name AS member, sum(rebate) / sum(l_quantity) AS value, count(*) AS n FROM s GROUP BY 1 HAVING sum(l_quantity) <> 0", "value ASC"))
+@query(_answer_sql("SELECT n_name AS member, sum(rebate) / sum(l_quantity) AS value, count(*) AS n FROM s GROUP BY 1 HAVING sum(l_quantity) <> 0", way="ASC"))
 def answer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.answer(_sales(spark, sf_dir), answer.Question("n_name", "rebate", "ratio", denominator="l_quantity", rank="min"))
 
 
-@query(_answer_sql("SELECT member, (v - (SELECT median(v) FROM (SELECT avg(l_extendedprice) AS v FROM s GROUP BY n_name))) / (SELECT median(v) FROM (SELECT avg(l_extendedprice) AS v FROM s GROUP BY n_name)) AS value, n FROM (SELECT n_name AS member, avg(l_extendedprice) AS v, count(*) AS n FROM s GROUP BY 1)", "abs(value) DESC"))
+@query(_answer_sql("SELECT member, (v - (SELECT median(v) FROM (SELECT avg(l_extendedprice) AS v FROM s GROUP BY n_name))) / (SELECT median(v) FROM (SELECT avg(l_extendedprice) AS v FROM s GROUP BY n_name)) AS value, n FROM (SELECT n_name AS member, avg(l_extendedprice) AS v, count(*) AS n FROM s GROUP BY 1)", "abs(value)"))
 def answer_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.answer(_sales(spark, sf_dir), answer.Question("n_name", "l_extendedprice", "deviation", by_magnitude=True))
 
