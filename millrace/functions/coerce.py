@@ -104,7 +104,7 @@ def parse_bands(text: Column) -> Column:
     """struct(ranges, labels) of texts like `4-12`, `>18`, `<3 o >15`, `Good / Fair`."""
     number = r"(-?[0-9]+(?:\.[0-9]+)?)"
     two, one, alone = rf"^([<>]=?)?\s*{number}\s*-\s*{number}$", rf"^([<>]=?)\s*{number}", rf"^{number}$"
-    parts = F.filter(F.transform(F.split(F.trim(text), r"(?i)\s+(?:o|or|/|\|)\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.trim(text), r"(?i)\s+(?:o|or|/|\|)\s+"), lambda p: F.trim(p)), lambda p: p != "")
     get = lambda p, pattern, i: F.regexp_extract(p, pattern, i).try_cast("double")
 
     def band(p: Column) -> Column:
