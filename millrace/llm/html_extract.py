@@ -7,7 +7,8 @@ what remains as its article.
 
 Defined cases: null or empty html gives an empty text; a null URL belongs to the
 empty host; repeated rows count as pages of their own; an empty table gives an
-empty table; extra columns are left alone.
+empty table; extra columns are kept, but for those of this operator's own names
+(text, templates, _page), which are replaced.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.0
 
 def extract_articles(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05) -> DataFrame:
     """Adds text to `pages` (page_id, url, html and more)."""
-    names = [*pages.columns]
+    pages = pages.drop("text", "templates", "_page")
+    names = pages.columns
     joined = pages.join(site_templates(pages, min_pages, min_share).withColumnRenamed("page_id", "_page"), F.col("page_id") == F.col("_page"), "left").drop("_page")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,9 +20,10 @@ Counts of shingles are kept in a fixed number of counters over all documents
 whatever the corpus; they decide what is fast, never what is found.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is
-its own component; a text of fewer words than a shingle is one shingle; repeated
-rows and equal texts share a component; an empty table gives an empty table;
-extra columns are left alone.
+its own component; a row without doc_id links with nothing and has a null
+component; a text of fewer words than a shingle is one shingle; repeated rows and
+equal texts share a component; an empty table gives an empty table; extra columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -128,6 +129,12 @@ def _counters(described: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _threshold(counters: np.ndarray) -> int:
+    """Counts above this are of the frequent class: well over the mean counter's."""
+    mean = counters.sum(dtype=np.int64) / len(counters)
+    return int(mean + 6 * mean**0.5 + 32)
+
+
 def _size_class(n: int, percent: int) -> int:
     """Sets that may link are in the same or in neighbouring classes."""
     return int(np.log(n) / np.log(100 / percent) + 1e-9)
@@ -287,12 +294,11 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     source = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     described = stored(source.mapInArrow(_describe(size), "doc_id long, n long, fp long, bits array<long>, slice int, counts binary"), "jaccard-documents")
     counters = _counters(described)
-    mean = counters.sum(dtype=np.int64) / len(counters)
-    frequent = int(mean + 6 * mean**0.5 + 32)
+    frequent = _threshold(counters)
     shared = spark.sparkContext.broadcast(counters)
     del counters
-    members = described.where("doc_id IS NOT NULL")
-    nodes = stored(members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes")
+    members = described.where("slice IS NULL")
+    nodes = stored(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes")
 
     # A rare signature is in a bounded number of sets: one sorted pass leaves those
     # that several share. A frequent one may be in a third of all sets and is only
@@ -348,7 +354,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
 
     final = components(first.unionByName(second), "jaccard-components2")
     by_set = nodes.join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = members.join(by_set.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
+    out = members.join(by_set.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

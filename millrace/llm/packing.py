@@ -10,7 +10,7 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes: equal high bytes lie together and nearly vanish."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return _PACK.compress(np.ascontiguousarray(planes).tobytes())
 
 

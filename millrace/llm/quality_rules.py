@@ -35,6 +35,7 @@ from millrace.llm.work import stored
 FEATURES = {"x_words": 0.30, "x_word_length": 0.08, "x_symbols": 0.02, "x_upper": 0.03, "x_repeats": 0.06, "x_lines": 0.15, "x_distinct": 0.03}
 #: Median of chi squared with as many degrees of freedom as there are features.
 CHI2_MEDIAN = 6.345811
+SALTS = 32
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +69,23 @@ def _features(counted: DataFrame) -> DataFrame:
     )
 
 
+def _beside(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join one row a group to all rows of the group.
+
+    A group may hold a third of all rows: its row is repeated for every salt, so
+    its rows are dealt out by group and salt.
+    """
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, [key, "salt"], how)
+
+
 def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
     """Adds `grp`, the key of the group whose estimate a document is held to."""
-    narrow, wide = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    keyed = rows.withColumn("narrow", narrow)
-    sizes = keyed.groupBy("narrow", wide.alias("wide")).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("narrow", "wide").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") < min_group)
     pooled = small.groupBy("wide").agg(F.sum("n").alias("pooled"))
     names = sizes.join(pooled, "wide", "left").select("narrow", F.when(F.col("n") >= min_group, F.col("narrow")).when(F.col("pooled") >= min_group, F.concat(F.lit("pooled"), F.col("wide"))).otherwise("rest").alias("grp"))
-    return keyed.join(names, "narrow").drop("narrow")
+    return _beside(rows, names, "narrow").drop("narrow", "wide")
 
 
 def _distance(names: list[str]) -> Column:
@@ -89,7 +98,7 @@ def _distance(names: list[str]) -> Column:
 def _start(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
     """Medians, and deviations about them, as the first estimate of each group."""
     centres = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in names)).alias("centre"))
-    off = rows.join(centres, "grp")
+    off = _beside(rows, centres, "grp")
     spread = off.groupBy("grp").agg(F.first("centre").alias("centre"), F.array(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5, 1000), F.lit(floors[i])) for i, x in enumerate(names))).alias("s"))
     p = len(names)
     diagonal = F.array(*(1.0 / (F.col("s")[i] * F.col("s")[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
@@ -117,9 +126,9 @@ def _inverted(floors: list[float]):
 
 def _concentrate(rows: DataFrame, estimate: DataFrame, names: list[str], floors: list[float], share: float, name: str) -> DataFrame:
     """One step: the estimate from the `share` of each group nearest to `estimate`."""
-    measured = rows.join(estimate, "grp").select("grp", *names, _distance(names).alias("d2"))
+    measured = _beside(rows, estimate, "grp").select("grp", "salt", *names, _distance(names).alias("d2"))
     reach = measured.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("reach"))
-    inner = measured.join(reach, "grp").where(F.col("d2") <= F.col("reach"))
+    inner = _beside(measured, reach, "grp").where(F.col("d2") <= F.col("reach"))
     p = len(names)
     sums = inner.groupBy("grp").agg(
         F.count("*").alias("n"),
@@ -136,16 +145,18 @@ def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.75
     `cutoff` is the 0.9999 quantile of chi squared with seven degrees of freedom.
     """
     names, floors = list(FEATURES), list(FEATURES.values())
-    rows = stored(_grouped(_features(counted), min_group), "quality-features")
+    salt = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int")
+    keys = {"narrow": F.to_json(F.struct("lang", "source")), "wide": F.to_json(F.struct("lang")), "salt": salt}
+    rows = stored(_grouped(stored(_features(counted).withColumns(keys), "quality-counts"), min_group), "quality-features")
     estimate = stored(_start(rows, names, floors), "quality-start")
     for step in range(steps):
         estimate = _concentrate(rows, estimate, names, floors, share, f"quality-step{step}")
-    measured = rows.join(estimate, "grp", "left").withColumn("d2", _distance(names))
+    measured = _beside(rows, estimate, "grp", "left").withColumn("d2", _distance(names))
     scale = measured.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("scale"), F.count("*").alias("members"))
-    judged = measured.join(scale, "grp", "left")
+    judged = _beside(measured, scale, "grp", "left")
     distance = F.when(F.col("members") >= min_group, F.col("d2") / F.greatest("scale", F.lit(1.0))).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    drop = ["grp", "centre", "precision", "d2", "scale", "members"]
+    drop = ["grp", "salt", "centre", "precision", "d2", "scale", "members"]
     return judged.withColumn("distance", distance).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop(*drop, *names)
 
 

@@ -164,6 +164,7 @@ def train_secret_grammar(docs: DataFrame, sample_docs: int = 4000, each: int = 4
 
 def scan_secrets(docs: DataFrame, grammar: SecretGrammar) -> DataFrame:
     """Adds secret_spans (kind, start, end, start of the value) to `docs`."""
+    docs = docs.drop("secret_spans")
     packed = pickle.dumps(grammar)
     kept = docs.columns
 

@@ -7,7 +7,8 @@ expressions, so training input and scoring run inside Spark.
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is judged by the trees like any other; no labelled URLs (or an
 empty table) means there is no model and everything unruled is allowed; repeated
-rows are judged alike; extra columns are left alone.
+rows are judged alike; extra columns are kept, but for those named as in OWN or
+like a feature (f_...), which are replaced.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ RULES = (
     Rule("org/es/", "block"),
 )
 
+#: Columns of this operator, which replace columns of the same name.
+OWN = ("host", "path", "rule", "rule_verdict", "p_block", "verdict", "label", "suffix", "features", "rawPrediction", "probability", "prediction")
+
 
 def url_parts(pages: DataFrame) -> DataFrame:
     """Adds host and path."""
@@ -162,6 +166,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tupl
     `labelled` has url and label (1 block, 0 allow); by default the labelled
     URLs are those of `pages` that a rule fits.
     """
+    pages = pages.select(*(c for c in pages.columns if c not in OWN and not c.startswith("f_")))
     judged = judge_by_rules(url_parts(pages), rules)
     if labelled is None:
         labelled = judged.where("rule IS NOT NULL").withColumn("label", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0))
