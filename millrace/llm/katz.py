@@ -268,6 +268,7 @@ def _partly(model: KatzModel, parts: int):
         by_name = np.argsort(context_names)
         contexts, context_names = contexts[by_name], context_names[by_name]
         rows = [(*m, None, None, None) for m in _messages(BACKOFF, c.chunk, parts, context_names, sums[0][contexts], sums[1][contexts])]
+        del own, first, keys
         log = np.where(seen, np.log10(np.maximum(kept[inverse], 1e-300) / np.maximum(counts[c.context], 1)), np.log10(p[c.word]))
         base = np.log10((counts[c.word] + 1) / (model.unigrams.total + model.unigrams.distinct + 1))
         n = np.diff(np.append(c.starts, len(c.word)))
@@ -319,7 +320,7 @@ def _finish(_, chunks: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 2_500_000, partition_tokens: int = 3_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_250_000, partition_tokens: int = 2_000_000) -> DataFrame:
     """Learn from the rows of `docs` (doc_id, text, ...) where the SQL condition
     `held_out` is not true, and score all.
 
