@@ -8,7 +8,7 @@ what remains as its article.
 Defined cases: null or empty html gives an empty text; a null URL belongs to the
 empty host; repeated rows count as pages of their own; an empty table gives an
 empty table; extra columns are kept, but for those of this operator's own names
-(text, templates, _page), which are replaced.
+(text, templates, host, path, _salt), which are replaced or left out.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.html_text import article_text, countable, parse
 from millrace.llm.url_filter import url_parts
+from millrace.llm.work import stored
 
 
 def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,25 +31,30 @@ def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05) -> DataFrame:
-    """Rows (page_id, templates): the recurring subtrees of each page that has any.
+    """Rows (host, hash, n): the subtrees that recur across a host's pages.
 
-    A subtree is a template of its host if it is on `min_pages` pages and on
-    `min_share` of the host's pages.
+    They are on `min_pages` pages and on `min_share` of the host's pages. So a host
+    has at most 1 / `min_share` times as many as a page of it has elements.
     """
-    hosted = url_parts(pages.select("page_id", "url", "html"))
-    found = hosted.select("page_id", "host", "html").mapInArrow(_page_hashes, "page_id long, host string, hashes array<long>")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    rows = found.select("page_id", "host", F.explode("hashes").alias("hash"))
-    counted = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    recurring = counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("host_pages")).select("host", "hash", "n")
-    return rows.join(recurring, ["host", "hash"]).groupBy("page_id").agg(F.collect_set(F.struct("hash", "n")).alias("templates"))
+    hosted = url_parts(pages.select("page_id", "url", "html")).select("page_id", "host", "html")
+    found = stored(hosted.mapInArrow(_page_hashes, "page_id long, host string, hashes array<long>"), "html-hashes")
+    sizes = found.groupBy("host").agg(F.count("*").alias("host_pages"))
+    counted = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    return counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("host_pages")).select("host", "hash", "n")
 
 
-def extract_articles(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05) -> DataFrame:
+def extract_articles(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05, salts: int = 32) -> DataFrame:
     """Adds text to `pages` (page_id, url, html and more)."""
-    pages = pages.drop("text", "templates", "_page")
+    pages = pages.drop("text", "templates", "host", "path", "_salt")
     names = pages.columns
-    joined = pages.join(site_templates(pages, min_pages, min_share).withColumnRenamed("page_id", "_page"), F.col("page_id") == F.col("_page"), "left").drop("_page")
+    recurring = stored(site_templates(pages, min_pages, min_share), "html-templates")
+    by_host = recurring.groupBy("host").agg(F.collect_list(F.struct("hash", "n")).alias("templates"))
+    hosted = url_parts(pages).drop("path")
+    if recurring.count() <= 1_000_000:  # At most 16 MB of hashes and counts: sent to every task.
+        joined = hosted.join(F.broadcast(by_host), "host", "left")
+    else:  # A host may have a third of all pages, so its row is repeated for every salt.
+        copies = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = hosted.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(copies, ["host", "_salt"], "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +63,7 @@ def extract_articles(pages: DataFrame, min_pages: int = 10, min_share: float = 0
             yield pa.RecordBatch.from_arrays([*kept, pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())], names=[*names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return joined.mapInArrow(extract, fields + ", text string")
+    return joined.select(*names, "templates").mapInArrow(extract, fields + ", text string")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
