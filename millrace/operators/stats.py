@@ -17,12 +17,15 @@ def unpivot_measures(df: DataFrame, measures: list[str], keep: list[str] = []) -
     return typed.unpivot(keep, measures, "measure", "v").where("v IS NOT NULL")
 
 
-def numeric_summary(df: DataFrame, measures: list[str]) -> DataFrame:
+def numeric_summary(df: DataFrame, measures: list[str], exact: bool = True) -> DataFrame:
     """One row a measure: count, sum, mean, sample deviation, range, quantiles, cv.
 
-    Quantiles are exact and interpolated; one aggregation gives all of them.
+    One aggregation gives all of it. Exact quantiles are interpolated and keep a
+    count of each distinct value of a measure in one task; for measures of very
+    many distinct values, `exact=False` keeps a sketch of bounded size instead.
     """
-    quantiles = F.percentile("v", F.array(*map(F.lit, QUANTILES.values())))
+    at = F.array(*map(F.lit, QUANTILES.values()))
+    quantiles = F.percentile("v", at) if exact else F.percentile_approx("v", at, 10_000)
     summed = unpivot_measures(df, measures).groupBy("measure").agg(F.count("*").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), quantiles.alias("q"))
     cv = F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean"))
     return summed.select("measure", "n", *(half_up(c).alias(c) for c in ("sum", "mean", "sd", "lo", "hi")), *(half_up(F.col("q")[i]).alias(p) for i, p in enumerate(QUANTILES)), half_up(cv).alias("cv"))
