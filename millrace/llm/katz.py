@@ -109,8 +109,10 @@ class _Chunk:
     def bigrams(self, *more: str) -> tuple[np.ndarray, ...]:
         """np.unique over the bigram keys of all tokens."""
         names = np.append(mix(self.vocabulary), mix(np.array([START])))
-        keys = mix(names[self.context] * _A + names[self.word] * _B)
-        return np.unique(keys, **dict.fromkeys(more, True))
+        after, before = names * _B, names * _A
+        keys = before[self.context]
+        keys += after[self.word]
+        return np.unique(mix(keys), **dict.fromkeys(more, True))
 
 
 def _split(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -269,11 +271,14 @@ def _partly(model: KatzModel, parts: int):
         contexts, context_names = contexts[by_name], context_names[by_name]
         rows = [(*m, None, None, None) for m in _messages(BACKOFF, c.chunk, parts, context_names, sums[0][contexts], sums[1][contexts])]
         del own, first, keys
-        log = np.where(seen, np.log10(np.maximum(kept[inverse], 1e-300) / np.maximum(counts[c.context], 1)), np.log10(p[c.word]))
-        base = np.log10((counts[c.word] + 1) / (model.unigrams.total + model.unigrams.distinct + 1))
+        sum_of = lambda values: np.add.reduceat(values, c.starts).astype(np.float64)
         n = np.diff(np.append(c.starts, len(c.word)))
-        known = np.add.reduceat((counts[c.word] > 0).astype(np.int64), c.starts)
-        numbers = np.stack([n, known, np.add.reduceat(base, c.starts), np.add.reduceat(log, c.starts)]).astype(np.float64)
+        by_word = np.log10((counts + 1) / (model.unigrams.total + model.unigrams.distinct + 1))
+        numbers = [n.astype(np.float64), sum_of((counts > 0).astype(np.int64)[c.word]), sum_of(by_word[c.word])]
+        log = np.log10(np.maximum(kept, 1e-300))[inverse]
+        log -= np.log10(np.maximum(counts, 1))[c.context]
+        numbers = np.stack([*numbers, sum_of(np.where(seen, log, np.log10(p)[c.word]))])
+        del log
         place = np.full(len(names) + 1, -1, np.int32)
         place[contexts] = np.arange(len(contexts), dtype=np.int32)
         # Seen tokens matter only where their context may have no free mass.
@@ -320,7 +325,7 @@ def _finish(_, chunks: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_250_000, partition_tokens: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_750_000, partition_tokens: int = 2_000_000) -> DataFrame:
     """Learn from the rows of `docs` (doc_id, text, ...) where the SQL condition
     `held_out` is not true, and score all.
 
@@ -330,15 +335,15 @@ def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_250_000, p
     chunks = stored(source.mapInArrow(_chunks(chunk_tokens), _CHUNK), "lm-chunks")
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     parts = max(1, -(-tokens // partition_tokens))
-    asked = chunks.mapInArrow(_ask(parts), _MESSAGE)
-    replies = stored(asked.groupBy("kind", "dest").applyInArrow(_count, _MESSAGE + ", stats array<long>"), "lm-counts")
+    # As many tasks as there are partitions of the table, whatever the session's number.
+    replies = stored(chunks.mapInArrow(_ask(parts), _MESSAGE).repartition(2 * parts, "kind", "dest").groupBy("kind", "dest").applyInArrow(_count, _MESSAGE + ", stats array<long>"), "lm-counts")
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(str(i)) for i in range(DISCOUNTED + 3)]
     stats = {k: [*(replies.where((F.col("chunk") < 0) & (F.col("kind") == k)).agg(*sums).first())] for k in (UNIGRAM, BIGRAM)}
     model = KatzModel.of(stats[UNIGRAM], stats[BIGRAM])
     answers = replies.where("chunk >= 0").drop("stats")
     extra = ", doc_ids array<long>, held_out array<boolean>, numbers binary"
     partly = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_partly(model, parts), _MESSAGE + extra), "lm-partly")
-    backoff = partly.where(f"kind = {BACKOFF}").select("dest", "chunk", "keys", "a", "b").groupBy("dest").applyInArrow(_sum_backoff, _MESSAGE)
+    backoff = partly.where(f"kind = {BACKOFF}").select("dest", "chunk", "keys", "a", "b").repartition(parts, "dest").groupBy("dest").applyInArrow(_sum_backoff, _MESSAGE)
     done = partly.where("kind = -1").groupBy("chunk").cogroup(backoff.groupBy("chunk")).applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
 
