@@ -47,3 +47,25 @@ def generate(states: DataFrame, units: DataFrame, start: int, end: int, step: in
 def auto_step(start: int, end: int, grain: int, points: int = 4000) -> int:
     """A multiple of the grain that gives about `points` steps."""
     return max(1, round((end - start) / points / grain)) * grain
+
+
+def schedule_factors(df: DataFrame, window: Column, measure: str) -> DataFrame:
+    """How a clock window moves the level: its mean against all, held to 0.5 to 2."""
+    means = df.groupBy(window.alias("window")).agg(F.count(measure).alias("n"), F.sum(measure).alias("s"))
+    every = Window.partitionBy(F.lit(0))
+    factor = (F.col("s") / F.col("n")) / (F.sum("s").over(every) / F.sum("n").over(every))
+    return means.select("window", "n", half_up(F.greatest(F.lit(0.5), F.least(F.lit(2.0), factor)), 6).alias("factor"))
+
+
+def incident_factors(series: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Multiplies values (unit, at, value) by the incidents (unit or null for all,
+    start, end, magnitude, shape) that are open: a step adds its magnitude at once,
+    a ramp grows to twice of it on average.
+
+    Incidents come from a reference table of a few hundred rows at most.
+    """
+    open_now = (incidents["unit"].isNull() | (incidents["unit"] == series["unit"])) & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))
+    progress = (F.col("at") - F.col("start")) / F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    factor = 1 + F.col("magnitude") * F.when(F.col("shape") == "ramp", 2 * progress).otherwise(1.0)
+    hit = series.join(F.broadcast(incidents), open_now, "left").select(series["unit"].alias("unit"), "at", "value", F.coalesce(factor, F.lit(1.0)).alias("factor"))
+    return hit.groupBy("unit", "at", "value").agg(F.product("factor").alias("factor")).select("unit", "at", half_up(F.col("value") * F.col("factor")).alias("value"), half_up("factor", 6).alias("factor"))

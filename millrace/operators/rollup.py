@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.rounding import half_up
+from millrace.functions.rounding import epoch_seconds, half_up
 from millrace.operators.stats import unpivot_measures
 
 
@@ -73,3 +73,24 @@ def worst_of(parts: dict[str, Column]) -> Column:
     worst = F.greatest(*clamped.values()) if len(clamped) > 1 else next(iter(clamped.values()))
     driver = F.coalesce(*(F.when(v == worst, F.lit(k)) for k, v in clamped.items()))
     return F.struct(worst.alias("pct"), driver.alias("driver"))
+
+
+def cycle_model(cycles: DataFrame, unit: str) -> DataFrame:
+    """What completed cycles (unit, rows, total, sec) have in common: over units with
+    at least two of them."""
+    per = cycles.groupBy(unit).agg(F.count("*").alias("k"), F.sum("rows").alias("r"), F.sum("total").alias("t"), F.sum("sec").alias("s")).where("k >= 2")
+    return per.agg(F.count("*").alias("units"), F.sum("k").alias("cycles"), half_up(F.sum("r") / F.sum("k")).alias("mean_rows"), half_up(F.sum("s") / F.sum("k")).alias("mean_sec"), half_up(F.sum("t") / F.sum("k")).alias("mean_total"))
+
+
+def shift_medians(df: DataFrame, shift: str, member: str, measure: str) -> DataFrame:
+    """Each shift's median over its members' means, and how far above the lowest."""
+    means = df.groupBy(shift, member).agg(F.avg(measure).alias("m"))
+    medians = means.groupBy(shift).agg(F.count("*").alias("members"), F.median("m").alias("med"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    lowest = medians.agg(F.min("med").alias("lowest"))
+    return medians.crossJoin(F.broadcast(lowest)).select(shift, "members", half_up("med").alias("median"), half_up("lo").alias("lo"), half_up("hi").alias("hi"), half_up((F.col("med") - F.col("lowest")) / F.nullif(F.col("lowest"), F.lit(0.0)), 6).alias("above_lowest"))
+
+
+def coverage(df: DataFrame, unit: str, ts: str) -> DataFrame:
+    """One row: rows, units, first and last second, days covered."""
+    sec = epoch_seconds(ts)
+    return df.agg(F.count("*").alias("rows"), F.count_distinct(unit).alias("units"), F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"), F.count_distinct(F.floor(sec / 86400)).alias("days"))

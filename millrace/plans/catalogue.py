@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import coerce
 from millrace.functions.rounding import epoch_seconds, half_up
-from millrace.operators import answer, crosstab, generator, ordered, rhythm, risk, rollup, stats
+from millrace.operators import answer, board, crosstab, generator, ordered, rhythm, risk, rollup, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -413,3 +413,87 @@ def generated_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     integrated = F.sum("value") * STEP / 3600
     purchases = F.nullif(F.count_if(F.col("state") == "purchase"), F.lit(0))
     return _series(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"), half_up(F.avg("value")).alias("mean"), half_up(integrated).alias("integrated"), half_up(integrated / purchases).alias("per_purchase"))
+
+
+@query(f"""WITH {TICKS}, l AS (SELECT user_id, max("at") AS since FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'), z AS (SELECT user_id % 25 AS cell, count(*) AS n FROM l GROUP BY 1), cells AS (SELECT DISTINCT user_id % 25 AS cell FROM events)
+SELECT cell, coalesce(n, 0) AS live, CASE WHEN n IS NULL THEN 'ok' WHEN n > 2 THEN 'critical' ELSE 'warning' END AS tone FROM cells LEFT JOIN z USING (cell)""")
+def health_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results are cells of users."""
+    live = risk.live_state(_log(spark, sf_dir), ["user_id"], "at").withColumn("cell", F.col("user_id") % 25)
+    return board.health(table(spark, sf_dir, "events").withColumn("cell", F.col("user_id") % 25), live, "cell")
+
+
+@query(f"""WITH {TICKS}, l AS (SELECT user_id FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'), r AS (SELECT user_id, count(*) FILTER (kind = 'recovered') AS recoveries FROM ev GROUP BY 1)
+SELECT user_id, recoveries, CASE WHEN user_id IN (SELECT user_id FROM l) THEN 1 ELSE 0 END::BIGINT AS live, 'flapping' AS finding FROM r WHERE recoveries > 4 AND recoveries > 2 * CASE WHEN user_id IN (SELECT user_id FROM l) THEN 1 ELSE 0 END""")
+def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    return board.findings(log, risk.live_state(log, ["user_id"], "at"), "user_id")
+
+
+@query(f"""WITH f AS (SELECT CASE WHEN regexp_matches(p_type, '^(SMALL|MEDIUM|LARGE)') THEN 'sized' ELSE p_type END AS family, l_extendedprice * l_discount AS x FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT family, count(*) AS n, sum(x) AS excess FROM f GROUP BY 1)
+SELECT family, n, {r("excess")} AS excess, {r("excess / (SELECT sum(excess) FROM s)", 6)} AS share FROM s ORDER BY excess DESC LIMIT 1""")
+def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = F.when(F.col("p_type").rlike("^(SMALL|MEDIUM|LARGE)"), "sized").otherwise(F.col("p_type"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return board.root_cause(lines.withColumn("rebate", F.col("l_extendedprice") * F.col("l_discount")), family, "rebate")
+
+
+@query("""SELECT l_returnflag, l_suppkey, count(DISTINCT l_linestatus) AS scopes, max(l_tax) AS excess, CASE WHEN max(l_tax) >= 0.06 THEN 'critical' ELSE 'warning' END AS severity FROM lineitem WHERE l_tax <> 0 GROUP BY 1, 2""")
+def anomaly_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.anomalies(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", "l_linestatus", "l_tax")
+
+
+@query(f"""WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY {EPOCH} RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS occurrences FROM events WHERE event_type = 'error') SELECT * FROM w WHERE occurrences > 2""")
+def frequency_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return board.frequency_rule(errors, "user_id", epoch_seconds("ts"), ORDER, 2, 86400).drop("ts")
+
+
+@query("""SELECT event_id, props FROM events WHERE contains(lower(props), ': 7')""")
+def contains_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.contains_rule(table(spark, sf_dir, "events").select("event_id", "props"), "props", ": 7")
+
+
+@query(f"""WITH h AS (SELECT hour(ts) AS hour, sum(value) AS s FROM events GROUP BY 1), a AS (SELECT hour, sum(s) OVER (ORDER BY hour) AS accrued, sum(s) OVER () AS total FROM h)
+SELECT CAST(hour AS BIGINT) AS hour, {r("accrued")} AS accrued, {r("250000.0 * accrued / total")} AS expected, {r("accrued - 250000.0 * accrued / total")} AS gap FROM a""")
+def pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.pace(table(spark, sf_dir, "events"), F.hour("ts"), "value", 250_000.0)
+
+
+@query(f"""WITH RECURSIVE {CYCLES}, g AS (SELECT c.user_id, cycle, count(*) AS n, sum(c.value) AS total, (max({EPOCH}) - min({EPOCH}))::DOUBLE AS sec, max(CASE WHEN completes THEN 1 ELSE 0 END) AS complete FROM c JOIN events e USING (event_id) GROUP BY 1, 2),
+p AS (SELECT user_id, count(*) AS k, sum(n) AS r, sum(total) AS t, sum(sec) AS s FROM g WHERE complete = 1 GROUP BY 1 HAVING count(*) >= 2)
+SELECT count(*) AS units, CAST(sum(k) AS BIGINT) AS cycles, {r("sum(r)::DOUBLE / sum(k)")} AS mean_rows, {r("sum(s) / sum(k)")} AS mean_sec, {r("sum(t) / sum(k)")} AS mean_total FROM p""")
+def cycle_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sec = (F.max(epoch_seconds("ts")) - F.min(epoch_seconds("ts"))).cast("double")
+    found = _cycles(spark, sf_dir).groupBy("user_id", "cycle").agg(F.count("*").alias("rows"), F.sum("value").alias("total"), sec.alias("sec"), F.max("completes").alias("complete"))
+    return rollup.cycle_model(found.where("complete"), "user_id")
+
+
+@query(f"""WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2), s AS (SELECT event_type, count(*) AS members, median(m) AS med, min(m) AS lo, max(m) AS hi FROM m GROUP BY 1)
+SELECT event_type, members, {r("med")} AS median, {r("lo")} AS lo, {r("hi")} AS hi, {r("(med - (SELECT min(med) FROM s)) / (SELECT min(med) FROM s)", 6)} AS above_lowest FROM s""")
+def shift_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.shift_medians(table(spark, sf_dir, "events"), "event_type", "user_id", "value")
+
+
+@query(f"""SELECT count(*) AS rows, count(DISTINCT user_id) AS units, min({EPOCH}) AS first_sec, max({EPOCH}) AS last_sec, count(DISTINCT {EPOCH} // 86400) AS days FROM events""")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.coverage(table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@query(f"""WITH c AS (SELECT CASE WHEN hour(ts) < 12 THEN 'day' ELSE 'night' END AS "window", count(value) AS n, sum(value) AS s FROM events GROUP BY 1) SELECT "window", n, {r("greatest(0.5, least(2.0, (s / n) / ((SELECT sum(s) FROM c) / (SELECT sum(n) FROM c))))", 6)} AS factor FROM c""")
+def schedule_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.schedule_factors(table(spark, sf_dir, "events"), F.when(F.hour("ts") < 12, "day").otherwise("night"), "value")
+
+
+@query(SERIES + f""", inc(u, s, e, m, shape) AS (VALUES (NULL, {FIRST + 7200}, {FIRST + 14400}, 0.5::DOUBLE, 'step'), (10, {FIRST + 10800}, {FIRST + 36000}, 0.25::DOUBLE, 'ramp')),
+h AS (SELECT unit, "at", value, coalesce(1 + m * CASE WHEN shape = 'ramp' THEN 2 * (("at" - s)::DOUBLE / greatest(e - s, 1)) ELSE 1.0 END, 1.0) AS factor FROM series LEFT JOIN inc ON (u IS NULL OR u = unit) AND "at" BETWEEN s AND e)
+SELECT unit, "at", {r("value * product(factor)")} AS value, {r("product(factor)", 6)} AS factor FROM h GROUP BY unit, "at", value""")
+def incident_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(None, FIRST + 7200, FIRST + 14400, 0.5, "step"), (10, FIRST + 10800, FIRST + 36000, 0.25, "ramp")]
+    incidents = spark.createDataFrame(rows, "unit long, start long, end long, magnitude double, shape string")
+    return generator.incident_factors(_series(spark, sf_dir).select("unit", "at", "value"), incidents)
+
+
+@query("""WITH w AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 100 WHEN split_part(lower(p_brand), '/', 1) = 'brand#11' THEN 40 ELSE 0 END + 25 * CASE WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g') || ' ', ' promo ') THEN 1 ELSE 0 END AS relevance FROM part) SELECT p_partkey, CAST(relevance AS BIGINT) AS relevance FROM w""")
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.relevance(table(spark, sf_dir, "part"), "p_type", "p_brand", "promo", "Brand#11").select("p_partkey", "relevance")
