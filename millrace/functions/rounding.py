@@ -14,5 +14,5 @@ def half_up(x: Column | str, digits: int = 3) -> Column:
 
 
 def epoch_seconds(ts: str) -> Column:
-    """Whole seconds since 1970 of a timestamp without time zone, rounded down."""
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', date_trunc('SECOND', {ts}))")
+    """Whole seconds since 1970 of a timestamp without time zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
