@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.text import texts
+from millrace.llm.text import each, texts
 
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|"
 #: Where an answer begins inside an item that has one.
@@ -243,7 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
             index = shared.value
             for batch in batches:
                 rows = []
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                for doc, raw in zip(each(batch, "doc_id"), each(batch, "raw"), strict=True):
                     rows += [(doc, index.items[i], s, o) for i, (o, s) in sorted(_matches(index, raw, threshold, overlap, run).items())]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "overlap"])

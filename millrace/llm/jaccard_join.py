@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.text import WordHashes, mix, texts, windows
+from millrace.llm.text import WordHashes, each, mix, texts, windows
 from millrace.llm.work import stored, without
 
 COUNTER_BITS = 22
@@ -85,14 +85,14 @@ def _describe(size: int):
 
         for batch in batches:
             sizes, prints, bits = [], [], []
-            for raw in batch.column("raw").to_pylist():
+            for raw in each(batch, "raw"):
                 s = shingle_set(raw, size, hashes)
                 sizes.append(len(s))
                 prints.append(_fingerprint(s))
                 bits.append(_bitmap(s))
                 waiting.append((s & mask).astype(np.int64))
                 held += len(s)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     add()
                     held = 0
             none = [None] * len(sizes)
@@ -190,7 +190,7 @@ def _signatures(size: int, percent: int, counters, frequent: int):
 
         for batch in batches:
             parts, held = [], 0
-            for raw in batch.column("raw").to_pylist():
+            for raw in each(batch, "raw"):
                 s = shingle_set(raw, size, hashes)
                 if not len(s) or (print_ := _fingerprint(s)) in seen:
                     continue
@@ -253,7 +253,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            blobs = [shingle_set(raw, size, hashes).tobytes() for raw in batch.column("raw").to_pylist()]
+            blobs = [shingle_set(raw, size, hashes).tobytes() for raw in each(batch, "raw")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
     return run
@@ -263,7 +263,7 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for x, y in zip(each(batch, "x"), each(batch, "y"), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))

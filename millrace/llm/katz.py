@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from millrace.llm.text import WordHashes, mix, texts
+from millrace.llm.text import WordHashes, each, mix, texts
 from millrace.llm.work import stored
 
 END, START = np.uint64(1), np.uint64(2)
@@ -68,7 +68,7 @@ def _chunks(chunk_tokens: int):
             return _rows(_CHUNK_FIELDS, [row]).to_batches()[0]
 
         for batch in batches:
-            for doc, out, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "raw")), strict=True):
+            for doc, out, raw in zip(*(each(batch, c) for c in ("doc_id", "held_out", "raw")), strict=True):
                 words = hashes.of(raw.lower().split())
                 docs.append(doc)
                 held.append(out)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.quality_rules import document_counts
 from millrace.llm.statistics import COUNTS, text_counts
-from millrace.llm.text import WordHashes, texts
+from millrace.llm.text import WordHashes, each, texts
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -121,8 +121,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *keep: str) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            raws = batch.column("raw").to_pylist()
-            scores = model.score(np.array([text_counts(r, hashes) for r in raws])) if model and raws else np.full(len(raws), 0.5)
+            scores = model.score(np.array([text_counts(r, hashes) for r in each(batch, "raw")])) if model and len(batch) else np.full(len(batch), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "raw")

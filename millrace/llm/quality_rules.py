@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.statistics import COUNTS, text_counts
-from millrace.llm.text import WordHashes, texts
+from millrace.llm.text import WordHashes, each, texts
 from millrace.llm.work import stored
 
 #: The transformed statistics, each with the least deviation that it is given:
@@ -41,7 +41,7 @@ SALTS = 32
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        rows = [text_counts(raw, hashes) for raw in batch.column("raw").to_pylist()]
+        rows = [text_counts(raw, hashes) for raw in each(batch, "raw")]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(COUNTS)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names[:-1], *COUNTS])
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.grammar import Automaton, symbols
+from millrace.llm.text import each
 
 #: The base patterns, and the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -123,7 +124,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From each text, up to 20 labelled values and 20 ordinary tokens, by hash."""
     for batch in batches:
         kinds, values = [], []
-        for text in batch.column("text").to_pylist():
+        for text in each(batch, "text"):
             spans = base_spans(text)
             found = {(KINDS[s.kind], text[s.value : s.end]) for s in spans}
             plain = {("plain", t) for _, t in candidates(text, spans)} | {("plain", w) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,15}", text)}
@@ -173,7 +174,7 @@ def scan_secrets(docs: DataFrame, grammar: SecretGrammar) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
         for batch in batches:
             spans = []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch, "text"):
                 _, every = model.spans(text or "")
                 spans.append([{"kind": KINDS[s.kind], "start": s.start, "end": s.end, "value": s.value} for s in every])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*kept, "secret_spans"])
@@ -190,7 +191,7 @@ def redact_secrets(docs: DataFrame, grammar: SecretGrammar, mask: str = "[SECRET
         model: SecretGrammar = pickle.loads(packed)
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch, "text"):
                 if text is None:
                     out.append(None)
                     continue

@@ -7,6 +7,8 @@ six characters, and ``bytes.lower()`` changes A-Z only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -63,5 +65,7 @@ def count_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def each(batch: pa.RecordBatch, column: str) -> Iterator:
+    """A column's values one by one: a batch of long texts is not held twice."""
+    for value in batch.column(column):
+        yield value.as_py()
