@@ -33,12 +33,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round writes its edges, so lineage stays short; rounds grow with the
     logarithm of the longest path. A node's links are never gathered.
     """
-    current = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    current = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rows = current.count()
     seen = None
-    while True:
-        current = stored(_small_star(_large_star(current)), f"{name}-star")
+    while rows:
+        # Stars never have more edges than there were.
+        current = stored(_small_star(_large_star(current)), f"{name}-star", rows=rows)
         state = current.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
         if state == seen:
             break
-        seen = state
+        seen, rows = state, state["n"]
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

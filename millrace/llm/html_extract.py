@@ -47,7 +47,7 @@ def extract_articles(pages: DataFrame, min_pages: int = 10, min_share: float = 0
     """Adds text to `pages` (page_id, url, html and more)."""
     pages = pages.drop("text", "templates", "host", "path", "_salt")
     names = pages.columns
-    recurring = stored(site_templates(pages, min_pages, min_share), "html-templates")
+    recurring = stored(site_templates(pages, min_pages, min_share), "html-templates", rows=pages.count())
     by_host = recurring.groupBy("host").agg(F.collect_list(F.struct("hash", "n")).alias("templates"))
     hosted = url_parts(pages).drop("path")
     if recurring.count() <= 1_000_000:  # At most 16 MB of hashes and counts: sent to every task.

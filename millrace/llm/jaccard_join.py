@@ -298,7 +298,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     shared = spark.sparkContext.broadcast(counters)
     del counters
     members = described.where("slice IS NULL")
-    nodes = stored(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes")
+    nodes = stored(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes", rows=members.count())
 
     # A rare signature is in a bounded number of sets: one sorted pass leaves those
     # that several share. A frequent one may be in a third of all sets and is only
@@ -306,13 +306,14 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, rare boolean"), "jaccard-signatures")
     rare = signatures.where("rare").drop("rare").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
     met = stored(rare.unionByName(signatures.where("NOT rare").drop("rare")), "jaccard-met")
+    rows = met.count()
     # The best-placed set of a signature has lost the least before it.
     best = met.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"), F.min(F.struct((F.col("n") - F.col("room")).alias("lost"), "n", "fp", "room")).alias("p")).where("low <> high").select("sig", "rows", F.struct("p.fp", "p.n", "p.room").alias("p"))
     postings = met.distinct().join(best, "sig")
     # What meets neither by size nor by position with the best may still meet others.
-    postings = stored(postings.select("sig", "rows", F.struct("fp", "n", "room").alias("m"), "p"), "jaccard-postings")
+    postings = stored(postings.select("sig", "rows", F.struct("fp", "n", "room").alias("m"), "p"), "jaccard-postings", rows=rows)
     apart = postings.where(F.col("m.fp") != F.col("p.fp"))
-    stars = stored(_pairs(apart.where(_may_link("m", "p", percent)).select(F.col("m.fp").alias("a"), F.col("p.fp").alias("b"))), "jaccard-stars")
+    stars = stored(_pairs(apart.where(_may_link("m", "p", percent)).select(F.col("m.fp").alias("a"), F.col("p.fp").alias("b"))), "jaccard-stars", rows=rows)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The verified pairs, as links between nodes.
@@ -323,15 +324,18 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
         end = lambda x, y: nodes.select(F.col("fp").alias(x), F.col("node").alias(y), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"bits{y}"))
         differ = F.aggregate(F.zip_with("bitsu", "bitsv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
         near = pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").where((100 + percent) * differ <= (100 - percent) * (F.col("nu") + F.col("nv")))
-        near = stored(near.select("u", "v"), f"{name}-near")
-        wanted = stored(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), f"{name}-wanted")
+        near = stored(near.select("u", "v"), f"{name}-near", rows=pairs.count())
+        n_pairs = near.count()
+        if not n_pairs:
+            return near
+        wanted = stored(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), f"{name}-wanted", rows=2 * n_pairs)
         # Up to a million ids (16 MB) go to the texts; beyond, both sides are shuffled.
         ids = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
         sets = stored(source.join(ids, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"), f"{name}-sets")
         x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
         true = near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long")
-        return stored(true, name)
+        return stored(true, name, rows=n_pairs, per_file=10_000)
 
     first = links(stars, "jaccard-links1")
     labels = components(first, "jaccard-components1")
@@ -341,18 +345,22 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     smallest = labelled.groupBy("sig").agg(F.min("m.n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("m.n") * percent / 100))
     labelled = labelled.join(smallest, "sig").where((100 + percent) * F.col("m.room") >= percent * (F.col("m.n") + partner)).drop("least")
-    split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("sig", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
+    split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("sig", "sets", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
     # Block i of a signature meets block j once, in the cell (min, max).
     mine = F.pmod(F.xxhash64("m.fp"), F.col("blocks")).cast("int")
-    spread = labelled.join(split, "sig").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = stored(spread.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "m", "p"), "jaccard-cells")
-    x, y = cells.alias("x"), cells.alias("y")
-    same_cell = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    new = (F.col("x.m.fp") < F.col("y.m.fp")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
-    rest = x.join(y, same_cell & new & _may_link("x.m", "y.m", percent)).select(F.col("x.m.fp").alias("a"), F.col("y.m.fp").alias("b"))
-    second = links(stored(_pairs(rest), "jaccard-rest"), "jaccard-links2")
-
-    final = components(first.unionByName(second), "jaccard-components2")
+    spread = labelled.join(split.drop("sets"), "sig").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "m", "p")
+    n_cells = split.agg(F.sum(F.col("blocks") * F.col("sets"))).first()[0] or 0
+    final = labels
+    if n_cells:
+        cells = stored(cells, "jaccard-cells", rows=n_cells)
+        x, y = cells.alias("x"), cells.alias("y")
+        same_cell = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        new = (F.col("x.m.fp") < F.col("y.m.fp")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
+        rest = x.join(y, same_cell & new & _may_link("x.m", "y.m", percent)).select(F.col("x.m.fp").alias("a"), F.col("y.m.fp").alias("b"))
+        second = links(stored(_pairs(rest), "jaccard-rest", rows=n_cells), "jaccard-links2")
+        if second.take(1):
+            final = components(first.unionByName(second), "jaccard-components2")
     by_set = nodes.join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = members.join(by_set.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words("text").alias("size"))
     sizes = stored(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
-    targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    targets = stored(source_targets(sizes, weights, share, most), "mix-targets", rows=1)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sizes.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
@@ -113,7 +114,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     most_rows = targets.agg(F.max("rows")).first()[0] or 0
     width, settled, depth = -(-most_rows // fan), [], 0
     while True:
-        level = stored(level, f"mix-level{depth}")
+        level = stored(level, f"mix-level{depth}", rows=total // fan**depth + 1)
         settled.append(level.select("rank", F.explode("state.done").alias("d")).select("rank", "d.*"))
         if width <= 1:
             break

@@ -124,7 +124,7 @@ def _inverted(floors: list[float]):
     return invert
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame, names: list[str], floors: list[float], share: float, name: str) -> DataFrame:
+def _concentrate(rows: DataFrame, estimate: DataFrame, names: list[str], floors: list[float], share: float, groups: int, name: str) -> DataFrame:
     """One step: the estimate from the `share` of each group nearest to `estimate`."""
     measured = _beside(rows, estimate, "grp").select("grp", "salt", *names, _distance(names).alias("d2"))
     reach = measured.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("reach"))
@@ -135,7 +135,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, names: list[str], floors:
         F.array(*(F.sum(x) for x in names)).alias("sums"),
         F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p))).alias("products"),
     )
-    return stored(sums.mapInPandas(_inverted(floors), "grp string, centre array<double>, precision array<double>"), name)
+    return stored(sums.mapInPandas(_inverted(floors), "grp string, centre array<double>, precision array<double>"), name, rows=groups)
 
 
 def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.75, steps: int = 3, min_group: int = 100) -> DataFrame:
@@ -148,9 +148,10 @@ def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.75
     salt = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int")
     keys = {"narrow": F.to_json(F.struct("lang", "source")), "wide": F.to_json(F.struct("lang")), "salt": salt}
     rows = stored(_grouped(stored(_features(counted).withColumns(keys), "quality-counts"), min_group), "quality-features")
-    estimate = stored(_start(rows, names, floors), "quality-start")
+    groups = rows.select("grp").distinct().count()
+    estimate = stored(_start(rows, names, floors), "quality-start", rows=groups)
     for step in range(steps):
-        estimate = _concentrate(rows, estimate, names, floors, share, f"quality-step{step}")
+        estimate = _concentrate(rows, estimate, names, floors, share, groups, f"quality-step{step}")
     measured = _beside(rows, estimate, "grp", "left").withColumn("d2", _distance(names))
     scale = measured.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("scale"), F.count("*").alias("members"))
     judged = _beside(measured, scale, "grp", "left")

@@ -20,15 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
     """Write `df` to the shared folder and return what was written.
 
     The copy is complete before anything reads it, so a lost executor costs at
-    most the tasks that were running.
+    most the tasks that were running. Where a bound on its `rows` is known, it is
+    written in files of about `per_file` rows rather than one a task: many tiny
+    files cost more than their contents, on any store.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    shaped = df if rows is None else df.coalesce(-(-rows // per_file) or 1)
+    shaped.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +41,6 @@ def without(docs: DataFrame, gone: DataFrame, name: str, broadcast_upto: int = 1
     Up to `broadcast_upto` ids (8 MB) are counted and then sent to the texts;
     beyond that both sides are shuffled.
     """
-    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), name)
+    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), name, rows=docs.count())
     ids = F.broadcast(gone) if gone.count() <= broadcast_upto else gone
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(*docs.columns)
