@@ -325,7 +325,7 @@ def _finish(_, chunks: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_750_000, partition_tokens: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 2_200_000, partition_tokens: int = 2_000_000) -> DataFrame:
     """Learn from the rows of `docs` (doc_id, text, ...) where the SQL condition
     `held_out` is not true, and score all.
 
