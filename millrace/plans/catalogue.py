@@ -402,6 +402,12 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.generate(states, units.where("unit % 10 = 0"), FIRST, LAST, STEP, SEED)
 
 
+def _kpi(series: DataFrame) -> DataFrame:
+    integrated = F.sum("value") * STEP / 3600
+    purchases = F.nullif(F.count_if(F.col("state") == "purchase"), F.lit(0))
+    return series.groupBy("unit").agg(F.count("*").alias("n"), half_up(F.avg("value")).alias("mean"), half_up(integrated).alias("integrated"), half_up(integrated / purchases).alias("per_purchase"))
+
+
 @query(SERIES + ' SELECT unit, "at", state, value FROM series')
 def generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature of this query is a fleet of every tenth unit."""
@@ -410,9 +416,26 @@ def generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SERIES + f""" SELECT unit, count(*) AS n, {r("avg(value)")} AS mean, {r("sum(value) * 600 / 3600")} AS integrated, {r("sum(value) * 600 / 3600 / nullif(count(*) FILTER (state = 'purchase'), 0)")} AS per_purchase FROM series GROUP BY 1""")
 def generated_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    integrated = F.sum("value") * STEP / 3600
-    purchases = F.nullif(F.count_if(F.col("state") == "purchase"), F.lit(0))
-    return _series(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"), half_up(F.avg("value")).alias("mean"), half_up(integrated).alias("integrated"), half_up(integrated / purchases).alias("per_purchase"))
+    return _kpi(_series(spark, sf_dir))
+
+
+def _fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of every user of events; the generated_* queries show a tenth of them."""
+    states, units = generator.build_plan(table(spark, sf_dir, "events"), "user_id", "event_type", "value", _runs(spark, sf_dir))
+    return generator.generate(states, units, FIRST, LAST, STEP, SEED)
+
+
+FLEET = SERIES.replace(" WHERE user_id % 10 = 0", "")
+
+
+@query(FLEET + ' SELECT unit, "at", state, value FROM series')
+def fleet_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fleet(spark, sf_dir)
+
+
+@query(ORACLE_SQL["generated_kpi"].replace(SERIES, FLEET))
+def fleet_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kpi(_fleet(spark, sf_dir))
 
 
 @query(f"""WITH {TICKS}, l AS (SELECT user_id, max("at") AS since FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'), z AS (SELECT user_id % 25 AS cell, count(*) AS n FROM l GROUP BY 1), cells AS (SELECT DISTINCT user_id % 25 AS cell FROM events)
@@ -485,13 +508,22 @@ def schedule_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.schedule_factors(table(spark, sf_dir, "events"), F.when(F.hour("ts") < 12, "day").otherwise("night"), "value")
 
 
+def _with_incidents(spark: SparkSession, series: DataFrame) -> DataFrame:
+    rows = [(None, FIRST + 7200, FIRST + 14400, 0.5, "step"), (10, FIRST + 10800, FIRST + 36000, 0.25, "ramp")]
+    incidents = spark.createDataFrame(rows, "unit long, start long, end long, magnitude double, shape string")
+    return generator.incident_factors(series.select("unit", "at", "value"), incidents)
+
+
 @query(SERIES + f""", inc(u, s, e, m, shape) AS (VALUES (NULL, {FIRST + 7200}, {FIRST + 14400}, 0.5::DOUBLE, 'step'), (10, {FIRST + 10800}, {FIRST + 36000}, 0.25::DOUBLE, 'ramp')),
 h AS (SELECT unit, "at", value, coalesce(1 + m * CASE WHEN shape = 'ramp' THEN 2 * (("at" - s)::DOUBLE / greatest(e - s, 1)) ELSE 1.0 END, 1.0) AS factor FROM series LEFT JOIN inc ON (u IS NULL OR u = unit) AND "at" BETWEEN s AND e)
 SELECT unit, "at", {r("value * product(factor)")} AS value, {r("product(factor)", 6)} AS factor FROM h GROUP BY unit, "at", value""")
 def incident_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(None, FIRST + 7200, FIRST + 14400, 0.5, "step"), (10, FIRST + 10800, FIRST + 36000, 0.25, "ramp")]
-    incidents = spark.createDataFrame(rows, "unit long, start long, end long, magnitude double, shape string")
-    return generator.incident_factors(_series(spark, sf_dir).select("unit", "at", "value"), incidents)
+    return _with_incidents(spark, _series(spark, sf_dir))
+
+
+@query(ORACLE_SQL["incident_series"].replace(SERIES, FLEET))
+def fleet_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_incidents(spark, _fleet(spark, sf_dir))
 
 
 @query("""WITH w AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 100 WHEN split_part(lower(p_brand), '/', 1) = 'brand#11' THEN 40 ELSE 0 END + 25 * CASE WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g') || ' ', ' promo ') THEN 1 ELSE 0 END AS relevance FROM part) SELECT p_partkey, CAST(relevance AS BIGINT) AS relevance FROM w""")
