@@ -33,6 +33,17 @@ def test_stages_take_effect(spark, documents, prose):
     assert {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, sf).collect()} == {(i, r["taken"]) for i, r in mixed.items()}
 
 
+def test_near_copies_by_five_words(spark, documents, prose):
+    words = prose(1, 200).split()
+    changed = [w + "x" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)]  # 176 of 216 five-word shingles, 186 of 210 three-word ones
+    other = prose(2, 50).split()
+    near = [*other[:25], "swapped", *other[26:]]  # 41 of 51, 45 of 51
+    apart = [w + "x" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]  # 171 of 221 with the first
+    sf = documents([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other)), (4, " ".join(near)), (5, " ".join(apart))])
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+
+
 def test_empty(spark, documents):
     sf = documents([])
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
