@@ -15,13 +15,17 @@ from millrace.llm.jaccard_join import keep_one_of_each
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import document_counts, mark_outliers
 from millrace.llm.secrets import redact_secrets, train_secret_grammar
-from millrace.llm.work import stored, without
+from millrace.llm.work import row_key, stored, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their group's estimate reject go."""
-    judged = mark_outliers(document_counts(docs, "doc_id", "lang", "source"))
-    return without(docs, judged.where("NOT kept"), "pipeline-rejected")
+    """Documents that the base rules or their group's estimate reject go.
+
+    A verdict holds for its row, not for others of the same doc_id or of none.
+    """
+    keyed = docs.withColumn("_row", row_key(docs))
+    judged = mark_outliers(document_counts(keyed, "doc_id", "lang", "source", "_row"))
+    return without(keyed, judged.where("NOT kept"), "pipeline-rejected", key="_row").drop("_row")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +37,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a test item is found go."""
-    return without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
+    """Documents in which a test item is found go, each by its own row."""
+    keyed = docs.withColumn("_row", row_key(docs))
+    leaks = find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(keyed, leaks.select(F.col("doc_id").alias("_row")), "pipeline-leaks", key="_row").drop("_row")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.text import WordHashes, each, mix, texts, windows
-from millrace.llm.work import stored, without
+from millrace.llm.work import row_key, stored, without
 
 COUNTER_BITS = 22
 SLICES = 64
@@ -369,15 +369,23 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
 def keep_one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """`docs` without those that are linked to a document of smaller doc_id.
 
-    Of equal rows that repeat a doc_id, one stays.
+    Of equal rows that repeat a doc_id, one stays. Other rows that repeat one are
+    documents of their own; of those that are linked, one stays.
     """
-    linked = link_similar(docs, size, percent)
-    kept = without(docs, linked.where("component_id <> doc_id"), "jaccard-gone")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.take(1):
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").distinct()
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return without(docs, link_similar(docs, size, percent).where("component_id <> doc_id"), "jaccard-gone")
+    # Numbers in the order of doc_id, one for each different row.
+    known, keyed = docs.where("doc_id IS NOT NULL"), docs.withColumn("_row", row_key(docs))
+    rows = known.select("doc_id", row_key(docs).alias("_key")).distinct().orderBy("doc_id", "_key")
+    numbers = stored(rows.select("_key", F.monotonically_increasing_id().alias("_number")), "jaccard-numbers")
+    numbered = stored(keyed.join(numbers, (F.col("_row") == F.col("_key")) & F.col("doc_id").isNotNull(), "left").drop("_row", "_key"), "jaccard-numbered")
+    linked = link_similar(numbered.select(F.col("_number").alias("doc_id"), "text"), size, percent)
+    gone = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_number"))
+    kept = without(numbered, gone, "jaccard-gone", key="_number")
+    once = kept.where("_number IS NOT NULL").join(repeated, "doc_id", "left_semi").distinct()
+    rest = kept.where("_number IS NULL").unionByName(kept.where("_number IS NOT NULL").join(repeated, "doc_id", "left_anti"))
+    return rest.unionByName(once).select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,17 @@ def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame, name: str, broadcast_upto: int = 1_000_000) -> DataFrame:
-    """`docs` without the doc_ids in `gone` (a null doc_id equals a null).
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row: rows of one key are equal, nulls and all."""
+    return F.xxhash64(*(x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
 
-    Up to `broadcast_upto` ids (8 MB) are counted and then sent to the texts;
+
+def without(docs: DataFrame, gone: DataFrame, name: str, broadcast_upto: int = 1_000_000, key: str = "doc_id") -> DataFrame:
+    """`docs` without the keys in `gone` (a null key equals a null).
+
+    Up to `broadcast_upto` keys (8 MB) are counted and then sent to the texts;
     beyond that both sides are shuffled.
     """
-    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), name, rows=docs.count())
+    gone = stored(gone.select(F.col(key).alias("_gone")).distinct(), name, rows=docs.count())
     ids = F.broadcast(gone) if gone.count() <= broadcast_upto else gone
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(*docs.columns)
+    return docs.join(ids, docs[key].eqNullSafe(ids["_gone"]), "left_anti").select(*docs.columns)

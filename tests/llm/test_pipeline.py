@@ -44,6 +44,19 @@ def test_near_copies_by_five_words(spark, documents, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
 
 
+def test_a_verdict_holds_for_its_row_only(spark, documents, prose):
+    leak = prose(9000, 30)
+    texts = [prose(1), prose(2), "too short", prose(3) + " " + leak]
+    sf = documents([*((None, t, "en", "a") for t in texts), *((7, t + " more", "en", "a") for t in texts)])
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = lambda stage: sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, docs, sf).collect())
+    rows = lambda *left_out: sorted((i, texts[k] + more) for i, more in ((0, ""), (7, " more")) for k in range(4) if k not in left_out)
+    assert kept(corpus_pipeline.quality_rules) == rows(2)
+    assert kept(corpus_pipeline.benchmark_decontamination) == rows(3)
+    assert kept(corpus_pipeline.ngram_jaccard_join) == rows()
+
+
 def test_empty(spark, documents):
     sf = documents([])
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
