@@ -2,16 +2,19 @@
 
 Every document becomes a vector of transformed statistics. For each language
 and source, a minimum-covariance-determinant estimate is found by concentration
-steps that run as Spark aggregations over all documents: from medians and
-deviations, keep the half-to-three-quarters of documents that lie nearest, take
-their mean and covariance, and repeat. Documents at a large Mahalanobis distance
-from that estimate are rejected, beside those that fail the fixed base rules.
+steps that run as Spark aggregations over all different vectors: from each of
+three starts about the medians, keep the half of the vectors that lie nearest,
+take their mean and covariance, and repeat until the determinant stops falling;
+the start of the least determinant counts. Documents at a large Mahalanobis
+distance from that estimate are rejected, beside those that fail the fixed base
+rules. Up to half of a group's different vectors may be junk, and copies of one
+text have one vector, however many they are.
 
 Defined cases: a null text has no words and fails the base rules; null languages
-and sources form groups of their own; groups below `min_group` documents are
-pooled by language, then all together, and if that is still too small only the
-base rules decide; repeated rows count as often as they occur; an empty table
-gives an empty table; extra columns are left alone.
+and sources form groups of their own; groups below `min_group` different vectors
+are pooled by language, then all together; if that is still too small, they are
+held to the estimate over all documents, and if those are too few only the base
+rules decide; an empty table gives an empty table; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from millrace.llm.work import stored
 FEATURES = {"x_words": 0.30, "x_word_length": 0.08, "x_symbols": 0.02, "x_upper": 0.03, "x_repeats": 0.06, "x_lines": 0.15, "x_distinct": 0.03}
 #: Median of chi squared with as many degrees of freedom as there are features.
 CHI2_MEDIAN = 6.345811
+#: Its 0.975 quantile.
+CHI2_975 = 16.012764
 SALTS = 32
 
 
@@ -69,23 +74,34 @@ def _features(counted: DataFrame) -> DataFrame:
     )
 
 
-def _beside(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join one row a group to all rows of the group.
+def _beside(rows: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    """Join a few rows a group to all rows of the group.
 
-    A group may hold a third of all rows: its row is repeated for every salt, so
+    A group may hold a third of all rows: its few are repeated for every salt, so
     its rows are dealt out by group and salt.
     """
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(copies, [key, "salt"], how)
+    return rows.join(copies, [*keys, "salt"])
 
 
-def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Adds `grp`, the key of the group whose estimate a document is held to."""
-    sizes = rows.groupBy("narrow", "wide").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < min_group)
-    pooled = small.groupBy("wide").agg(F.sum("n").alias("pooled"))
-    names = sizes.join(pooled, "wide", "left").select("narrow", F.when(F.col("n") >= min_group, F.col("narrow")).when(F.col("pooled") >= min_group, F.concat(F.lit("pooled"), F.col("wide"))).otherwise("rest").alias("grp"))
-    return _beside(rows, names, "narrow").drop("narrow", "wide")
+def _distinct(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Each vector once in a group, however many documents have it."""
+    return rows.select(*keys, *names).distinct().withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
+
+
+def _grouped(rows: DataFrame, names: list[str], min_group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with `grp`, whose estimate a document is held to, and the vectors of each."""
+    vectors = stored(_distinct(rows, ["narrow", "wide"], names), "quality-vectors")
+    sizes = vectors.groupBy("narrow", "wide").agg(F.count("*").alias("n"))
+    small = _beside(vectors, sizes.where(F.col("n") < min_group).select("narrow"), "narrow")
+    pooled = small.select("wide", *names).distinct().groupBy("wide").agg(F.count("*").alias("pooled"))
+    grp = F.when(F.col("n") >= min_group, F.col("narrow")).when(F.col("pooled") >= min_group, F.concat(F.lit("pooled"), F.col("wide"))).otherwise("rest")
+    groups = stored(sizes.join(pooled, "wide", "left").select("narrow", grp.alias("grp")), "quality-groups", rows=sizes.count())
+    own = _distinct(_beside(vectors, groups, "narrow"), ["grp"], names)
+    rest = own.where("grp = 'rest'").count()
+    if 0 < rest < min_group:  # Too few for an estimate of their own.
+        own = own.where("grp <> 'rest'").unionByName(_distinct(vectors.withColumn("grp", F.lit("rest")), ["grp"], names))
+    return _beside(rows, groups, "narrow").drop("narrow", "wide"), own
 
 
 def _distance(names: list[str]) -> Column:
@@ -95,50 +111,117 @@ def _distance(names: list[str]) -> Column:
     return reduce(add, [(1.0 if i == j else 2.0) * F.col("precision")[i * p + j] * off[i] * off[j] for i in range(p) for j in range(i, p)])
 
 
-def _start(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
-    """Medians, and deviations about them, as the first estimate of each group."""
-    centres = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in names)).alias("centre"))
-    off = _beside(rows, centres, "grp")
-    spread = off.groupBy("grp").agg(F.first("centre").alias("centre"), F.array(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5, 1000), F.lit(floors[i])) for i, x in enumerate(names))).alias("s"))
-    p = len(names)
-    diagonal = F.array(*(1.0 / (F.col("s")[i] * F.col("s")[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
-    return spread.select("grp", "centre", diagonal.alias("precision"))
+def _upper(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _inverted(floors: list[float]):
-    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = len(floors)
+def _square(products, n: float, p: int) -> np.ndarray:
+    upper = np.zeros((p, p))
+    upper[np.triu_indices(p)] = np.asarray(products, float) / n
+    return np.triu(upper) + np.triu(upper, 1).T
+
+
+ESTIMATE = "centre array<double>, precision array<double>, logdet double"
+
+
+def _start(vectors: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """Three first estimates of each group, all about its medians.
+
+    Their deviations are those about the medians; their correlations are none,
+    those of tanh(z) and those of the directions z / |z|.
+    """
+    p = len(names)
+    centres = vectors.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 10_000) for x in names)).alias("centre"))
+    off = _beside(vectors, centres, "grp")
+    spread = off.groupBy("grp").agg(F.first("centre").alias("centre"), F.array(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5, 10_000), F.lit(floors[i])) for i, x in enumerate(names))).alias("s"))
+    scaled = _beside(vectors, spread, "grp").select("grp", "centre", "s", *(((F.col(x) - F.col("centre")[i]) / F.col("s")[i]).alias(x) for i, x in enumerate(names)))
+    norm = F.greatest(reduce(add, [F.col(x) * F.col(x) for x in names]), F.lit(1e-12))
+    sums = scaled.withColumn("norm", norm).groupBy("grp").agg(
+        F.first("centre").alias("centre"),
+        F.first("s").alias("s"),
+        F.count("*").alias("n"),
+        F.array(*(F.sum(F.tanh(x)) for x in names)).alias("sums"),
+        F.array(*(F.sum(F.tanh(names[i]) * F.tanh(names[j])) for i, j in _upper(p))).alias("tanhs"),
+        F.array(*(F.sum(F.col(names[i]) * F.col(names[j]) / F.col("norm")) for i, j in _upper(p))).alias("signs"),
+    )
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            centres, precisions = [], []
-            for n, sums, products in zip(pdf["n"], pdf["sums"], pdf["products"], strict=True):
-                mean = np.asarray(sums, float) / n
-                upper = np.zeros((p, p))
-                upper[np.triu_indices(p)] = np.asarray(products, float) / n
-                cov = np.triu(upper) + np.triu(upper, 1).T - np.outer(mean, mean)
-                lift = np.maximum(np.square(floors) - np.diag(cov), 0.0)
-                cov = cov + np.diag(lift + 1e-3 * np.square(floors))
-                centres.append(mean.tolist())
-                precisions.append(np.linalg.inv(cov).ravel().tolist())
-            yield pd.DataFrame({"grp": pdf["grp"], "centre": centres, "precision": precisions})
+            rows = []
+            for g, centre, s, n, total, tanhs, signs in pdf[["grp", "centre", "s", "n", "sums", "tanhs", "signs"]].itertuples(index=False):
+                mean = np.asarray(total, float) / n
+                for start, cov in enumerate((np.eye(p), _square(tanhs, n, p) - np.outer(mean, mean), _square(signs, n, p))):
+                    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+                    r = 0.99 * cov / np.outer(sd, sd)
+                    np.fill_diagonal(r, 1.0)
+                    rows.append((g, start, list(centre), (np.linalg.inv(r) / np.outer(s, s)).ravel().tolist(), float("inf")))
+            yield pd.DataFrame(rows, columns=["grp", "start", "centre", "precision", "logdet"])
 
-    return invert
+    return sums.mapInPandas(build, f"grp string, start int, {ESTIMATE}")
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame, names: list[str], floors: list[float], share: float, groups: int, name: str) -> DataFrame:
-    """One step: the estimate from the `share` of each group nearest to `estimate`."""
-    measured = _beside(rows, estimate, "grp").select("grp", "salt", *names, _distance(names).alias("d2"))
-    reach = measured.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("reach"))
-    inner = _beside(measured, reach, "grp").where(F.col("d2") <= F.col("reach"))
+def _estimated(inner: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """Mean and covariance of the rows of each group and start."""
     p = len(names)
-    sums = inner.groupBy("grp").agg(
+    sums = inner.groupBy("grp", "start").agg(
         F.count("*").alias("n"),
         F.array(*(F.sum(x) for x in names)).alias("sums"),
-        F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p))).alias("products"),
+        F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in _upper(p))).alias("products"),
     )
-    return stored(sums.mapInPandas(_inverted(floors), "grp string, centre array<double>, precision array<double>"), name, rows=groups)
 
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for g, start, n, total, products in pdf[["grp", "start", "n", "sums", "products"]].itertuples(index=False):
+                mean = np.asarray(total, float) / n
+                cov = _square(products, n, p) - np.outer(mean, mean)
+                lift = np.maximum(np.square(floors) - np.diag(cov), 0.0)
+                cov = cov + np.diag(lift + 1e-3 * np.square(floors))
+                rows.append((g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(rows, columns=["grp", "start", "centre", "precision", "logdet"])
+
+    return sums.mapInPandas(invert, f"grp string, start int, {ESTIMATE}")
+
+
+def _measured(vectors: DataFrame, estimates: DataFrame, names: list[str]) -> DataFrame:
+    return _beside(vectors, estimates.select("grp", "start", "centre", "precision"), "grp").select("grp", "start", "salt", *names, _distance(names).alias("d2"))
 
-def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.75, steps: int = 3, min_group: int = 100) -> DataFrame:
+
+def _concentrate(vectors: DataFrame, estimates: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
+    """One step: the estimates from the `share` of each group nearest to `estimates`."""
+    measured = _measured(vectors, estimates, names)
+    reach = measured.groupBy("grp", "start").agg(F.percentile_approx("d2", share, 10_000).alias("reach"))
+    return _estimated(_beside(measured, reach, "grp", "start").where(F.col("d2") <= F.col("reach")), names, floors)
+
+
+def _scales(measured: DataFrame) -> DataFrame:
+    return measured.groupBy("grp", "start").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("members"))
+
+
+def _robust(vectors: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
+    """(grp, centre, precision, scale, members): the reweighted estimate of each group.
+
+    Every start is concentrated until its determinant falls by less than a
+    hundredth, the least determinant is kept, and mean and covariance are taken
+    once more from all vectors within the 0.975 quantile of its scaled distances.
+    """
+    few = vectors.select("grp").distinct().count() * 3
+    best = stored(_start(vectors, names, floors).withColumn("done", F.lit(False)), "quality-start", rows=few)
+    while best.where("NOT done").take(1):
+        moved = _concentrate(vectors, best.where("NOT done"), names, floors, share)
+        moved = moved.select("grp", "start", F.struct("centre", "precision", "logdet").alias("moved"))
+        better = F.coalesce(F.col("moved.logdet") < F.col("logdet"), F.lit(False))
+        estimate = [F.when(better, F.col(f"moved.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "logdet")]
+        done = ~F.coalesce(F.col("moved.logdet") < F.col("logdet") - 0.01, F.lit(False))
+        best = stored(best.join(moved, ["grp", "start"], "left").select("grp", "start", *estimate, done.alias("done")), "quality-step", rows=few)
+    least = best.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    measured = _measured(vectors, least, names)
+    near = _beside(measured, _scales(measured), "grp", "start").where(F.col("d2") <= CHI2_975 * F.col("scale"))
+    final = stored(_estimated(near, names, floors), "quality-final", rows=few)
+    return stored(final.join(_scales(_measured(vectors, final, names)), ["grp", "start"]).drop("start", "logdet"), "quality-estimate", rows=few)
+
+
+def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.5, min_group: int = 100) -> DataFrame:
     """Adds base_failed, distance (scaled, squared) and kept to document_counts().
 
     Distances are scaled so that their median in a group is that of chi squared;
@@ -147,18 +230,12 @@ def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.75
     names, floors = list(FEATURES), list(FEATURES.values())
     salt = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int")
     keys = {"narrow": F.to_json(F.struct("lang", "source")), "wide": F.to_json(F.struct("lang")), "salt": salt}
-    rows = stored(_grouped(stored(_features(counted).withColumns(keys), "quality-counts"), min_group), "quality-features")
-    groups = rows.select("grp").distinct().count()
-    estimate = stored(_start(rows, names, floors), "quality-start", rows=groups)
-    for step in range(steps):
-        estimate = _concentrate(rows, estimate, names, floors, share, groups, f"quality-step{step}")
-    measured = _beside(rows, estimate, "grp", "left").withColumn("d2", _distance(names))
-    scale = measured.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("scale"), F.count("*").alias("members"))
-    judged = _beside(measured, scale, "grp", "left")
-    distance = F.when(F.col("members") >= min_group, F.col("d2") / F.greatest("scale", F.lit(1.0))).otherwise(0.0)
+    rows, vectors = _grouped(stored(_features(counted).withColumns(keys), "quality-counts"), names, min_group)
+    estimate = _robust(stored(vectors, "quality-features"), names, floors, share)
+    distance = F.when(F.col("members") >= min_group, _distance(names) / F.col("scale")).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    drop = ["grp", "salt", "centre", "precision", "d2", "scale", "members"]
-    return judged.withColumn("distance", distance).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop(*drop, *names)
+    judged = _beside(rows, estimate, "grp").withColumn("distance", distance).withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop("grp", "salt", "centre", "precision", "scale", "members", *names)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

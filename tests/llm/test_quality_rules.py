@@ -38,5 +38,23 @@ def test_outliers_go_and_clean_documents_stay(spark, documents, prose):
     assert not any(got[i] for i, *_ in junk + shout)
 
 
+def test_large_shares_of_copies(spark, documents, prose):
+    clean = [(i, prose(i, 40 + i % 200), "en", "s") for i in range(300)]
+    mark = lambda t: " ".join(w + "###" for w in t.split())
+    junk = [(1000 + i, mark(prose(7)), "en", "s") for i in range(140)]  # copies of one junk text: 30 %
+    varied = [(2000 + i, prose(3000 + i, 40 + i % 200), "de", "s") for i in range(300)]
+    noise = [(3000 + i, mark(prose(i)), "de", "s") for i in range(180)]  # junk texts: 37 %
+    plain = [(4000 + i, prose(6000 + i, 80 + i % 40), "fr", "s") for i in range(200)]
+    long = [(5000 + i, prose(9, 1000), "fr", "s") for i in range(800)]  # copies of one clean text: 80 %
+    few = [(6000, mark(prose(8)), None, None), (6001, prose(5, 90), None, None)]  # too few for any pool
+    rows = clean + junk + varied + noise + plain + long + few
+    got = {r["doc_id"]: r["kept"] for r in q.op4_quality_rules(spark, documents(rows)).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[i] for i, *_ in junk + noise) and not got[6000]
+    for group in (clean, varied, plain):
+        assert sum(got[i] for i, *_ in group) >= 0.97 * len(group)
+    assert got[6001]
+
+
 def test_empty(spark, documents):
     assert q.op4_quality_rules(spark, documents([])).count() == 0
