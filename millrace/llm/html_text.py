@@ -11,6 +11,8 @@ import xxhash
 #: Elements of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+#: What is hashed and counted: blocks, and the cells of a table.
+HASHED = BLOCK | {"td", "th"}
 NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea label iframe svg canvas object video audio menu dialog math".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 #: A start tag of the key closes an open element of the value.
@@ -109,9 +111,9 @@ def _elements(root: Element) -> Iterator[Element]:
 
 
 def countable(root: Element) -> set[int]:
-    """The distinct hashes of a page's block elements."""
+    """The distinct hashes of a page's block elements and cells."""
     hashes = subtree_hashes(root)
-    return {hashes[id(e)] for e in _elements(root) if e.tag in BLOCK and e.tag != "html"}
+    return {hashes[id(e)] for e in _elements(root) if e.tag in HASHED and e.tag != "html"}
 
 
 def _unwanted(e: Element, inside: bool) -> bool:
@@ -136,11 +138,14 @@ def _gather(root: Element, drop: set[int], inside: bool) -> list[str]:
             flush()
         elif isinstance(e, str):
             line.append(e)
-        elif e.tag in ("br", "td", "th"):
+        elif e.tag == "br":
             line.append(" ")
             todo += [" ", *reversed(e.children)]
         elif e is root or not (_unwanted(e, inside) or id(e) in drop):
-            if e.tag in BLOCK:
+            if e.tag in ("td", "th"):
+                line.append(" ")
+                todo.append(" ")
+            elif e.tag in BLOCK:
                 flush()
                 todo.append(None)
             todo += reversed(e.children)
@@ -180,5 +185,5 @@ def article_text(root: Element, pages_with: dict[int, int]) -> str:
             return "\n".join(best[1])
     body = next((e for e in root.children if isinstance(e, Element) and e.tag == "body"), root)
     own = pages_with.get(hashes[id(body)], 1)
-    drop = {id(x) for x in _elements(body) if x.tag in BLOCK and pages_with.get(hashes[id(x)], 0) > 2 * own}
+    drop = {id(x) for x in _elements(body) if x.tag in HASHED and pages_with.get(hashes[id(x)], 0) > 2 * own}
     return "\n".join(_gather(body, drop, False))

@@ -28,6 +28,15 @@ def test_templates_are_removed_by_recurrence(spark, tmp_path):
     assert h.extract_articles(pages).columns.count("text") == 1
 
 
+def test_templates_of_a_section_and_in_cells(spark):
+    page = "<html><body>{part}<div><p>Story {n}</p></div><table><tr><td class='sidebar'>Links</td><td>Cell {n}</td><td>Buy now</td></tr></table></body></html>"
+    rows = [(i, "https://a.com/x", page.format(n=i, part="<div>Section news</div>" if i < 12 else "")) for i in range(400)]  # on 12 of 400 pages: 3 %
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for upto in (1_000_000, 0):  # Counts sent to tasks, and joined.
+        got = {r["page_id"]: r["text"] for r in h.extract_articles(pages, broadcast_upto=upto).collect()}
+        assert got == {i: f"Story {i}\nCell {i}" for i in range(400)}
+
+
 def test_recurring_paragraph_of_an_article_stays(spark):
     page = "<html><body><article><h1>Story {n}</h1><p>Licensed under MIT.</p><div class='promo'>Join</div></article></body></html>"
     pages = spark.createDataFrame([(i, "https://a.com/x", page.format(n=i)) for i in range(30)], "page_id long, url string, html string")
