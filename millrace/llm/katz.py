@@ -1,18 +1,21 @@
 """Operator 9: language-model scoring by Katz backoff.
 
-Bigrams and unigrams are counted over the training documents, counts up to five
+N-grams up to `order` are counted over the training documents, counts up to five
 are discounted by Good-Turing, and what a context's discounts free is spread over
-the words never seen after it, in proportion to their unigram probability and
-exactly normalised: p(w | v) = d(c) c(v w) / c(v) if the bigram was seen, else
-backoff(v) p(w). Unknown words share the mass that unigram discounts free; a
-context that was never seen backs off with weight one.
-
-Texts are tokenised once into chunks: rows of a few million tokens with a local
-vocabulary. A chunk asks for the counts of its distinct n-grams with one message
-a partition of the n-gram table; the partition adds up what all chunks know,
-keeps that as the table, and answers. Everything a chunk or a partition holds at
-a time is bounded by `chunk_tokens` and `partition_tokens`; a frequent word is
-one entry a chunk however often it occurs.
+the words never seen after it, in proportion to the probability of the next lower
+order and exactly normalised: p(w | uv) = d(c) c(uvw) / c(uv) if the n-gram was
+seen, else backoff(uv) p(w | v), and so on down. Unknown words share the mass that
+unigram discounts free; a context that was never seen backs off with weight one. A
+text is preceded by start marks.
+
+Texts are tokenised once into chunks: rows of about a million tokens with a local
+vocabulary. Order by order, a chunk asks for the counts of its distinct n-grams
+(see sums.py), then for the backoff weights of the contexts that it needs. To a
+weight each distinct n-gram adds once, by the one chunk that accounts for it, and
+only to contexts that some scored text may back off from: those that held-out
+texts have, and frequent ones, whose discounts may free nothing. Everything that a
+task holds at a time is bounded by `chunk_tokens`; a frequent n-gram is one entry a
+chunk however often it occurs.
 
 Defined cases: a null or empty text is one end token; held-out rows are scored
 but teach nothing; a null doc_id teaches; repeated rows count and are scored
@@ -23,7 +26,7 @@ an empty table gives an empty table; extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.packing import pack, pack_sorted, unpack, unpack_sorted
+from millrace.llm.sums import ASK, ASK_FIELDS, Answers, Levels, add_up, rows_of
 from millrace.llm.text import WordHashes, each, mix, texts
-from millrace.llm.work import stored
+from millrace.llm.work import discard, stored
 
 END, START = np.uint64(1), np.uint64(2)
-UNIGRAM, BIGRAM, BACKOFF = 0, 1, 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 _CHUNK = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths binary, vocabulary binary, ids binary, tokens long"
-_MESSAGE = "kind int, dest int, chunk long, keys binary, a binary, b binary"
-
-
-def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(schema)], names=[n for n, _ in schema])
-
-
 _CHUNK_FIELDS = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("vocabulary", pa.binary()), ("ids", pa.binary()), ("tokens", pa.int64())]
-_MESSAGE_FIELDS = [("kind", pa.int32()), ("dest", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())]
 
 
 def _chunks(chunk_tokens: int):
@@ -65,7 +60,7 @@ def _chunks(chunk_tokens: int):
             vocabulary, ids = np.unique(np.concatenate(parts), return_inverse=True)
             lengths = np.array([len(p) for p in parts], np.int32)
             row = (base + made, docs, held, pack(lengths), pack_sorted(vocabulary), pack(ids.astype(np.int32)), total)
-            return _rows(_CHUNK_FIELDS, [row]).to_batches()[0]
+            return rows_of(_CHUNK_FIELDS, [row]).to_batches()[0]
 
         for batch in batches:
             for doc, out, raw in zip(*(each(batch, c) for c in ("doc_id", "held_out", "raw")), strict=True):
@@ -85,89 +80,98 @@ def _chunks(chunk_tokens: int):
 
 @dataclass
 class _Chunk:
-    """One chunk unpacked: per token its word, its context and whether it teaches."""
+    """One chunk unpacked: per token its word and whether it teaches."""
 
     chunk: int
     doc_ids: list
     held_out: np.ndarray
+    lengths: np.ndarray
     starts: np.ndarray
-    #: Local vocabulary; index len(vocabulary) stands for the start of a text.
     vocabulary: np.ndarray
     word: np.ndarray
-    context: np.ndarray
     teaches: np.ndarray
 
     @classmethod
     def of(cls, row: dict) -> _Chunk:
         lengths, vocabulary, word = unpack(row["lengths"], np.int32), unpack_sorted(row["vocabulary"]), unpack(row["ids"], np.int32)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        context = np.roll(word, 1)
-        context[starts] = len(vocabulary)
         held = np.array(row["held_out"], bool)
-        return cls(row["chunk"], row["doc_ids"], held, starts, vocabulary, word, context, ~np.repeat(held, lengths))
+        return cls(row["chunk"], row["doc_ids"], held, lengths, starts, vocabulary, word, ~np.repeat(held, lengths))
+
+    def names(self, order: int) -> np.ndarray:
+        """Per token, the hash of the n-gram that ends there."""
+        words = mix(self.vocabulary)
+        out = words[self.word]
+        after = (words * _B)[self.word] if order > 1 else None
+        for k in range(2, order + 1):
+            out = np.roll(out, 1)
+            out[self.starts] = start_name(k)
+            out *= _A
+            out += after
+            out = mix(out)
+        return out
+
+    def grams(self, order: int) -> _Grams:
+        """The distinct n-grams, by hash."""
+        keys, first, inverse = np.unique(self.names(order), return_index=True, return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        counts = np.bincount(inverse[self.teaches], minlength=len(keys))
+        return _Grams(keys, first.astype(np.int32), inverse, counts)
+
+    def before(self, values: np.ndarray, at_start: int) -> np.ndarray:
+        """`values` of each token's predecessor in its text."""
+        out = np.roll(values, 1)
+        out[self.starts] = at_start
+        return out
+
+    def held_contexts(self, grams: _Grams) -> np.ndarray:
+        """Marks n-grams that come before a token of a held-out text."""
+        marks = np.zeros(len(grams.keys), bool)
+        followed = ~self.teaches
+        followed[self.starts + self.lengths - 1] = False
+        marks[grams.inverse[followed]] = True
+        return marks
+
+
+def start_name(order: int) -> np.uint64:
+    """The context of a text's first token among contexts of `order` - 1 words."""
+    return mix(np.array([START + np.uint64(order)]))[0]
 
-    def bigrams(self, *more: str) -> tuple[np.ndarray, ...]:
-        """np.unique over the bigram keys of all tokens."""
-        names = np.append(mix(self.vocabulary), mix(np.array([START])))
-        after, before = names * _B, names * _A
-        keys = before[self.context]
-        keys += after[self.word]
-        return np.unique(mix(keys), **dict.fromkeys(more, True))
-
-
-def _split(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys go over from one of `parts` equal ranges to the next."""
-    bounds = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
-    return np.append(np.searchsorted(keys, bounds), len(keys))
 
+@dataclass
+class _Grams:
+    """A chunk's distinct n-grams of one order, and what the corpus says of them."""
 
-def _messages(kind: int, chunk: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> list[tuple]:
-    """One row a range of keys that is not empty."""
-    cut = _split(keys, parts)
-    return [(kind, i, chunk, pack_sorted(keys[s:e]), pack(a[s:e]), None if b is None else pack(b[s:e])) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
+    keys: np.ndarray
+    first: np.ndarray
+    inverse: np.ndarray
+    counts: np.ndarray
+    #: Counts over all training texts; whether held-out texts go on after it;
+    #: whether this chunk accounts for it.
+    totals: np.ndarray = field(default=None)
+    continued: np.ndarray = field(default=None)
+    mine: np.ndarray = field(default=None)
+    p: np.ndarray = field(default=None)
 
 
-def _ask(parts: int):
-    """Every chunk's distinct unigrams and bigrams with their training counts."""
+def _ask_counts(order: int, last: bool, levels: Levels):
+    """Every chunk's distinct n-grams with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 c = _Chunk.of(row)
-                order = np.argsort(mix(c.vocabulary))
-                known = np.bincount(c.word[c.teaches], minlength=len(c.vocabulary)).astype(np.uint32)
-                rows = _messages(UNIGRAM, c.chunk, parts, mix(c.vocabulary)[order], known[order])
-                keys, inverse = c.bigrams("return_inverse")
-                counts = np.bincount(inverse[c.teaches], minlength=len(keys)).astype(np.uint32)
-                rows += _messages(BIGRAM, c.chunk, parts, keys, counts)
-                yield from _rows(_MESSAGE_FIELDS, rows).to_batches()
+                g = c.grams(order)
+                marks = np.zeros(len(g.keys), bool) if last else c.held_contexts(g)
+                yield from rows_of(ASK_FIELDS, levels.messages(0, c.chunk, 0, g.keys, g.counts, None, marks)).to_batches()
 
     return run
 
 
-_REPLY_FIELDS = [*_MESSAGE_FIELDS, ("stats", pa.list_(pa.int64()))]
-
-
-def _count(key: tuple, table: pa.Table) -> pa.Table:
-    """One partition of the n-gram table: adds up counts and answers each chunk.
-
-    `b` of an answer marks the bigrams that this chunk, alone of all, accounts for
-    in sums over distinct bigrams. `stats`: tokens, distinct n-grams, and those
-    with counts of 1 to DISCOUNTED + 1.
-    """
-    kind, dest = key[0].as_py(), key[1].as_py()
-    rows = sorted(table.select(["chunk", "keys", "a"]).to_pylist(), key=lambda r: r["chunk"])
-    keys, counts = [unpack_sorted(r["keys"]) for r in rows], np.concatenate([unpack(r["a"], np.uint32) for r in rows]).astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-    mine = np.zeros(len(inverse), bool)
-    taught = np.flatnonzero(counts)
-    mine[taught[np.unique(inverse[taught], return_index=True)[1]]] = True
+def _count_stats(totals: np.ndarray) -> list[int]:
+    """Tokens, distinct n-grams, and those with counts of 1 to DISCOUNTED + 1."""
     by_count = np.bincount(np.minimum(totals, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-    stats = [int(totals.sum()), int((totals > 0).sum()), *by_count[1 : DISCOUNTED + 2].tolist()]
-    out = [(kind, dest, r["chunk"], None, pack(totals[inverse[e - len(k) : e]]), pack(np.packbits(mine[e - len(k) : e])), None) for r, k, e in zip(rows, keys, ends, strict=True)]
-    return _rows(_REPLY_FIELDS, [*out, (kind, dest, -1, None, None, None, stats)])
+    return [int(totals.sum()), int((totals > 0).sum()), *by_count[1 : DISCOUNTED + 2].tolist()]
 
 
 @dataclass(frozen=True)
@@ -209,102 +213,27 @@ class Discounts:
 
 @dataclass(frozen=True)
 class KatzModel:
-    unigrams: Discounts
-    bigrams: Discounts
+    #: Discounts of each order, unigrams first.
+    orders: tuple[Discounts, ...]
     #: Unigram mass of unknown words; the counts it goes with add up to `weight`.
     unknown: float
     weight: float
 
     @classmethod
-    def of(cls, unigrams: list[int], bigrams: list[int]) -> KatzModel:
-        one = Discounts.of(unigrams)
-        free = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(unigrams[2 : 2 + DISCOUNTED], one.ratios[1:], strict=True), 1))
+    def of(cls, stats: list[list[int]]) -> KatzModel:
+        one = Discounts.of(stats[0])
+        free = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(stats[0][2 : 2 + DISCOUNTED], one.ratios[1:], strict=True), 1))
         weight = float(one.total)
         if free <= 0:
             free, weight = 1.0, weight + 1.0
-        return cls(one, Discounts.of(bigrams), free / weight, weight)
-
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.unigrams.kept(counts) / self.weight, self.unknown)
-
-
-def _answers(table: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
-    """A chunk's answers in the order of its keys."""
-    rows = sorted((r for r in table.select(["kind", "dest", "a", "b"]).to_pylist() if r["kind"] == kind), key=lambda r: r["dest"])
-    if column == "b" and dtype is bool:
-        return np.concatenate([np.unpackbits(unpack(r["b"], np.uint8), count=len(unpack(r["a"], np.int64))) for r in rows]).astype(bool)
-    return np.concatenate([unpack(r[column], dtype) for r in rows])
+        return cls((one, *map(Discounts.of, stats[1:])), free / weight, weight)
 
-
-def _partly(model: KatzModel, parts: int):
-    """Scores a chunk but for backoff weights, and asks for those.
-
-    Rows of kind BACKOFF carry, for each context, what this chunk's own bigrams
-    add to the discounted counts (a) and to the unigram mass seen (b); rows of
-    kind -1 carry the chunk itself: scores so far, and each token that backs off
-    as (document, index among the contexts asked for).
-    """
-    fields = [*_MESSAGE_FIELDS, ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("numbers", pa.binary())]
-
-    def run(_, chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        c = _Chunk.of(chunks.to_pylist()[0])
-        names = mix(c.vocabulary)
-        order = np.argsort(names)
-        counts = np.empty(len(names) + 1, np.int64)
-        counts[order] = _answers(replies, UNIGRAM, "a", np.int64)
-        # A text starts as often as one ends.
-        counts[-1] = counts[np.searchsorted(c.vocabulary, END)]
-        p = model.probability(counts)
-        keys, first, inverse = c.bigrams("return_index", "return_inverse")
-        pairs, mine = _answers(replies, BIGRAM, "a", np.int64), _answers(replies, BIGRAM, "b", bool)
-        kept = model.bigrams.kept(pairs)
-        own = first[mine]
-        sums = [np.bincount(c.context[own], weights=w, minlength=len(names) + 1) for w in (kept[mine], p[c.word[own]])]
-        seen = pairs[inverse] > 0
-        unseen = ~seen & (counts[c.context] > 0)
-        asked = np.zeros(len(names) + 1, bool)
-        asked[c.context[unseen]] = True
-        # A seen bigram of a context without free mass is set right with the weight.
-        contexts = np.flatnonzero(asked | (sums[0] > 0) | (counts > DISCOUNTED))
-        context_names = np.append(names, mix(np.array([START])))[contexts]
-        by_name = np.argsort(context_names)
-        contexts, context_names = contexts[by_name], context_names[by_name]
-        rows = [(*m, None, None, None) for m in _messages(BACKOFF, c.chunk, parts, context_names, sums[0][contexts], sums[1][contexts])]
-        del own, first, keys
-        sum_of = lambda values: np.add.reduceat(values, c.starts).astype(np.float64)
-        n = np.diff(np.append(c.starts, len(c.word)))
-        by_word = np.log10((counts + 1) / (model.unigrams.total + model.unigrams.distinct + 1))
-        numbers = [n.astype(np.float64), sum_of((counts > 0).astype(np.int64)[c.word]), sum_of(by_word[c.word])]
-        log = np.log10(np.maximum(kept, 1e-300))[inverse]
-        log -= np.log10(np.maximum(counts, 1))[c.context]
-        numbers = np.stack([*numbers, sum_of(np.where(seen, log, np.log10(p)[c.word]))])
-        del log
-        place = np.full(len(names) + 1, -1, np.int32)
-        place[contexts] = np.arange(len(contexts), dtype=np.int32)
-        # Seen tokens matter only where their context may have no free mass.
-        full = seen & (pairs[inverse] > DISCOUNTED)
-        waits = np.flatnonzero(unseen | full)
-        document = np.repeat(np.arange(len(n), dtype=np.int32), n)[waits]
-        waiting = np.stack([document, place[c.context[waits]], unseen[waits].astype(np.int32)])
-        rows.append((-1, len(contexts), c.chunk, pack(counts[contexts]), pack(waiting.ravel()), None, c.doc_ids, c.held_out.tolist(), pack(numbers.ravel())))
-        return _rows(fields, rows)
-
-    return run
-
-
-def _sum_backoff(key: tuple, table: pa.Table) -> pa.Table:
-    """Adds up what all chunks know of each context, and answers them."""
-    rows = sorted(table.select(["chunk", "keys", "a", "b"]).to_pylist(), key=lambda r: r["chunk"])
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(inverse, weights=np.concatenate([unpack(r[x], np.float64) for r in rows]), minlength=len(distinct)) for x in ("a", "b")]
-    ends = np.cumsum([len(k) for k in keys])
-    dest = key[0].as_py()
-    return _rows(_MESSAGE_FIELDS, [(BACKOFF, dest, r["chunk"], None, *(pack(s[inverse[e - len(k) : e]]) for s in sums)) for r, k, e in zip(rows, keys, ends, strict=True)])
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, self.orders[0].kept(counts) / self.weight, self.unknown)
 
 
 def backoff_weights(counts: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts: the backoff weight, and the count that their bigrams are shares of.
+    """Of contexts: the backoff weight, and the count that their n-grams are shares of.
 
     That is the context's count, or one more if its discounts free nothing.
     """
@@ -312,20 +241,100 @@ def backoff_weights(counts: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> t
     return (1 - kept / whole) / (1 - mass), whole
 
 
-def _finish(_, chunks: pa.Table, replies: pa.Table) -> pa.Table:
-    row = chunks.to_pylist()[0]
-    counts = unpack(row["keys"], np.int64)
-    n, known, base, score = unpack(row["numbers"], np.float64).reshape(4, -1)
-    if len(counts):
-        weight, whole = backoff_weights(counts, _answers(replies, BACKOFF, "a", np.float64), _answers(replies, BACKOFF, "b", np.float64))
-        document, context, unseen = unpack(row["a"], np.int32).reshape(3, -1)
-        more = np.where(unseen == 1, np.log10(weight[context]), np.log10(np.maximum(counts[context], 1) / whole[context]))
-        score = score + np.bincount(document, weights=more, minlength=len(score))
-    arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-    return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+class _Scorer:
+    """A chunk beside the answers that it has got so far, order by order."""
+
+    def __init__(self, chunk: pa.Table, answers: pa.Table, model: KatzModel):
+        self.chunk, self.model = _Chunk.of(chunk.to_pylist()[0]), model
+        self.rows: dict[str, list[dict]] = {}
+        for r in answers.to_pylist():
+            self.rows.setdefault(r.pop("kind"), []).append(r)
+        self.grams = self._counted(1)
+        self.grams.p = model.unigram(self.grams.totals)
+        self.unigrams = self.grams
+
+    def _counted(self, order: int) -> _Grams:
+        g, got = self.chunk.grams(order), Answers.of(self.rows.pop(f"count{order}"), True)
+        g.totals, g.continued, g.mine = got.a, got.flags, got.mine
+        return g
+
+    def up(self, order: int) -> None:
+        """From order - 1 to the n-grams of `order`, not yet with probabilities.
+
+        Contexts are numbered as the n-grams of the lower order are; the last is
+        the one of a text's start, which occurs as often as a text ends.
+        """
+        self.lower = self.grams
+        end = np.searchsorted(self.unigrams.keys, mix(np.array([END]))[0])
+        self.context_counts = np.append(self.lower.totals, self.unigrams.totals[end])
+        self.grams = g = self._counted(order)
+        self.context = self.chunk.before(self.lower.inverse, len(self.lower.keys))[g.first]
+        self.below = self.lower.p[self.lower.inverse[g.first]]
+        seen = g.totals > 0
+        self.unseen = ~seen & (self.context_counts[self.context] > 0)
+        #: A seen n-gram of a context without free mass is set right with the weight.
+        self.asked = np.zeros(len(self.context_counts), bool)
+        self.asked[self.context[self.unseen | (g.totals > DISCOUNTED)]] = True
+
+    def ask_weights(self, order: int, levels: Levels) -> list[tuple]:
+        """What this chunk's own n-grams add to the discounted counts of contexts
+        and to the lower-order mass seen after them."""
+        g, counts = self.grams, self.context_counts
+        wanted = (np.append(self.lower.continued, True) & (counts > 0)) | (counts > DISCOUNTED)
+        own = np.flatnonzero(g.mine & wanted[self.context])
+        sums = [np.bincount(self.context[own], weights=w, minlength=len(counts)) for w in (self.model.orders[order - 1].kept(g.totals[own]), self.below[own])]
+        chosen = np.flatnonzero(self.asked | (sums[0] > 0))
+        names = np.append(self.lower.keys, start_name(order))[chosen]
+        by_name = np.argsort(names)
+        chosen, names = chosen[by_name], names[by_name]
+        return levels.messages(0, self.chunk.chunk, 0, names, sums[0][chosen], sums[1][chosen], self.asked[chosen])
+
+    def weigh(self, order: int) -> None:
+        """The probabilities of this order, with the weights that were asked for."""
+        g, counts = self.grams, self.context_counts
+        names = np.append(self.lower.keys, start_name(order))
+        chosen = np.flatnonzero(self.asked)
+        chosen = chosen[np.argsort(names[chosen])]
+        whole, weight = np.maximum(counts, 1).astype(np.float64), np.ones(len(counts))
+        if len(chosen):
+            got = Answers.of(self.rows.pop(f"weight{order}"), False)
+            weight[chosen], whole[chosen] = backoff_weights(counts[chosen], got.a, got.b)
+        kept = self.model.orders[order - 1].kept(g.totals)
+        g.p = np.where(g.totals > 0, kept / whole[self.context], self.below * np.where(self.unseen, weight[self.context], 1.0))
+
+    def scores(self) -> pa.Table:
+        c, one = self.chunk, self.unigrams
+        total = lambda values: np.add.reduceat(values, c.starts).astype(np.float64)
+        by_word = np.log10((one.totals + 1) / (self.model.orders[0].total + self.model.orders[0].distinct + 1))
+        known = total((one.totals > 0).astype(np.int64)[one.inverse]).astype(np.int64)
+        arrays = [pa.array(c.doc_ids, pa.int64()), pa.array(c.held_out.tolist(), pa.bool_()), pa.array(c.lengths.astype(np.int64)), pa.array(known), pa.array(total(by_word[one.inverse])), pa.array(total(np.log10(self.grams.p)[self.grams.inverse]))]
+        return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _ask_weights(model: KatzModel, order: int, levels: Levels):
+    def run(_, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        s = _Scorer(chunk, answers, model)
+        for k in range(2, order + 1):
+            s.up(k)
+            if k < order:
+                s.weigh(k)
+        return rows_of(ASK_FIELDS, s.ask_weights(order, levels))
+
+    return run
+
+
+def _score(model: KatzModel):
+    def run(_, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        s = _Scorer(chunk, answers, model)
+        for k in range(2, len(model.orders) + 1):
+            s.up(k)
+            s.weigh(k)
+        return s.scores()
+
+    return run
 
 
-def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_750_000, partition_tokens: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, order: int = 3, chunk_tokens: int = 1_000_000, fan: int = 256) -> DataFrame:
     """Learn from the rows of `docs` (doc_id, text, ...) where the SQL condition
     `held_out` is not true, and score all.
 
@@ -333,19 +342,29 @@ def score_texts(docs: DataFrame, held_out: str, chunk_tokens: int = 1_750_000, p
     """
     source = texts(docs, "doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = stored(source.mapInArrow(_chunks(chunk_tokens), _CHUNK), "lm-chunks")
-    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
-    parts = max(1, -(-tokens // partition_tokens))
-    # As many tasks as there are partitions of the table, whatever the session's number.
-    replies = stored(chunks.mapInArrow(_ask(parts), _MESSAGE).repartition(2 * parts, "kind", "dest").groupBy("kind", "dest").applyInArrow(_count, _MESSAGE + ", stats array<long>"), "lm-counts")
-    sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(str(i)) for i in range(DISCOUNTED + 3)]
-    stats = {k: [*(replies.where((F.col("chunk") < 0) & (F.col("kind") == k)).agg(*sums).first())] for k in (UNIGRAM, BIGRAM)}
-    model = KatzModel.of(stats[UNIGRAM], stats[BIGRAM])
-    answers = replies.where("chunk >= 0").drop("stats")
-    extra = ", doc_ids array<long>, held_out array<boolean>, numbers binary"
-    partly = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_partly(model, parts), _MESSAGE + extra), "lm-partly")
-    backoff = partly.where(f"kind = {BACKOFF}").select("dest", "chunk", "keys", "a", "b").repartition(parts, "dest").groupBy("dest").applyInArrow(_sum_backoff, _MESSAGE)
-    done = partly.where("kind = -1").groupBy("chunk").cogroup(backoff.groupBy("chunk")).applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
+    levels = Levels.of(chunks.count(), fan)
+    answers, stats = {}, []
+    for k in range(1, order + 1):
+        asks = chunks.mapInArrow(_ask_counts(k, k == order, levels), ASK)
+        got = answers[f"count{k}"] = add_up(asks, levels, f"lm-count{k}", True, _count_stats)
+        sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(str(i)) for i in range(DISCOUNTED + 3)]
+        stats.append([*got.where("member < 0").agg(*sums).first()])
+    model = KatzModel.of(stats)
+
+    def beside(f, schema: str) -> DataFrame:
+        """`f` of each chunk and all answers that it has got so far."""
+        columns = [F.col("member").alias("chunk"), "place", "a", "b", "flags", "mine"]
+        known = None
+        for kind, table in answers.items():
+            rows = table.where("member >= 0").select(F.lit(kind).alias("kind"), *columns)
+            known = rows if known is None else known.unionByName(rows)
+        return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(f, schema)
+
+    for k in range(2, order + 1):
+        answers[f"weight{k}"] = add_up(beside(_ask_weights(model, k, levels), ASK), levels, f"lm-weight{k}", False)
+    done = stored(beside(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
+    discard(chunks, *answers.values())
+    return done.withColumn("train_tokens", F.lit(model.orders[0].total).cast("long"))
 
 
 def op9_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
