@@ -12,11 +12,15 @@ Texts are tokenised once into chunks: rows of about a million tokens with a loca
 vocabulary. Order by order, a chunk asks for the counts of its distinct n-grams
 (see sums.py), then for the backoff weights of the contexts that it needs. To a
 weight each distinct n-gram adds once, by the one chunk that accounts for it, and
-only to contexts that some scored text may back off from: those that held-out
-texts have, and frequent ones, whose discounts may free nothing. Everything that a
+only to contexts that some scored text may back off from: those that held-out texts
+have. Everything that a
 task holds at a time is bounded by `chunk_tokens`; a frequent n-gram is one entry a
 chunk however often it occurs.
 
+Counts above five are not discounted, so a context that occurs more often may have
+nothing free. Such contexts count as seen once more, by something unknown: their
+n-grams are shares of c(uv) + 1.
+
 Defined cases: a null or empty text is one end token; held-out rows are scored
 but teach nothing; a null doc_id teaches; repeated rows count and are scored
 each; without training rows every score is 0 (probability one of the unknown);
@@ -232,13 +236,9 @@ class KatzModel:
         return np.where(counts > 0, self.orders[0].kept(counts) / self.weight, self.unknown)
 
 
-def backoff_weights(counts: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts: the backoff weight, and the count that their n-grams are shares of.
-
-    That is the context's count, or one more if its discounts free nothing.
-    """
-    whole = np.where(counts - kept > 1e-9 * np.maximum(counts, 1), counts, counts + 1).astype(np.float64)
-    return (1 - kept / whole) / (1 - mass), whole
+def whole_counts(counts: np.ndarray) -> np.ndarray:
+    """Of contexts: the count that their n-grams are shares of."""
+    return np.maximum(counts + (counts > DISCOUNTED), 1).astype(np.float64)
 
 
 class _Scorer:
@@ -272,15 +272,14 @@ class _Scorer:
         self.below = self.lower.p[self.lower.inverse[g.first]]
         seen = g.totals > 0
         self.unseen = ~seen & (self.context_counts[self.context] > 0)
-        #: A seen n-gram of a context without free mass is set right with the weight.
         self.asked = np.zeros(len(self.context_counts), bool)
-        self.asked[self.context[self.unseen | (g.totals > DISCOUNTED)]] = True
+        self.asked[self.context[self.unseen]] = True
 
     def ask_weights(self, order: int, levels: Levels) -> list[tuple]:
         """What this chunk's own n-grams add to the discounted counts of contexts
         and to the lower-order mass seen after them."""
         g, counts = self.grams, self.context_counts
-        wanted = (np.append(self.lower.continued, True) & (counts > 0)) | (counts > DISCOUNTED)
+        wanted = np.append(self.lower.continued, True)
         own = np.flatnonzero(g.mine & wanted[self.context])
         sums = [np.bincount(self.context[own], weights=w, minlength=len(counts)) for w in (self.model.orders[order - 1].kept(g.totals[own]), self.below[own])]
         chosen = np.flatnonzero(self.asked | (sums[0] > 0))
@@ -295,10 +294,10 @@ class _Scorer:
         names = np.append(self.lower.keys, start_name(order))
         chosen = np.flatnonzero(self.asked)
         chosen = chosen[np.argsort(names[chosen])]
-        whole, weight = np.maximum(counts, 1).astype(np.float64), np.ones(len(counts))
-        if len(chosen):
+        whole, weight = whole_counts(counts), np.ones(len(counts))
+        if len(chosen):  # Kept counts, and the mass below of what was seen.
             got = Answers.of(self.rows.pop(f"weight{order}"), False)
-            weight[chosen], whole[chosen] = backoff_weights(counts[chosen], got.a, got.b)
+            weight[chosen] = (1 - got.a / whole[chosen]) / (1 - got.b)
         kept = self.model.orders[order - 1].kept(g.totals)
         g.p = np.where(g.totals > 0, kept / whole[self.context], self.below * np.where(self.unseen, weight[self.context], 1.0))
 
