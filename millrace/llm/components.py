@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.work import stored
+from millrace.llm.work import discard, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     seen = None
     while rows:
         # Stars never have more edges than there were.
-        current = stored(_small_star(_large_star(current)), f"{name}-star", rows=rows)
+        before, current = current, stored(_small_star(_large_star(current)), f"{name}-star", rows=rows)
+        if seen is not None:
+            discard(before)
         state = current.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
         if state == seen:
             break

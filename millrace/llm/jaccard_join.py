@@ -4,9 +4,11 @@ A document is the set of its distinct word shingles. All documents order the
 shingles alike: by how many sets are seen to hold them, rarest first. If two
 sets are similar enough, little of the rarer end of either can be missing in the
 other, so their prefixes must meet: in one shingle if it is of the rare class,
-or in a combination of two if of the frequent class, whose prefixes are one
-shingle longer. These signatures are joined, and what meets is verified on the
-whole sets.
+or in a combination of two if of the frequent class. There the prefix is extended
+until it holds more shared shingles than both sets together can miss; then two of
+those follow one another in both sets, and only neighbours need to be combined: a
+number of signatures in proportion to the set, whatever its size. These signatures
+are joined, and what meets is verified on the whole sets.
 
 Equal sets become one node before the join. Inside one signature no all-pairs
 are made: first each set meets the signature's best-placed set only; once those
@@ -38,14 +40,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.text import WordHashes, each, mix, texts, windows
-from millrace.llm.work import row_key, stored, without
+from millrace.llm import work
+from millrace.llm.work import Scratch, row_key, stored, without
 
 COUNTER_BITS = 22
 SLICES = 64
-#: Sets above this size index frequent shingles one by one: the number of
-#: combinations would grow with the square of the prefix. Sets that may link
-#: with such a set do both.
-COMBINE_UPTO = 300
+#: Signatures that no more sets than this can hold, by the counters, are compared
+#: in one sorted pass.
+BOUNDED = 10_000
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -135,43 +137,37 @@ def _threshold(counters: np.ndarray) -> int:
     return int(mean + 6 * mean**0.5 + 32)
 
 
-def _size_class(n: int, percent: int) -> int:
-    """Sets that may link are in the same or in neighbouring classes."""
-    return int(np.log(n) / np.log(100 / percent) + 1e-9)
+def prefix_signatures(s: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set, the overlap each still leaves possible, and a bound on
+    the sets that hold each.
 
+    The overlap supposes that what is before the signature is lost to both sets: for
+    a rare shingle all shingles before it, for a combination the rare ones.
 
-def prefix_signatures(s: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Signatures of a set, the overlap each still leaves possible, and how many
-    of them (the first ones) are of the rare class.
-
-    The second number supposes that the signature is the first thing that two
-    sets share: the shingles before it are then lost to both.
+    Why it is enough to combine neighbours: let two sets that may link lack a and b
+    of their shingles, no rare one being shared. Of the first a + b + 2 shingles that
+    they share, some two have nothing between them in either set, and they lie within
+    the first a + (a + b + 2) of the one's frequent shingles and the first
+    b + (a + b + 2) of the other's.
     """
     n = len(s)
-    least = -(-percent * n // 100)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    if least == n and n * 100 // percent == n:
-        return none  # Only equal sets are similar enough.
+    least, most = -(-percent * n // 100), n * 100 // percent
+    if least == n == most:  # Only equal sets are similar enough.
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((s, counts))
     ranked, held = s[order], counts[order]
     misses = n - least
     rare = int(np.searchsorted(held, frequent, side="right"))
     singles = ranked[: min(rare, misses + 1)]
-    sigs, room = [mix(singles ^ _PAIR)], [n - np.arange(len(singles))]
-    need = misses + 1 - rare
-    if need > 0:
-        size_class = _size_class(n, percent)
-        classes = np.array([size_class, size_class + 1], np.uint64)
-        if n * percent > COMBINE_UPTO * 100 or n * 100 > COMBINE_UPTO * percent:
-            tail = ranked[rare : rare + need]
-            sigs += [mix(mix(tail * _PAIR) + c) for c in classes]
-            room += [n - rare - np.arange(len(tail))] * 2
-        if n <= COMBINE_UPTO:
-            tail = ranked[rare : rare + need + 1]
-            i, j = np.triu_indices(len(tail), 1)
-            sigs += [mix(mix(tail[i] * _PAIR + mix(tail[j])) + c) for c in classes]
-            room += [n - rare - j + 1] * 2
-    return np.concatenate(sigs), np.concatenate(room), len(singles)
+    sigs, room, bound = [mix(singles ^ _PAIR)], [n - np.arange(len(singles))], [held[: len(singles)]]
+    if rare <= misses:
+        mine, theirs = misses - rare, most - -(-percent * most // 100)
+        tail = slice(rare, rare + 2 * mine + theirs + 2)
+        tokens, seen = ranked[tail], held[tail]
+        sigs.append(mix(tokens[:-1] * _PAIR + mix(tokens[1:])))
+        room.append(np.full(len(tokens) - 1, n - rare))
+        bound.append(seen[:-1])  # The rarer of the two.
+    return np.concatenate(sigs), np.concatenate(room), np.concatenate(bound)
 
 
 def _signatures(size: int, percent: int, counters, frequent: int):
@@ -182,11 +178,10 @@ def _signatures(size: int, percent: int, counters, frequent: int):
         table, seen = counters.value, set()
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
-            sig, room = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            rare = np.concatenate([np.arange(len(p[0])) < p[2] for p in parts])
+            sig, room, bound = (np.concatenate([p[i] for p in parts]) for i in range(3))
             reps = [len(p[0]) for p in parts]
-            columns = [sig.view(np.int64), np.repeat(np.array([p[3] for p in parts], np.int64), reps), np.repeat(np.array([p[4] for p in parts], np.int32), reps), room.astype(np.int32), rare]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "fp", "n", "room", "rare"])
+            columns = [sig.view(np.int64), np.repeat(np.array([p[3] for p in parts], np.int64), reps), np.repeat(np.array([p[4] for p in parts], np.int32), reps), room.astype(np.int32), bound <= max(frequent, BOUNDED)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "fp", "n", "room", "bounded"])
 
         for batch in batches:
             parts, held = [], 0
@@ -195,9 +190,9 @@ def _signatures(size: int, percent: int, counters, frequent: int):
                 if not len(s) or (print_ := _fingerprint(s)) in seen:
                     continue
                 seen.add(print_)
-                sig, room, rare = prefix_signatures(s, table[s & mask], frequent, percent)
+                sig, room, bound = prefix_signatures(s, table[s & mask], frequent, percent)
                 if len(sig):
-                    parts.append((sig, room, rare, print_, len(s)))
+                    parts.append((sig, room, bound, print_, len(s)))
                     held += len(sig)
                 if held > 200_000:
                     yield out(parts)
@@ -218,35 +213,34 @@ def _shared_only(percent: int):
             sig = held.column("sig").to_numpy()
             last = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
             rest = held.slice(last)
-            yield from held.slice(0, last).filter(pa.array(_with_partner(held.slice(0, last), percent))).to_batches()
+            yield from held.take(_with_partner(held.slice(0, last), percent)).to_batches()
         if rest is not None:
-            yield from rest.filter(pa.array(_with_partner(rest, percent))).to_batches()
+            yield from rest.take(_with_partner(rest, percent)).to_batches()
 
     return run
 
 
 def _with_partner(rows: pa.Table, percent: int) -> np.ndarray:
-    """Marks rows that size and position let link with a row of the same signature."""
+    """Rows that size and position let link with another set of the same signature.
+
+    Ordered by size, the nearest other set tells whether one is near enough. Copies
+    of one set, from different tasks, count once.
+    """
     sig, fp, n, room = (rows.column(c).to_numpy().astype(np.int64) for c in ("sig", "fp", "n", "room"))
-    keep = np.zeros(len(sig), bool)
     if not len(sig):
-        return keep
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    sizes = np.diff(np.append(first, len(sig)))
-
-    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-        return near & ((100 + percent) * np.minimum(room[x], room[y]) >= percent * (n[x] + n[y])) & (fp[x] != fp[y])
-
-    two = first[sizes == 2]
-    both = may(two, two + 1)
-    keep[two[both]] = keep[two[both] + 1] = True
-    for start, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        # Copies of one set, from different tasks, count once.
-        group = start + np.unique(fp[start : start + size], return_index=True)[1]
-        for x in np.array_split(group, -(-len(group) // 256)):
-            keep[x] = may(x[:, None], group[None, :]).any(axis=1)
-    return keep
+        return np.zeros(0, np.int64)
+    order = np.lexsort((fp, n, sig))
+    same = np.zeros(len(sig), bool)
+    same[1:] = (np.diff(sig[order]) == 0) & (np.diff(fp[order]) == 0)
+    order = order[~same]
+    sig, n, room = sig[order], n[order], room[order]
+    near = np.zeros(len(sig) + 1, bool)  # With the row before.
+    near[1:-1] = (sig[1:] == sig[:-1]) & (100 * n[:-1] >= percent * n[1:])
+    start = np.concatenate([[True], sig[1:] != sig[:-1], [True]])
+    pair = np.flatnonzero(start[:-2] & ~start[1:-1] & start[2:]) + 1 if len(sig) > 1 else np.zeros(0, np.int64)
+    near[pair] &= (100 + percent) * np.minimum(room[pair - 1], room[pair]) >= percent * (n[pair - 1] + n[pair])
+    least = -(-percent * n // 100)
+    return order[(near[:-1] | near[1:]) & ((100 + percent) * room >= percent * (n + least))]
 
 
 def _sets(size: int):
@@ -290,7 +284,10 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     Sets link when 100 * intersection >= percent * union; component_id is the
     least doc_id that can be reached by links.
     """
-    spark = docs.sparkSession
+    if percent < 75:
+        raise ValueError("neighbouring shingles are certain to be shared from 75 per cent on only")
+    spark, scratch = docs.sparkSession, Scratch()
+    stored = scratch.stored
     source = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     described = stored(source.mapInArrow(_describe(size), "doc_id long, n long, fp long, bits array<long>, slice int, counts binary"), "jaccard-documents")
     counters = _counters(described)
@@ -300,12 +297,12 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     members = described.where("slice IS NULL")
     nodes = stored(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-nodes", rows=members.count())
 
-    # A rare signature is in a bounded number of sets: one sorted pass leaves those
-    # that several share. A frequent one may be in a third of all sets and is only
-    # ever aggregated and joined.
-    signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, rare boolean"), "jaccard-signatures")
-    rare = signatures.where("rare").drop("rare").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
-    met = stored(rare.unionByName(signatures.where("NOT rare").drop("rare")), "jaccard-met")
+    # Most signatures are in a bounded number of sets: one sorted pass leaves those
+    # that several share. Others may be in a third of all sets and are only ever
+    # aggregated and joined.
+    signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, bounded boolean"), "jaccard-signatures")
+    bounded = signatures.where("bounded").drop("bounded").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
+    met = stored(bounded.unionByName(signatures.where("NOT bounded").drop("bounded")), "jaccard-met")
     rows = met.count()
     # The best-placed set of a signature has lost the least before it.
     best = met.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"), F.min(F.struct((F.col("n") - F.col("room")).alias("lost"), "n", "fp", "room")).alias("p")).where("low <> high").select("sig", "rows", F.struct("p.fp", "p.n", "p.room").alias("p"))
@@ -335,7 +332,8 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
         x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
         true = near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long")
-        return stored(true, name, rows=n_pairs, per_file=10_000)
+        # Verified where the shuffle left them, by bytes; only links are dealt again.
+        return stored(true.repartition(-(-n_pairs // 200_000)), name)
 
     first = links(stars, "jaccard-links1")
     labels = components(first, "jaccard-components1")
@@ -363,7 +361,9 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
             final = components(first.unionByName(second), "jaccard-components2")
     by_set = nodes.join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = members.join(by_set.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    done = work.stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-classes")
+    scratch.clear()
+    return done
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:

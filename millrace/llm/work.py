@@ -30,11 +30,15 @@ def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20
     The copy is complete before anything reads it, so a lost executor costs at
     most the tasks that were running. Where a bound on its `rows` is known, it is
     written in files of about `per_file` rows rather than one a task: many tiny
-    files cost more than their contents, on any store.
+    files cost more than their contents, on any store. Few rows are dealt out
+    again for that, so that what computes them stays as wide as it is.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    shaped = df if rows is None else df.coalesce(-(-rows // per_file) or 1)
+    shaped = df
+    if rows is not None:
+        files = -(-rows // per_file) or 1
+        shaped = df.repartition(files) if files <= 8 else df.coalesce(files)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -54,6 +58,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """The tables of one run, to be deleted together when its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str, **options) -> DataFrame:
+        table = stored(df, name, **options)
+        self.tables.append(table)
+        return table
+
+    def clear(self) -> None:
+        discard(*self.tables)
+
+
 def row_key(df: DataFrame) -> Column:
     """A 64-bit hash of a whole row: rows of one key are equal, nulls and all."""
     return F.xxhash64(*(x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))

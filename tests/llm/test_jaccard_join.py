@@ -104,3 +104,48 @@ def test_bitmap_bound():
         y = np.unique(np.concatenate([x[draw.random(len(x)) < 0.9], draw.integers(0, 2**64, 20, np.uint64)]))
         differ = sum(int(a ^ b).bit_count() for a, b in zip(j._bitmap(x).view(np.uint64), j._bitmap(y).view(np.uint64), strict=True))
         assert differ <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90])
+def test_sets_that_link_share_a_signature(percent):
+    """At any line between rare and frequent, and any counts."""
+    draw, linked = np.random.default_rng(percent), 0
+    for round_ in range(1500):
+        n = int(draw.integers(1, 30 if round_ % 2 else 400))
+        x = np.unique(draw.integers(0, 2**64, n, np.uint64))
+        lose = draw.random(len(x)) < draw.uniform(0, 1 - percent / 100)
+        y = np.unique(np.concatenate([x[~lose], draw.integers(0, 2**64, int(draw.integers(0, len(x) // 8 + 2)), np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if not common or 100 * common < percent * (len(x) + len(y) - common) or len(x) == len(y) == common:
+            continue
+        linked += 1
+        count = lambda s: (s >> np.uint64(7)).astype(np.int64) % 50
+        for frequent in (-1, 10, 25, 60):
+            a, b = (j.prefix_signatures(s, count(s), frequent, percent) for s in (x, y))
+            shared, at_a, at_b = np.intersect1d(a[0], b[0], return_indices=True)
+            assert len(shared)
+            # Some shared signature leaves both the overlap that they have.
+            assert ((a[1][at_a] >= common) & (b[1][at_b] >= common)).any()
+            assert len(a[0]) <= 4 * len(x) * (100 - percent) / 100 + 6
+    assert linked > 300
+
+
+def test_partners_of_a_signature():
+    draw, pa = np.random.default_rng(3), j.pa
+    n = draw.integers(5, 60, 4000)
+    rows = pa.table({"sig": draw.integers(0, 900, 4000), "fp": draw.integers(0, 3000, 4000), "n": n.astype(np.int32), "room": (n - draw.integers(0, 4, 4000)).astype(np.int32)})
+    rows = rows.set_column(2, "n", pa.array((rows["fp"].to_numpy() % 50 + 10).astype(np.int32))).set_column(3, "room", pa.array((rows["fp"].to_numpy() % 50 + 10 - rows["fp"].to_numpy() % 3).astype(np.int32)))
+    kept = {(r["sig"], r["fp"]) for r in rows.take(j._with_partner(rows, 80)).to_pylist()}
+    want = set()
+    for sig in range(900):
+        group = {r["fp"]: r for r in rows.to_pylist() if r["sig"] == sig} if sig < 60 else {}
+        for x in group.values():
+            if any(x["fp"] != y["fp"] and 100 * min(x["n"], y["n"]) >= 80 * max(x["n"], y["n"]) and 180 * min(x["room"], y["room"]) >= 80 * (x["n"] + y["n"]) for y in group.values()):
+                want.add((sig, x["fp"]))
+    assert want <= {k for k in kept if k[0] < 60}
+    assert len(kept) == len(rows.take(j._with_partner(rows, 80)))
+
+
+def test_low_similarities_are_refused(spark):
+    with pytest.raises(ValueError, match="75"):
+        j.link_similar(spark.createDataFrame([], "doc_id long, text string"), percent=60)
