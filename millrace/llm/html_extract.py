@@ -3,7 +3,10 @@
 Pass one hashes the subtrees of every page's block elements and cells; Spark counts, for
 each host, the pages that share a subtree. Pass two takes the subtrees that
 recur across many pages of the host out of each page and returns the text of
-what remains as its article.
+what remains as its article. Beside that only the meaning of tags counts (scripts,
+styles, nav, footer, aside, form and the like are never text), and a short list of
+names for parts whose text differs from page to page (adverts, reader comments):
+such a part goes if its slot, tag and names, recurs on the host's pages too.
 
 Defined cases: null or empty html gives an empty text; a null URL belongs to the
 empty host; repeated rows count as pages of their own; an empty table gives an
@@ -22,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.html_text import article_text, countable, parse
+from millrace.llm.text import each
 from millrace.llm.url_filter import url_parts
 from millrace.llm.work import stored
 
 
 def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [list(countable(parse(h or ""))) for h in batch.column("html").to_pylist()]
+        found = [list(countable(parse(h or ""))) for h in each(batch, "html")]
         yield pa.RecordBatch.from_arrays([batch.column("_page"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["_page", "host", "hashes"])
 
 
@@ -105,7 +109,7 @@ def extract_articles(pages: DataFrame, min_pages: int = 10, salts: int = 32, bro
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, host, templates in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "templates")), strict=True):
+            for html, host, templates in zip(*(each(batch, c) for c in ("html", "host", "templates")), strict=True):
                 counts = _HostCounts(*sent.value, host) if sent else {t["hash"]: t["n"] for t in templates or ()}
                 texts.append(article_text(parse(html), counts) if html else "")
             kept = [batch.column(n) for n in names]

@@ -1,5 +1,8 @@
+import random
+import time
+
 from millrace.llm import html_extract as h
-from millrace.llm.html_text import article_text, parse
+from millrace.llm.html_text import article_text, countable, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a>Home</a></header><nav><ul><li>One<li>Two</ul></nav><div class="cookie-banner">We use cookies</div><div class="ad">Buy</div>
@@ -51,3 +54,58 @@ def test_deep_and_broken_markup():
 
 def test_empty(spark):
     assert h.extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_templates_decide_on_pages_without_article(spark, monkeypatch):
+    """Unknown names and no <article>: only recurrence tells the template. The same
+    pages without the counts keep it."""
+    page = "<html><body><div class='qx1'><p>Top of site</p></div><div class='qx2'><h1>Story {n}</h1><p>It begins {n}</p><div class='zz'>Read us daily</div><p>It ends {n}</p></div><div class='qx3'>Bottom</div></body></html>"
+    pages = spark.createDataFrame([(i, "https://a.com/x", page.format(n=i)) for i in range(25)], "page_id long, url string, html string")
+    assert h.extract_articles(pages).where("page_id = 4").first()["text"] == "Story 4\nIt begins 4\nIt ends 4"
+    assert "Top of site" in h.extract_articles(pages, min_pages=26).where("page_id = 4").first()["text"]
+
+
+def test_names_are_whole_and_count_only_where_they_recur(spark):
+    page = "<html><body><article><h1>S {n}</h1><div class='social-history'>History {n}</div><div class='related-work'>Work {n}</div><p><label>Label {n}</label> <math><mi>x</mi></math></p>{once}<div class='comments'>Nice {n}</div></article></body></html>"
+    rows = [(i, "https://a.com/x", page.format(n=i, once="<div class='notice'>Notice of motion</div>" if i == 3 else "")) for i in range(25)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.extract_articles(pages).collect()}
+    assert got[2] == "S 2\nHistory 2\nWork 2\nLabel 2 x"
+    assert got[3] == "S 3\nHistory 3\nWork 3\nLabel 3 x\nNotice of motion"
+
+
+def test_no_page_stops_the_job():
+    assert article_text(parse("<p>a<![abc[x]]>b"), {}) == "ab"
+    assert article_text(parse("<p>a</p>b <a href='x"), {}) == "a\nb"
+    for bad in ("<b>" * 20_000 + "</i>" * 20_000, "<p><table><td>" + "<b>" * 20_000 + "<h1>x</h1>" * 20_000, "<a <b " * 20_000, "<!--" * 20_000 + ">"):
+        began = time.perf_counter()
+        article_text(parse(bad), {})
+        assert time.perf_counter() - began < 10
+    draw = random.Random(1)
+    bits = ["<", "</", ">", "<!", "<![", "]]>", "--", "<!--", "<p>", "<div", "class=", "'", "a", "&", "#x41;", "[", "]", "CDATA", "<script>", "</script>", "<title>", "<?", "/>", "<![if IE]>", "\n"]
+    for _ in range(5_000):
+        article_text(parse("".join(draw.choices(bits, k=draw.randrange(1, 14)))), {})
+
+
+def brute_templates(pages, min_pages):
+    """Host and subtree counts by hand."""
+    counts = {}
+    for host, html in pages:
+        for key in countable(parse(html)):
+            counts[host, key] = counts.get((host, key), 0) + 1
+    return {k: n for k, n in counts.items() if n >= min_pages}
+
+
+def test_against_templates_by_hand(spark):
+    draw = random.Random(5)
+    parts = ["<div>Block {k}</div>", "<div class='b{k}'><p>Part {k}</p></div>", "<section><h2>Head {k}</h2><ul><li>a<li>b{k}</ul></section>"]
+    rows = []
+    for i in range(160):
+        blocks = "".join(draw.choice(parts).format(k=draw.choice([1, 2, 3, 1000 + i])) for _ in range(5))
+        rows.append((i, f"https://h{i % 3}.com/x", f"<html><body><div><p>Own {i}</p></div>{blocks}</body></html>"))
+    hosts = [(f"h{i % 3}.com", html) for i, _, html in rows]
+    counts = brute_templates(hosts, 10)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: article_text(parse(html), {k: n for (host, k), n in counts.items() if host == f"h{i % 3}.com"}) for i, _, html in rows}
+    for upto in (1_000_000, 0):
+        assert {r["page_id"]: r["text"] for r in h.extract_articles(pages, broadcast_upto=upto).collect()} == want
