@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.text import each
+
 
 def field_paths(value: object, at: str = "") -> set[str]:
     """Paths of the leaves, `[]` for the elements of a list."""
@@ -105,6 +108,14 @@ class Template:
             text = text.replace(c[0] + self.escape + c[1:], c)
         return text.replace(self.escape * 2, self.escape)
 
+    def guard_role(self, role: str) -> str:
+        """A role stands on the first line of its turn: its line breaks are escaped."""
+        return self.guard(role).replace("\n", self.escape + "n")
+
+    def unguard_role(self, role: str) -> str:
+        pair = re.escape(self.escape) + r"(.)"
+        return self.unguard(re.sub(pair, lambda m: "\n" if m[1] == "n" else m[0], role, flags=re.DOTALL))
+
     def render(self, role: str, text: str) -> tuple[str, int, int]:
         """The segment of one turn, and the span in it that the loss covers."""
         body = self.guard(text)
@@ -112,17 +123,53 @@ class Template:
             return f"{body}{self.end}", 0, len(body)
         if role == "user":
             return f"{self.begin}{self.user[0]}{body}{self.user[1]}", 0, 0
-        return f"{self.other[0]}{self.guard(role)}\n{body}{self.other[1]}", 0, 0
+        return f"{self.other[0]}{self.guard_role(role)}\n{body}{self.other[1]}", 0, 0
 
-    def read(self, segment: str) -> tuple[str, str]:
-        """The role and text of a segment."""
+    def read(self, text: str) -> tuple[tuple[str, str], int] | None:
+        """The first turn of a formatted text as (role, text), and where it ends; None
+        if its end mark is not there. A text that begins with no mark is an assistant's."""
         head = self.begin + self.user[0]
-        if segment.startswith(head):
-            return "user", self.unguard(segment[len(head) : -len(self.user[1])])
-        if segment.startswith(self.other[0]):
-            role, _, body = segment[len(self.other[0]) : -len(self.other[1])].partition("\n")
-            return self.unguard(role), self.unguard(body)
-        return "assistant", self.unguard(segment[: -len(self.end)])
+        start, mark = (head, self.user[1]) if text.startswith(head) else self.other if text.startswith(self.other[0]) else ("", self.end)
+        at = text.find(mark, len(start))
+        if at < 0:
+            return None
+        body = text[len(start) : at]
+        if start == head:
+            turn = "user", self.unguard(body)
+        elif start:
+            role, _, rest = body.partition("\n")
+            turn = self.unguard_role(role), self.unguard(rest)
+        else:
+            turn = "assistant", self.unguard(body)
+        return turn, at + len(mark)
+
+
+class ConversationReader:
+    """Reads turns back out of a formatted conversation that comes in pieces.
+
+    Only the marks in the text tell where turns begin and end; no more than the
+    turns that are not complete yet are held.
+    """
+
+    def __init__(self, template: Template):
+        self.template, self.rest = template, ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        self.rest += piece
+        longest = len(self.template.begin + self.template.user[0])
+        turns = []
+        # A beginning that is too short may still become a mark.
+        while len(self.rest) >= longest or self.rest and not any(m.startswith(self.rest) for m in (self.template.begin + self.template.user[0], self.template.other[0])):
+            found = self.template.read(self.rest)
+            if found is None:
+                break
+            turns.append(found[0])
+            self.rest = self.rest[found[1] :]
+        return turns
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError(f"a formatted conversation ends without an end mark: {self.rest[:40]!r}")
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -138,9 +185,9 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
             for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     parsed = json.loads(record) if record is not None else None
-                except ValueError:
-                    parsed = None
-                paths = field_paths(parsed) - set(ignore) if isinstance(parsed, dict) else set()
+                    paths = field_paths(parsed) - set(ignore) if isinstance(parsed, dict) else set()
+                except (ValueError, RecursionError):  # No JSON, or too deeply nested for any layout.
+                    parsed, paths = None, set()
                 mapping = known.get(fingerprint(paths))
                 turns = mapping.turns(parsed) if mapping else [(None, None)]
                 for part, (role, text) in enumerate(turns):
@@ -172,10 +219,11 @@ def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of each conversation, read from its segments.
+    """Digests of each conversation, read from its formatted text.
 
-    Segments of a conversation are sorted into one partition and streamed through
-    running digests, so memory does not grow with the conversation.
+    Segments of a conversation are sorted into one partition and streamed, as one
+    text, through a reader that finds the turns by their marks, so memory does not
+    grow with the conversation. A missing mark is an error.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +231,20 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         state: list | None = None
 
         def row(s: list) -> dict:
+            s[6].close()
             return dict(zip(schema.names, (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]), strict=True))
 
         for batch in batches:
             done = []
-            for conv, segment, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
+            for conv, segment, start, end in zip(*(each(batch, c) for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         done.append(row(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = template.read(segment)
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, ConversationReader(template)]
+                for role, text in state[6].feed(segment):
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 masked = template.unguard(segment[start:end])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 state[3] += len(masked)
                 state[4].update(masked.encode("utf-8", "surrogatepass"))
                 state[5] += len(segment)

@@ -9,13 +9,17 @@ could reach the threshold in some block of items; those are evaluated item by
 item, skipping by term and block bounds. What is retrieved is verified: the item's question and its answer must each be
 found in the passage as runs of five words.
 
-The index is built in shards of a bounded number of items; each shard is small
-enough to be sent to every task, and a larger benchmark means more shards.
+Items are indexed by length, in classes of powers of two: a passage is up to four
+times as long as the items that it is a query for, whatever other items there are.
+The index is built in shards of a bounded number of items, a few of which are sent
+to every task at a time, and one pass over the texts searches them all; what is
+found does not depend on the sharding.
 
 Defined cases: a null text has no passages; a null or empty item matches
 nothing; items of fewer than five words are looked for as one run; repeated
-items are items of their own (by item_id); repeated rows give repeated results;
-empty tables give an empty table; extra columns are left alone.
+items, and items without item_id, are items of their own; a text without doc_id
+gives rows without one; repeated rows give repeated results; empty tables give an
+empty table; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import each, texts
+from millrace.llm.work import Scratch
 
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|"
 #: Where an answer begins inside an item that has one.
@@ -52,12 +58,15 @@ def question_and_answer(raw: bytes) -> list[list[bytes]]:
 
 @dataclass
 class Index:
-    """An inverted index of items, with impacts normalised to each item's self score."""
+    """An inverted index of items, with impacts normalised to each item's self score.
 
+    No item is longer than `step` words; passages are twice that long.
+    """
+
+    step: int
     block: int = 16
-    items: list[int] = field(default_factory=list)
+    items: list[int | None] = field(default_factory=list)
     parts: list[list[list[bytes]]] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
     postings: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     most: dict[bytes, float] = field(default_factory=dict)
     block_most: dict[bytes, np.ndarray] = field(default_factory=dict)
@@ -66,11 +75,16 @@ class Index:
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
 
 
-def build_index(rows: list[tuple[int, str]], document_frequency: dict[bytes, int], n_items: int, mean_length: float, k1: float = 1.2, b: float = 0.75, block: int = 16) -> Index:
+def length_class(words: int) -> int:
+    """The least power of two that is no less, from 8 on."""
+    return max(8, 1 << (words - 1).bit_length())
+
+
+def build_index(rows: list[tuple[int | None, str]], document_frequency: dict[bytes, int], n_items: int, mean_length: float, step: int, k1: float = 1.2, b: float = 0.75, block: int = 16) -> Index:
     """Index `rows` (item_id, text) with the statistics of the whole benchmark."""
-    index = Index(block)
+    index = Index(step, block)
     found: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-    for item, text in sorted(rows):
+    for item, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         raw = (text or "").encode()
         words = terms(raw)
         if not words:
@@ -84,7 +98,6 @@ def build_index(rows: list[tuple[int, str]], document_frequency: dict[bytes, int
             found[t].append((at, v / own))
         index.items.append(item)
         index.parts.append(question_and_answer(raw))
-        index.lengths.append(len(words))
     wide = max(4, -(-len(index.items) // 64))
     index.bounds = np.zeros((len(found) + 1, -(-len(index.items) // wide) or 1), np.float32)
     for t, rows_of in found.items():
@@ -160,103 +173,120 @@ def _run_share(part: list[bytes], passage: set[tuple[bytes, ...]], size: int) ->
     return len(runs & passage) / len(runs)
 
 
-def _live_passages(index: Index, words: list[bytes], step: int, threshold: float) -> np.ndarray:
-    """Starts of the passages of 2 * `step` words that some block's bounds let through.
-
-    Each distinct term of a passage adds its bounds once.
-    """
-    rows = np.fromiter((index.row.get(w, 0) for w in words), np.int64, len(words))
+def _live_passages(index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the passages of a text, and the most that its words' bounds add up to
+    in any block of items. `rows` has the index's row of each word (0: none); each
+    distinct term of a passage adds its bounds once."""
     at = np.flatnonzero(rows)
     if not len(at):
-        return at
-    segment, n_rows = at // step, len(index.bounds)
+        return at, at
+    segment, n_rows = at // index.step, len(index.bounds)
     keys = segment * n_rows + rows[at]
     keys = np.unique(np.concatenate([keys, keys[segment > 0] - n_rows]))
     passage = keys // n_rows
     first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    reach = np.add.reduceat(index.bounds[keys % n_rows], first, axis=0).max(axis=1)
-    return passage[first[reach >= threshold - 1e-5]] * step
-
-
-def _matches(index: Index, raw: bytes, threshold: float, overlap: float, run: int) -> dict[int, tuple[float, float]]:
-    """For each item found in the text, its best score and verified overlap."""
-    words = terms(raw)
-    found: dict[int, tuple[float, float]] = {}
-    if not words or not index.items:
-        return found
-    step = max(index.lengths)
-    for start in _live_passages(index, words, step, threshold).tolist():
-        passage = words[start : start + 2 * step]
-        for item, score in wand(index, set(passage), threshold):
-            sizes = {min(run, len(p)) for p in index.parts[item]}
-            runs = {tuple(passage[j : j + k]) for k in sizes for j in range(len(passage) - k + 1)}
-            shared = min(_run_share(p, runs, run) for p in index.parts[item])
-            if shared >= overlap:
-                found[item] = max(found.get(item, (0.0, 0.0)), (shared, score))
-    return found
+    return passage[first] * index.step, np.add.reduceat(index.bounds[keys % n_rows], first, axis=0).max(axis=1)
+
+
+class Searcher:
+    """Several indexes, searched together: words are looked up once."""
+
+    def __init__(self, indexes: list[Index]):
+        self.indexes = indexes
+        self.number: dict[bytes, int] = {}
+        for index in indexes:
+            for t in index.row:
+                self.number.setdefault(t, len(self.number) + 1)
+        self.rows = []
+        for index in indexes:
+            rows = np.zeros(len(self.number) + 1, np.int64)
+            for t, row in index.row.items():
+                rows[self.number[t]] = row
+            self.rows.append(rows)
+
+    def matches(self, raw: bytes, threshold: float, overlap: float, run: int) -> list[tuple[int | None, float, float]]:
+        """(item, score, overlap) of each item found in the text: its best."""
+        words = terms(raw)
+        numbers = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        out: list[tuple[int | None, float, float]] = []
+        for index, rows in zip(self.indexes, self.rows, strict=True):
+            found: dict[int, tuple[float, float]] = {}
+            starts, reach = _live_passages(index, rows[numbers])
+            for start in starts[reach >= threshold - 1e-5].tolist():
+                passage = words[start : start + 2 * index.step]
+                for item, score in wand(index, set(passage), threshold):
+                    sizes = {min(run, len(p)) for p in index.parts[item]}
+                    runs = {tuple(passage[j : j + k]) for k in sizes for j in range(len(passage) - k + 1)}
+                    shared = min(_run_share(p, runs, run) for p in index.parts[item])
+                    if shared >= overlap:
+                        found[item] = max(found.get(item, (0.0, 0.0)), (shared, score))
+            out += [(index.items[i], score, shared) for i, (shared, score) in sorted(found.items())]
+        return out
 
 
 def shards(benchmark: DataFrame, max_items: int = 5000) -> Iterator[Index]:
-    """Indexes of at most about `max_items` items each, over the whole benchmark.
+    """Indexes of at most about `max_items` items of one length class each.
 
-    Document frequencies and lengths are counted over all items, so scores do not
-    depend on the sharding.
+    Document frequencies and lengths are counted over all items.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.count()
-    parts = -(-total // max_items)
-    if not total:
-        return
+    scratch = Scratch()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            per = [(i, terms(t.encode())) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            rows = [(i, t, len(ws)) for i, ws in per for t in set(ws)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["item_id", "term", "length"])
-
-    postings = items.mapInArrow(words, "item_id long, term binary, length long")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = postings.groupBy("item_id").agg(F.first("length").alias("n")).agg(F.avg("n").alias("mean")).first()
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    for k in range(parts):
-        rows = [(r["item_id"], r["text"]) for r in items.where(shard == k).collect()]
-        used = postings.where(shard == k).select("term").distinct()
-        df = {bytes(r["term"]): r["df"] for r in frequency.join(used, "term").collect()}
-        yield build_index(rows, df, total, lengths["mean"] or 1.0)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, run: int = 5, max_items: int = 5000) -> DataFrame:
+            per = [terms(t.encode()) for t in each(batch, "text")]
+            columns = [batch.column("item_id"), batch.column("text"), pa.array([len(w) for w in per], pa.int64()), pa.array([length_class(len(w)) for w in per], pa.int64()), pa.array([sorted(set(w)) for w in per], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "text", "n", "step", "terms"])
+
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    items = scratch.stored(rows.mapInArrow(words, "item_id long, text string, n long, step long, terms array<binary>").where("n > 0"), "benchmark-items")
+    total = items.agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
+    classes = items.groupBy("step").count().orderBy("step").collect()
+    frequency = scratch.stored(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "benchmark-terms")
+    for step, n in classes:
+        parts = -(-n // max_items)
+        for k in range(parts):
+            mine = items.where((F.col("step") == step) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k))
+            texts_of = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]
+            used = mine.select(F.explode("terms").alias("term")).distinct()
+            df = {bytes(r["term"]): r["df"] for r in frequency.join(used, "term").collect()}
+            if texts_of:
+                yield build_index(texts_of, df, total["items"], total["mean"], step)
+    scratch.clear()
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, run: int = 5, max_items: int = 5000, max_sent: int = 20_000) -> DataFrame:
     """Pairs (doc_id, item_id, score, overlap) of texts and the items found in them.
 
-    A passage is twice as long as the longest item and half of it is the next
-    one's, so every item lies whole in some passage. An item is retrieved at
-    `threshold` of its self score and kept if `overlap` of the runs of `run` words
-    of both its question and its answer are there.
+    Half of a passage is the next one's, so every item lies whole in some passage.
+    An item is retrieved at `threshold` of its self score and kept if `overlap` of
+    the runs of `run` words of both its question and its answer are there. At most
+    about `max_sent` items are sent to every task at a time; a larger benchmark
+    takes more than one pass.
     """
     source = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, item_id long, score double, overlap double"
-    found = None
-    for index in shards(benchmark, max_items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+    def searched(indexes: list[Index]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(shared.value)
             for batch in batches:
-                rows = []
-                for doc, raw in zip(each(batch, "doc_id"), each(batch, "raw"), strict=True):
-                    rows += [(doc, index.items[i], s, o) for i, (o, s) in sorted(_matches(index, raw, threshold, overlap, run).items())]
+                rows = [(doc, *m) for doc, raw in zip(each(batch, "doc_id"), each(batch, "raw"), strict=True) for m in searcher.matches(raw, threshold, overlap, run)]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "overlap"])
 
-        part = source.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+        return source.mapInArrow(search, schema)
 
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without those in which an item was found."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    found, waiting = [], []
+    for index in shards(benchmark, max_items):
+        if waiting and sum(len(i.items) for i in waiting) + len(index.items) > max_sent:
+            found.append(searched(waiting))
+            waiting = []
+        waiting.append(index)
+    if waiting:
+        found.append(searched(waiting))
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,11 @@ def symbols(text: str) -> list[str]:
 class Automaton:
     """Counts of symbols and targets by state; state 0 is the start."""
 
-    def __init__(self, examples: list[str], alpha: float = 0.05, longest: int = 64):
+    def __init__(self, examples: list[str], alpha: float = 0.05):
         self.out: list[dict[str, int]] = [{}]
         self.to: list[dict[str, int]] = [{}]
         for text in examples:
-            self._insert(symbols(text[:longest]))
+            self._insert(symbols(text))
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
         self._weights()

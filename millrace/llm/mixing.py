@@ -95,6 +95,20 @@ def _item(mass: Column) -> Column:
     return F.struct("draw", "doc_id", "k", "size", mass.alias("mass"))
 
 
+def _numbered(sizes: DataFrame, block: int = 4096) -> DataFrame:
+    """One row for each of `n` equal rows, numbered by k from 1.
+
+    A key may stand for a third of all rows (documents without doc_id), so numbers
+    are made in blocks, and the blocks dealt out if there are many.
+    """
+    last = F.floor((F.col("n") - 1) / block)
+    blocks = sizes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > 64 * block:
+        blocks = blocks.repartition("doc_id", "_block")
+    first = F.col("_block") * block + 1
+    return blocks.withColumn("k", F.explode(F.sequence(first, F.least(F.col("n"), first + block - 1)))).drop("_block")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, fan: int = 64, seed: int = 6) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words("text").alias("size"))
@@ -103,7 +117,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     targets = stored(source_targets(sizes, weights, share, most), "mix-targets", rows=1)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
-        sizes.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        _numbered(sizes)
         .join(targets, sizes["source"].eqNullSafe(targets["source"]))
         .select("doc_id", "k", "size", "rank", "rows", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"))
     )

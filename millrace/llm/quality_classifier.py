@@ -9,7 +9,9 @@ Labels, language, source and doc_id are never inputs of a score; doc_id only
 decides which rows may teach.
 
 Defined cases: a null text is empty and gets a score like any text; a document
-with several labels counts as positive if one of them is 1; without any trusted
+with several labels counts as positive if one of them is 1; a row without doc_id is
+not held out and may teach as unlabelled text; a label without doc_id teaches
+nothing; without any trusted
 positive every score is 0.5; repeated rows get equal scores; an empty table
 gives an empty table; extra columns are left alone.
 """
@@ -63,29 +65,60 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The non-negative risk prior E_p[l(+)] + max(0, E_u[l(-)] - prior E_p[l(-)]), its
+    negative part before it is held at zero, and the direction to go down: its gradient,
+    or, where the negative part is below zero, that part's gradient reversed."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    to_positive = -prior * (_sigmoid(-zp) @ p) / len(p)
+    to_negative = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    return value, negative, to_positive + to_negative if negative >= 0 else -to_negative
+
+
 def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> QualityModel:
-    """Minimise prior E_p[l(+)] + max(0, E_u[l(-)] - prior E_p[l(-)]) with Adam."""
+    """Minimise the risk with Adam."""
     p, u = features(positive), features(unlabelled)
     centre, scale = u.mean(axis=0), np.maximum(u.std(axis=0), 1e-3)
     ones = lambda x: np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))])
     p, u = ones(p), ones(u)
     w = np.zeros(p.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_positive = -prior * (sigmoid(-zp) @ p) / len(p)
-        grad_negative = (sigmoid(zu) @ u) / len(u) - prior * (sigmoid(zp) @ p) / len(p)
-        grad = grad_positive + grad_negative if negative >= 0 else -grad_negative
-        grad = grad + decay * np.append(w[:-1], 0.0)
+        grad = risk(w, p, u, prior)[2] + decay * np.append(w[:-1], 0.0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return QualityModel(centre, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled texts, from both alone.
+
+    A model is fitted on half of each. Among the other halves' best scores nearly all
+    unlabelled texts are positives, so there the share of unlabelled texts over that
+    of positives is the class prior; the line is drawn where this ratio and its
+    margin of error are least. It lies between 0.05 and 0.98.
+    """
+    model = fit_positive_unlabelled(positive[::2], unlabelled[::2], 0.5, steps=200)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    lines = np.unique(p)
+    above_p = 1 - np.searchsorted(p, lines) / len(p)
+    above_u = 1 - np.searchsorted(u, lines) / len(u)
+    margin = np.sqrt(np.log(4 / delta) / (2 * len(p))) + np.sqrt(np.log(4 / delta) / (2 * len(u)))
+    best = np.argmin((above_u + (1 + slack) * margin) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
+
+
 def held_out(folds: int = 5) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % folds == 0
+    """Rows of no doc_id are not held out: no label is theirs."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 20_000, max_unlabelled: int = 20_000, seed: int = 10) -> QualityModel | None:
@@ -93,25 +126,22 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positi
 
     Up to `max_positive` trusted positives and about `max_unlabelled` other texts
     teach, taken by hash of doc_id: both bounds hold at every size of the tables,
-    so the sample may be broadcast and gathered. The prior is estimated as the
-    share of positives among all teaching labels.
+    so the sample may be broadcast and gathered. Negative labels are not used, the
+    class prior is estimated without them too.
     """
     taught = labels.where(~held_out(folds)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    seen = taught.agg(F.count("quality").alias("n"), F.sum("quality").alias("positive")).first()
-    if not seen["positive"]:
-        return None
-    prior = min(0.98, seen["positive"] / seen["n"])
     order = F.xxhash64("doc_id", F.lit(seed))
     trusted = taught.where("quality = 1").orderBy(order, "doc_id").limit(max_positive).select(F.col("doc_id").alias("trusted_id"))
     parts = max(1, docs.count() // max_unlabelled)
     drawn = docs.where(~held_out(folds)).select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
     chosen = drawn.withColumn("trusted", F.col("trusted_id").isNotNull()).withColumn("other", F.pmod(order, F.lit(parts)) == 0).where("trusted OR other")
-    sample = document_counts(chosen, "trusted", "other").toPandas()
+    # In one order, so that reruns fit the same model.
+    sample = document_counts(chosen, "trusted", "other").toPandas().sort_values(list(COUNTS), ignore_index=True)
     counts = sample[list(COUNTS)].to_numpy()
     positive, unlabelled = counts[sample["trusted"].to_numpy(bool)], counts[sample["other"].to_numpy(bool)]
     if not len(positive) or not len(unlabelled):
         return None
-    return fit_positive_unlabelled(positive, unlabelled, prior)
+    return fit_positive_unlabelled(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, *keep: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.statistics import COUNTS, text_counts
 from millrace.llm.text import WordHashes, each, texts
-from millrace.llm.work import stored
+from millrace.llm.work import Scratch, stored
 
 #: The transformed statistics, each with the least deviation that it is given:
 #: most documents have none of some of these, so their covariance vanishes.
@@ -74,12 +74,20 @@ def _features(counted: DataFrame) -> DataFrame:
     )
 
 
-def _beside(rows: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+#: Groups (languages by sources) up to which a table of a few rows a group is sent to
+#: the rows: 3 estimates of 57 numbers a group, 14 MB.
+SENT_GROUPS = 10_000
+
+
+def _beside(rows: DataFrame, small: DataFrame, send: bool, *keys: str) -> DataFrame:
     """Join a few rows a group to all rows of the group.
 
-    A group may hold a third of all rows: its few are repeated for every salt, so
+    With few groups, which the caller has counted, the small table is sent. Otherwise,
+    as a group may hold a third of all rows, its few are repeated for every salt and
     its rows are dealt out by group and salt.
     """
+    if send:
+        return rows.join(F.broadcast(small), list(keys))
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(copies, [*keys, "salt"])
 
@@ -89,19 +97,22 @@ def _distinct(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return rows.select(*keys, *names).distinct().withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
 
 
-def _grouped(rows: DataFrame, names: list[str], min_group: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with `grp`, whose estimate a document is held to, and the vectors of each."""
-    vectors = stored(_distinct(rows, ["narrow", "wide"], names), "quality-vectors")
+def _grouped(rows: DataFrame, names: list[str], min_group: int, scratch: Scratch, sent_groups: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows with `grp`, whose estimate a document is held to, the vectors of each, and
+    whether groups are few."""
+    vectors = scratch.stored(_distinct(rows, ["narrow", "wide"], names), "quality-vectors")
     sizes = vectors.groupBy("narrow", "wide").agg(F.count("*").alias("n"))
-    small = _beside(vectors, sizes.where(F.col("n") < min_group).select("narrow"), "narrow")
+    n_groups = sizes.count()
+    send = n_groups <= sent_groups
+    small = _beside(vectors, sizes.where(F.col("n") < min_group).select("narrow"), send, "narrow")
     pooled = small.select("wide", *names).distinct().groupBy("wide").agg(F.count("*").alias("pooled"))
     grp = F.when(F.col("n") >= min_group, F.col("narrow")).when(F.col("pooled") >= min_group, F.concat(F.lit("pooled"), F.col("wide"))).otherwise("rest")
-    groups = stored(sizes.join(pooled, "wide", "left").select("narrow", grp.alias("grp")), "quality-groups", rows=sizes.count())
-    own = _distinct(_beside(vectors, groups, "narrow"), ["grp"], names)
+    groups = scratch.stored(sizes.join(pooled, "wide", "left").select("narrow", grp.alias("grp")), "quality-groups", rows=n_groups)
+    own = _distinct(_beside(vectors, groups, send, "narrow"), ["grp"], names)
     rest = own.where("grp = 'rest'").count()
     if 0 < rest < min_group:  # Too few for an estimate of their own.
         own = own.where("grp <> 'rest'").unionByName(_distinct(vectors.withColumn("grp", F.lit("rest")), ["grp"], names))
-    return _beside(rows, groups, "narrow").drop("narrow", "wide"), own
+    return _beside(rows, groups, send, "narrow").drop("narrow", "wide"), own, send
 
 
 def _distance(names: list[str]) -> Column:
@@ -124,7 +135,7 @@ def _square(products, n: float, p: int) -> np.ndarray:
 ESTIMATE = "centre array<double>, precision array<double>, logdet double"
 
 
-def _start(vectors: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+def _start(vectors: DataFrame, names: list[str], floors: list[float], send: bool) -> DataFrame:
     """Three first estimates of each group, all about its medians.
 
     Their deviations are those about the medians; their correlations are none,
@@ -132,9 +143,9 @@ def _start(vectors: DataFrame, names: list[str], floors: list[float]) -> DataFra
     """
     p = len(names)
     centres = vectors.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 10_000) for x in names)).alias("centre"))
-    off = _beside(vectors, centres, "grp")
+    off = _beside(vectors, centres, send, "grp")
     spread = off.groupBy("grp").agg(F.first("centre").alias("centre"), F.array(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5, 10_000), F.lit(floors[i])) for i, x in enumerate(names))).alias("s"))
-    scaled = _beside(vectors, spread, "grp").select("grp", "centre", "s", *(((F.col(x) - F.col("centre")[i]) / F.col("s")[i]).alias(x) for i, x in enumerate(names)))
+    scaled = _beside(vectors, spread, send, "grp").select("grp", "centre", "s", *(((F.col(x) - F.col("centre")[i]) / F.col("s")[i]).alias(x) for i, x in enumerate(names)))
     norm = F.greatest(reduce(add, [F.col(x) * F.col(x) for x in names]), F.lit(1e-12))
     sums = scaled.withColumn("norm", norm).groupBy("grp").agg(
         F.first("centre").alias("centre"),
@@ -183,22 +194,22 @@ def _estimated(inner: DataFrame, names: list[str], floors: list[float]) -> DataF
     return sums.mapInPandas(invert, f"grp string, start int, {ESTIMATE}")
 
 
-def _measured(vectors: DataFrame, estimates: DataFrame, names: list[str]) -> DataFrame:
-    return _beside(vectors, estimates.select("grp", "start", "centre", "precision"), "grp").select("grp", "start", "salt", *names, _distance(names).alias("d2"))
+def _measured(vectors: DataFrame, estimates: DataFrame, names: list[str], send: bool) -> DataFrame:
+    return _beside(vectors, estimates.select("grp", "start", "centre", "precision"), send, "grp").select("grp", "start", "salt", *names, _distance(names).alias("d2"))
 
 
-def _concentrate(vectors: DataFrame, estimates: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
+def _concentrate(vectors: DataFrame, estimates: DataFrame, names: list[str], floors: list[float], share: float, send: bool) -> DataFrame:
     """One step: the estimates from the `share` of each group nearest to `estimates`."""
-    measured = _measured(vectors, estimates, names)
+    measured = _measured(vectors, estimates, names, send)
     reach = measured.groupBy("grp", "start").agg(F.percentile_approx("d2", share, 10_000).alias("reach"))
-    return _estimated(_beside(measured, reach, "grp", "start").where(F.col("d2") <= F.col("reach")), names, floors)
+    return _estimated(_beside(measured, reach, send, "grp", "start").where(F.col("d2") <= F.col("reach")), names, floors)
 
 
 def _scales(measured: DataFrame) -> DataFrame:
     return measured.groupBy("grp", "start").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("members"))
 
 
-def _robust(vectors: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
+def _robust(vectors: DataFrame, names: list[str], floors: list[float], share: float, send: bool, scratch: Scratch) -> DataFrame:
     """(grp, centre, precision, scale, members): the reweighted estimate of each group.
 
     Every start is concentrated until its determinant falls by less than a
@@ -206,22 +217,22 @@ def _robust(vectors: DataFrame, names: list[str], floors: list[float], share: fl
     once more from all vectors within the 0.975 quantile of its scaled distances.
     """
     few = vectors.select("grp").distinct().count() * 3
-    best = stored(_start(vectors, names, floors).withColumn("done", F.lit(False)), "quality-start", rows=few)
+    best = scratch.stored(_start(vectors, names, floors, send).withColumn("done", F.lit(False)), "quality-start", rows=few)
     while best.where("NOT done").take(1):
-        moved = _concentrate(vectors, best.where("NOT done"), names, floors, share)
+        moved = _concentrate(vectors, best.where("NOT done"), names, floors, share, send)
         moved = moved.select("grp", "start", F.struct("centre", "precision", "logdet").alias("moved"))
         better = F.coalesce(F.col("moved.logdet") < F.col("logdet"), F.lit(False))
         estimate = [F.when(better, F.col(f"moved.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "logdet")]
         done = ~F.coalesce(F.col("moved.logdet") < F.col("logdet") - 0.01, F.lit(False))
-        best = stored(best.join(moved, ["grp", "start"], "left").select("grp", "start", *estimate, done.alias("done")), "quality-step", rows=few)
+        best = scratch.stored(best.join(moved, ["grp", "start"], "left").select("grp", "start", *estimate, done.alias("done")), "quality-step", rows=few)
     least = best.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
-    measured = _measured(vectors, least, names)
-    near = _beside(measured, _scales(measured), "grp", "start").where(F.col("d2") <= CHI2_975 * F.col("scale"))
-    final = stored(_estimated(near, names, floors), "quality-final", rows=few)
-    return stored(final.join(_scales(_measured(vectors, final, names)), ["grp", "start"]).drop("start", "logdet"), "quality-estimate", rows=few)
+    measured = _measured(vectors, least, names, send)
+    near = _beside(measured, _scales(measured), send, "grp", "start").where(F.col("d2") <= CHI2_975 * F.col("scale"))
+    final = scratch.stored(_estimated(near, names, floors), "quality-final", rows=few)
+    return scratch.stored(final.join(_scales(_measured(vectors, final, names, send)), ["grp", "start"]).drop("start", "logdet"), "quality-estimate", rows=few)
 
 
-def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.5, min_group: int = 100) -> DataFrame:
+def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.5, min_group: int = 100, sent_groups: int = SENT_GROUPS) -> DataFrame:
     """Adds base_failed, distance (scaled, squared) and kept to document_counts().
 
     Distances are scaled so that their median in a group is that of chi squared;
@@ -230,12 +241,16 @@ def mark_outliers(counted: DataFrame, cutoff: float = 29.88, share: float = 0.5,
     names, floors = list(FEATURES), list(FEATURES.values())
     salt = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int")
     keys = {"narrow": F.to_json(F.struct("lang", "source")), "wide": F.to_json(F.struct("lang")), "salt": salt}
-    rows, vectors = _grouped(stored(_features(counted).withColumns(keys), "quality-counts"), names, min_group)
-    estimate = _robust(stored(vectors, "quality-features"), names, floors, share)
+    scratch = Scratch()
+    rows, vectors, send = _grouped(scratch.stored(_features(counted).withColumns(keys), "quality-counts"), names, min_group, scratch, sent_groups)
+    estimate = _robust(scratch.stored(vectors, "quality-features"), names, floors, share, send, scratch)
     distance = F.when(F.col("members") >= min_group, _distance(names) / F.col("scale")).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = _beside(rows, estimate, "grp").withColumn("distance", distance).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop("grp", "salt", "centre", "precision", "scale", "members", *names)
+    judged = _beside(rows, estimate, send, "grp").withColumn("distance", distance).withColumn("base_failed", failed)
+    judged = judged.withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop("grp", "salt", "centre", "precision", "scale", "members", *names)
+    judged = stored(judged, "quality-judged")
+    scratch.clear()
+    return judged
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Labelled credentials (what the base patterns catch in a bounded sample of the
 corpus, and examples of published token formats) give one probabilistic
-automaton a format; ordinary long tokens give a background automaton. Every
-candidate token of every whole text is scored by its likelihood under the best
-format against the background, and joins the base spans when it is clearly a
-credential.
+automaton a format; ordinary long tokens, made by kind and taken from the corpus,
+give automata too. Every candidate token of every whole text is scored by its
+likelihood under the best format against the best ordinary kind, and joins the base
+spans when it is clearly a credential.
 
 Defined cases: a null text is empty and has no spans; texts of any length are
 scanned whole; repeated rows give equal results; an empty corpus trains on the
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.grammar import Automaton, symbols
 from millrace.llm.text import each
+from millrace.llm.work import discard, stored
 
 #: The base patterns, and the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,7 +36,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "grammar")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTER = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,15}(?![A-Za-z0-9+/_.=-])")
 EDGES = "./=-_+"
+#: Longer values do not teach (the automata are fitted to a bounded sample); every
+#: candidate is scored whole, whatever its length.
+LONGEST = 512
 
 #: Published token formats, as (prefix, characters, lengths).
 ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -50,7 +55,7 @@ FORMATS = {
     "jwt": ("eyJ", ALNUM + "_-.", (80, 120)),
 }
 
-#: Ordinary long tokens, for a corpus that has few of them.
+#: Ordinary long tokens.
 ORDINARY = (
     "2024-01-01T00:00:00", "www.example.com/news/2023/11/05/story-about-rivers.html", "v1.2.3-release_candidate", "550e8400-e29b-41d4-a716-446655440000",
     "192.168.100.200", "src/main/java/com/example/App2.java", "chapter_12_section_4", "ISO-8859-1.ISO-10646", "node_modules/package-2.0.1/index.js", "figure-3.4-left.png",
@@ -58,6 +63,33 @@ ORDINARY = (
 )
 
 
+def ordinary_examples(each: int = 200, seed: int = 12) -> dict[str, list[str]]:
+    """Ordinary long tokens by kind: words, words that are joined, capitals inside,
+    numbers, dates and the like, rules drawn with one character."""
+    draw = random.Random(seed)
+
+    def word(least: int, most: int) -> str:
+        return "".join(draw.choice("aeiou" if i % 2 else "bcdfghklmnprstvw") if draw.random() < 0.8 else draw.choice(ALNUM[26:52]) for i in range(draw.randint(least, most)))
+
+    def joined(separators: str) -> str:
+        parts = [word(2, 10) if draw.random() < 0.75 else str(draw.randrange(10 ** draw.randint(1, 4))) for _ in range(draw.randint(3, 8))]
+        return "".join(x for p in parts for x in (p, draw.choice(separators)))[:-1]
+
+    kinds = {
+        "word": lambda: word(16, 44) if draw.random() < 0.7 else word(16, 44).capitalize(),
+        "capitals": lambda: word(16, 30).upper(),
+        "kebab": lambda: joined("-"),
+        "snake": lambda: joined("_"),
+        "path": lambda: joined("/././-_="),
+        "camel": lambda: "".join(word(2, 9).capitalize() for _ in range(draw.randint(3, 6))),
+        "number": lambda: str(draw.randrange(10**15, 10 ** draw.randint(16, 24))),
+        "groups": lambda: draw.choice("-./:_").join(str(draw.randrange(10 ** draw.randint(1, 5))) for _ in range(draw.randint(4, 8))),
+        "rule": lambda: draw.choice("=-_.+/ax0") * draw.randint(16, 80),
+        "listed": lambda: draw.choice(ORDINARY),
+    }
+    return {name: [make() for _ in range(each)] for name, make in kinds.items()}
+
+
 @dataclass(frozen=True)
 class Span:
     start: int
@@ -91,27 +123,34 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, str]]:
-    """Tokens that mix digits with letters and touch no base span."""
+    """Tokens of 16 characters or more that touch no base span.
+
+    `taken` is in the order of starts; what lies behind a token is not looked at
+    again.
+    """
+    at, reach = 0, 0
     for c in CANDIDATE.finditer(text):
         token = c[0].strip(EDGES)
         if len(token) < 16:
             continue
         start = c.start() + c[0].index(token)
-        digits = sum(map(str.isdigit, token))
-        if 0 < digits < len(token) and not any(s.start < start + len(token) and start < s.end for s in taken):
+        while at < len(taken) and taken[at].start < start + len(token):
+            reach = max(reach, taken[at].end)
+            at += 1
+        if reach <= start:
             yield start, token
 
 
 @dataclass
 class SecretGrammar:
     formats: dict[str, Automaton]
-    background: Automaton
-    margin: float = 2.0
+    ordinary: dict[str, Automaton]
+    margin: float = 0.6
 
     def ratio(self, token: str) -> float:
-        """Log likelihood a character, of the best format over the background."""
+        """Log likelihood a character, of the best format over the best ordinary kind."""
         path = symbols(token)
-        return (max(a.score(path) for a in self.formats.values()) - self.background.score(path)) / len(path)
+        return (max(a.score(path) for a in self.formats.values()) - max(a.score(path) for a in self.ordinary.values())) / len(path)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """The base spans; all spans."""
@@ -121,17 +160,19 @@ class SecretGrammar:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From each text, up to 20 labelled values and 20 ordinary tokens, by hash."""
+    """From each text, up to 20 labelled values and 20 ordinary tokens, by hash; none
+    longer than LONGEST characters."""
     for batch in batches:
         kinds, values = [], []
         for text in each(batch, "text"):
             spans = base_spans(text)
             found = {(KINDS[s.kind], text[s.value : s.end]) for s in spans}
-            plain = {("plain", t) for _, t in candidates(text, spans)} | {("plain", w) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,15}", text)}
+            plain = {("plain", t) for _, t in candidates(text, spans)} | {("plain", w) for w in SHORTER.findall(text)}
             for group in (found, plain):
-                for kind, value in sorted(group, key=lambda x: hashlib.sha256(x[1].encode()).digest())[:20]:
+                short = (x for x in group if len(x[1]) <= LONGEST)
+                for kind, value in sorted(short, key=lambda x: hashlib.sha256(x[1].encode()).digest())[:20]:
                     kinds.append(kind)
-                    values.append(value[:64])
+                    values.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
 
@@ -143,15 +184,15 @@ def published_examples(each: int = 150, seed: int = 11) -> dict[str, list[str]]:
 def train_secret_grammar(docs: DataFrame, sample_docs: int = 4000, each: int = 400, seed: int = 11) -> SecretGrammar:
     """Infer the automata.
 
-    At most about `sample_docs` texts, taken by hash of the text, give labelled
+    At most about `sample_docs` different texts, taken by hash, give labelled
     values and ordinary tokens, and `each` values a kind are used: both bounds
     hold at every size of the corpus.
     """
     text = F.coalesce("text", F.lit(""))
-    total = docs.count()
-    parts = max(1, total // sample_docs)
-    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(parts)) == 0)
-    pairs = chosen.mapInArrow(_examples, "kind string, value string").groupBy("kind", "value").count()
+    parts = max(1, docs.count() // sample_docs)
+    # One text once: copies would fill the sample.
+    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(parts)) == 0).distinct()
+    pairs = stored(chosen.mapInArrow(_examples, "kind string, value string").distinct(), "secret-examples", rows=40 * sample_docs)
     ranked = []
     for kind in (*KINDS[:3], "plain"):
         ranked += pairs.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(each if kind != "plain" else 5 * each).collect()
@@ -159,8 +200,13 @@ def train_secret_grammar(docs: DataFrame, sample_docs: int = 4000, each: int = 4
     plain = []
     for row in ranked:
         (plain if row["kind"] == "plain" else formats.setdefault(row["kind"], [])).append(row["value"])
-    background = Automaton([*plain, *ORDINARY * 10])
-    return SecretGrammar({k: Automaton(v) for k, v in formats.items() if len(v) >= 20}, background)
+    discard(pairs)
+    known = {k: Automaton(v) for k, v in formats.items() if len(v) >= 20}
+    ordinary = {k: Automaton(v) for k, v in ordinary_examples(seed=seed).items()}
+    first = SecretGrammar(known, ordinary)
+    # The corpus's own tokens, but for those that are credentials themselves.
+    plain = [t for t in plain if len(t) < 16 or first.ratio(t) < first.margin]
+    return SecretGrammar(known, ordinary | ({"corpus": Automaton(plain)} if len(plain) >= 20 else {}))
 
 
 def scan_secrets(docs: DataFrame, grammar: SecretGrammar) -> DataFrame:

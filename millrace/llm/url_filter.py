@@ -18,9 +18,11 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.work import discard, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +52,7 @@ RULES = (
 )
 
 #: Columns of this operator, which replace columns of the same name.
-OWN = ("host", "path", "rule", "rule_verdict", "p_block", "verdict", "label", "suffix", "features", "rawPrediction", "probability", "prediction")
+OWN = ("host", "path", "rule", "rule_verdict", "p_block", "verdict", "label", "suffix", "fold", "features", "rawPrediction", "probability", "prediction")
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
@@ -119,9 +121,18 @@ def lexical_features(parts: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame, prior: float = 5.0) -> DataFrame:
-    """Smoothed share of blocked URLs by host suffix, over all labelled rows."""
-    return labelled.groupBy("suffix").agg(((F.sum("label") + prior / 2) / (F.count("*") + prior)).alias("f_suffix_blocked"), F.log1p(F.count("*")).alias("f_suffix_seen"))
+def suffix_statistics(featured: DataFrame, folds: int) -> DataFrame:
+    """Rows (suffix, fold, blocked, seen): labelled URLs by host suffix and fold."""
+    return featured.groupBy("suffix", _fold(folds).alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"))
+
+
+def _fold(folds: int) -> Column:
+    """All URLs of a host are in one fold."""
+    return F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")
+
+
+def _smoothed(blocked: Column, seen: Column, prior: float = 5.0) -> list[Column]:
+    return [((blocked + prior / 2) / (seen + prior)).alias("f_suffix_blocked"), F.log1p(seen).alias("f_suffix_seen")]
 
 
 @dataclass(frozen=True)
@@ -131,32 +142,45 @@ class UrlModel:
     suffixes: DataFrame
 
     def score(self, featured: DataFrame) -> DataFrame:
-        """Adds p_block. The suffix table holds one row a suffix (a TLD)."""
+        """Adds p_block. The suffix table is a stored one, of one row a suffix (a
+        TLD): its size is known, and Spark sends it to the pages if it is small."""
         joined = featured.join(self.suffixes, "suffix", "left").na.fill({"f_suffix_blocked": 0.5, "f_suffix_seen": 0.0})
         scored = self.classifier.transform(self.assembler.transform(joined))
         return scored.withColumn("p_block", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train_url_model(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel | None:
+def train_url_model(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 4, folds: int = 5, seed: int = 7) -> UrlModel | None:
     """Fit the trees to `labelled` (url, host, path, label: 1.0 means block).
 
-    The trees see at most about `max_rows` rows, taken by hash of the URL: the
-    bound on this sample does not depend on the input. Suffix statistics cover
-    all labelled rows. Without any labelled row there is no model (None).
+    The trees see at most `max_rows` different URLs, those of the least hashes: the
+    bound on this sample does not depend on the input, nor on how often a URL is
+    repeated. Suffix statistics cover all labelled rows; a URL of the sample is given
+    those of the other folds, so that no label is seen by its own feature. Without
+    any labelled row there is no model (None).
     """
     featured = lexical_features(labelled)
-    total = featured.count()
+    by_fold = stored(suffix_statistics(featured, folds), "url-folds")
+    total = by_fold.agg(F.sum("seen")).first()[0]
     if not total:
         return None
-    keep = min(1.0, max_rows / total)
-    sample = featured.where(F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(seed)), F.lit(1_000_000)) < int(keep * 1_000_000) + (keep >= 1.0))
-    suffixes = suffix_statistics(featured)
+    whole = Window.partitionBy("suffix")
+    others = by_fold.select("suffix", "fold", *_smoothed(F.sum("blocked").over(whole) - F.col("blocked"), F.sum("seen").over(whole) - F.col("seen")))
+    suffixes = stored(by_fold.groupBy("suffix").agg(F.sum("blocked").alias("b"), F.sum("seen").alias("s")).select("suffix", *_smoothed(F.col("b"), F.col("s"))), "url-suffixes")
+    order = F.xxhash64(F.coalesce("url", F.lit("")), F.lit(seed))
     inputs = [c for c in featured.columns if c.startswith("f_")] + ["f_suffix_blocked", "f_suffix_seen"]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    data = assembler.transform(sample.join(suffixes, "suffix")).select("features", "label").coalesce(4)
+
+    def sample(below: float) -> DataFrame:
+        rows = featured.where(order <= min(2**63 - 1, int((2 * below - 1) * 2**63)))
+        once = rows.dropDuplicates(["url", "label"]).orderBy(order, "url", "label").limit(max_rows)
+        return stored(once.withColumn("fold", _fold(folds)).join(others, ["suffix", "fold"]).select(*inputs, "label"), "url-sample", rows=max_rows)
+
+    # Twice the share that is needed is sorted; if it happens to hold none, all is.
+    data = sample(min(1.0, 2 * max_rows / total))
     if not data.take(1):
-        return None
-    classifier = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, cacheNodeIds=False).fit(data)
+        data = sample(1.0)
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    classifier = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, cacheNodeIds=False).fit(assembler.transform(data).select("features", "label"))
+    discard(by_fold, data)
     return UrlModel(classifier, assembler, suffixes)
 
 

@@ -2,8 +2,10 @@ import hashlib
 import json
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 
 from millrace.llm import chat_format as c
 
@@ -11,17 +13,46 @@ PIECES = ["<s>", "</s>", "[INST]", "[/INST]", "[TURN]", "[/TURN]", "\\", "<", "s
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.sampled_from(["user", "assistant", "system", "tool", "", "a\n[/TURN]"]), st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+@given(st.sampled_from(["user", "assistant", "system", "tool", "", "a\n[/TURN]", "\\n\n\\"]), st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
 def test_round_trip(role, text):
     t = c.Template()
     segment, start, end = t.render(role, text)
-    if "\n" not in role:
-        assert t.read(segment) == (role, text)
+    assert t.read(segment) == ((role, text), len(segment))
     assert t.unguard(segment[start:end]) == (text if role == "assistant" else "")
     body = t.guard(text)
     assert not any(x in body for x in t.controls)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb"]), st.lists(st.sampled_from(PIECES), max_size=6).map("".join)), max_size=6), st.randoms())
+def test_turns_are_found_by_their_marks_alone(turns, draw):
+    """The whole text of a conversation, cut anywhere."""
+    t = c.Template()
+    text, reader, got = "".join(t.render(*x)[0] for x in turns), c.ConversationReader(c.Template()), []
+    while text:
+        k = draw.randrange(1, len(text) + 1)
+        got += reader.feed(text[:k])
+        text = text[k:]
+    reader.close()
+    assert got == turns
+
+
+def test_missing_mark_is_an_error(spark):
+    reader = c.ConversationReader(c.Template())
+    assert reader.feed("<s>[INST]q[/INST]a") == [("user", "q")]
+    with pytest.raises(ValueError, match="end mark"):
+        reader.close()
+    broken = spark.createDataFrame([(1, 0, 0, "user", "q", "<s>[INST]q", 0, 0)], "conv_id long, turn long, part int, role string, text string, segment string, loss_start long, loss_end long")
+    with pytest.raises(PythonException):
+        c.read_back(broken).collect()
+
+
+def test_deep_nesting_is_no_layout(spark):
+    rows = [(1, 0, '{"a":' * 3000 + "1" + "}" * 3000), (2, 0, '{"a":' * 700 + "1" + "}" * 700), (3, 0, '{"role":"user","text":"x"}')]
+    got = {r["conv_id"]: r["mapping"] for r in c.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string")).collect()}
+    assert got == {1: None, 2: None, 3: "turn"}
+
+
 def test_query_against_brute_force(spark, tmp_path):
     draw = random.Random(3)
     rows = [(i % 7, i, draw.choice(["user", "assistant", "system", "tool"]), draw.choice([None, "", *PIECES, "".join(draw.choices(PIECES, k=40)), "x" * 50000])) for i in range(120)]

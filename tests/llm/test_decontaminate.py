@@ -52,14 +52,34 @@ def test_shards_give_the_same(spark, tables):
     sf, docs, items = tables
     df, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = {(r["doc_id"], r["item_id"], round(r["score"], 9)) for r in d.find_leaks(df, bench).collect()}
-    many = {(r["doc_id"], r["item_id"], round(r["score"], 9)) for r in d.find_leaks(df, bench, max_items=10).collect()}
-    assert one == many
+    for max_items, max_sent in ((10, 20_000), (7, 12), (1, 25)):
+        many = {(r["doc_id"], r["item_id"], round(r["score"], 9)) for r in d.find_leaks(df, bench, max_items=max_items, max_sent=max_sent).collect()}
+        assert one == many
+
+
+def test_a_long_item_changes_nothing_for_others(spark, prose):
+    """Halves of an item far apart are no leak, beside a long item or not."""
+    item, long = prose(1, 40), prose(2, 3000)
+    words = item.split()
+    apart = " ".join([*words[:20], prose(3, 300), *words[20:]])
+    docs = spark.createDataFrame([(1, apart), (2, prose(4, 50) + " " + item), (3, long), (4, prose(5, 100))], "doc_id long, text string")
+    alone = d.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    beside = d.find_leaks(docs, spark.createDataFrame([(7, item), (8, long)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in alone} == {(2, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in beside.collect()} == {(2, 7), (3, 8)}
+
+
+def test_rows_without_ids(spark, prose):
+    items = spark.createDataFrame([(None, prose(1, 30)), (None, prose(2, 30)), (3, prose(3, 30)), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so " + prose(1, 30)), (5, prose(2, 30)), (6, prose(3, 30)), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in d.find_leaks(docs, items, max_items=1).collect()), key=repr)
+    assert got == sorted([(None, None), (5, None), (6, 3)], key=repr)
 
 
 def test_wand_against_all_scores(prose):
     rows = [(i, prose(i, 30)) for i in range(300)]
     df = d.Counter(t for _, x in rows for t in set(d.terms(x.encode())))
-    index = d.build_index(rows, df, len(rows), 30.0, block=8)
+    index = d.build_index(rows, df, len(rows), 30.0, 32, block=8)
     for seed in range(40):
         query = set(d.terms(prose(seed, 30).encode())) | set(d.terms(prose(seed + 900, 60).encode()))
         for threshold in (0.05, 0.1, 0.3, 0.9):

@@ -70,6 +70,16 @@ def test_expectation_is_kept(spark):
     assert all(0 < n < 24 for n in taken.values()) or len(set(taken.values())) > 2
 
 
+def test_many_rows_without_id(spark):
+    """Equal rows are numbered in blocks."""
+    docs = spark.range(20_000).selectExpr("cast(null AS long) AS doc_id", "'w' AS text", "'a' AS source").unionByName(spark.createDataFrame([(1, "w w", "b")], "doc_id long, text string, source string"))
+    got = m.mix_sources(docs, weights=(3.0, 1.0)).groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    assert {r["source"]: r["count(1)"] for r in got} == {"a": 20_000, "b": 1}
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in got)
+    numbers = m._numbered(spark.createDataFrame([(1, 10), (2, 1)], "doc_id long, n long"), block=3)
+    assert sorted((r["doc_id"], r["k"]) for r in numbers.collect()) == [(1, k) for k in range(1, 11)] + [(2, 1)]
+
+
 def test_plain_expressions_only(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
     assert not any(w in m.mix_sources(docs)._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))

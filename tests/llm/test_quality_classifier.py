@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 
 from millrace.llm import quality_classifier as q
@@ -43,3 +45,44 @@ def test_without_positives_and_empty(spark, documents):
     sf = documents([], "none")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     assert q.op10_quality_classifier(spark, sf).count() == 0
+
+
+def test_risk_and_its_gradient_by_hand():
+    draw = np.random.default_rng(4)
+    p, u = draw.normal(1, 1, (40, 3)), draw.normal(0, 1, (60, 3))
+    loss = lambda z: math.log(1 + math.exp(-z))
+    seen = set()
+    for prior in (0.2, 0.5, 0.9):
+        for k in range(20):
+            w = draw.normal(0, 1 + k % 4, 3)
+            positive = sum(loss(w @ x) for x in p) / len(p)
+            negative = sum(loss(-w @ x) for x in u) / len(u) - prior * sum(loss(-w @ x) for x in p) / len(p)
+            value, part, down = q.risk(w, p, u, prior)
+            assert value == pytest.approx(prior * positive + max(0, negative)) and part == pytest.approx(negative)
+            f = (lambda v: q.risk(v, p, u, prior)[0]) if negative >= 0 else (lambda v: -q.risk(v, p, u, prior)[1])
+            slope = [(f(w + e) - f(w - e)) / 2e-6 for e in 1e-6 * np.eye(3)]
+            assert down == pytest.approx(slope, abs=1e-4)
+            seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_prior_is_found_without_negatives(prose):
+    hashes = q.WordHashes()
+    good = lambda i: q.text_counts(prose(i, 30 + i % 100).encode(), hashes)
+    bad = lambda i: q.text_counts(" ".join(w + "***" for w in prose(i, 60).split()).encode(), hashes)
+    positive = np.array([good(i) for i in range(600)])
+    for share in (0.9, 0.6, 0.3):
+        n = int(800 * share)
+        mixed = np.array([good(5000 + i) for i in range(n)] + [bad(i) for i in range(800 - n)])
+        np.random.default_rng(1).shuffle(mixed)
+        assert abs(q.estimate_prior(positive, mixed) - share) < 0.08
+
+
+def test_rows_without_id_and_long_texts(spark, documents, prose):
+    sf = documents([(None, prose(1)), (None, None), (3, "word " * 100_000), *((i, prose(i)) for i in range(10, 60))])
+    spark.createDataFrame([(i, 1) for i in range(10, 40)] + [(None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    rows = q.op10_quality_classifier(spark, sf).collect()
+    assert len(rows) == 53 and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
+    again = {(r["doc_id"], r["score"]) for r in q.op10_quality_classifier(spark, sf).collect()}
+    assert again == {(r["doc_id"], r["score"]) for r in rows}

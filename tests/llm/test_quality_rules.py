@@ -1,7 +1,12 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.llm import quality_rules as q
+from millrace.llm import work
 
 
 def by_hand(text):
@@ -58,3 +63,43 @@ def test_large_shares_of_copies(spark, documents, prose):
 
 def test_empty(spark, documents):
     assert q.op4_quality_rules(spark, documents([])).count() == 0
+
+
+def test_concentration_against_numpy(spark, prose):
+    """From the same starts: determinants fall until they stop, and to the same values."""
+    texts = [(i, prose(i, 40 + i % 160) if i % 4 else " ".join(w + "##" for w in prose(i).split())) for i in range(160)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string")
+    names, floors = list(q.FEATURES), list(q.FEATURES.values())
+    salt = F.pmod(F.xxhash64(*names), F.lit(q.SALTS)).cast("int")
+    vectors = work.stored(q._features(q.document_counts(docs, "doc_id")).select(F.lit("g").alias("grp"), salt.alias("salt"), *names), "test-vectors")
+    x = np.array([[r[c] for c in names] for r in vectors.collect()])
+    current = work.stored(q._start(vectors, names, floors, True), "test-start")
+    by_hand = {r["start"]: (np.array(r["centre"]), np.array(r["precision"]).reshape(7, 7)) for r in current.collect()}
+    assert len(by_hand) == 3
+    last = dict.fromkeys(by_hand, np.inf)
+    for i in range(4):
+        current = work.stored(q._concentrate(vectors, current, names, floors, 0.5, i % 2 == 0), "test-step", rows=3)
+        for r in current.collect():
+            centre, precision = by_hand[r["start"]]
+            d2 = np.einsum("ij,jk,ik->i", x - centre, precision, x - centre)
+            near = x[np.argsort(d2, kind="stable")[: len(x) // 2]]
+            cov = np.cov(near.T, bias=True)
+            cov = cov + np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-3 * np.square(floors))
+            by_hand[r["start"]] = near.mean(axis=0), np.linalg.inv(cov)
+            assert r["logdet"] == pytest.approx(np.linalg.slogdet(cov)[1], abs=1e-6)
+            assert r["logdet"] <= last[r["start"]] + 0.05  # the floors of deviations may lift it a little
+            last[r["start"]] = r["logdet"]
+
+
+def test_many_groups_are_joined_by_salts(spark, documents, prose):
+    rows = [(i, prose(i, 40 + i % 200) if i % 9 else " ".join(w + "##" for w in prose(i).split()), ("en", None)[i % 2], "s") for i in range(500)]
+    counted = q.document_counts(spark.read.parquet(documents(rows) + "/documents.parquet"), "doc_id", "lang", "source")
+    few, many = ({r["doc_id"]: r["kept"] for r in q.mark_outliers(counted, sent_groups=n).collect()} for n in (10_000, 0))
+    assert few == many
+
+
+def test_null_ids_and_very_long_texts(spark, documents, prose):
+    rows = [(i, prose(i, 40 + i % 100), None, None) for i in range(150)] + [(None, prose(7), None, None), (None, None, None, None), (900, prose(1, 60_000), "en", None), (901, "a" * 300_000, "en", None)]
+    got = q.op4_quality_rules(spark, documents(rows)).collect()
+    assert len(got) == len(rows)
+    assert all(r["kept"] is not None for r in got)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 from millrace.llm import secrets as s
 
@@ -51,6 +53,38 @@ def test_grammar_finds_unseen_credentials_and_leaves_prose(spark, prose):
     assert not any(grammar.spans(t)[1] for t in clean)
 
 
+def test_recall_of_planted_formats_and_false_alarms(spark, documents, prose):
+    """Every published format that no base pattern has, planted whole: grammar spans,
+    at the place of the secret. Texts without secrets get none."""
+    planted, rows = {}, []
+    for name, values in s.published_examples(25, seed=77).items():
+        if name in ("hex", "aws_access"):
+            continue
+        for v in values:
+            i = len(rows)
+            planted[i] = (name, len(prose(i)) + 5, v)
+            rows.append((i, prose(i) + " see " + v + "\n" + prose(i + 5000)))
+    rows += [(10_000 + i, prose(20_000 + i, 200)) for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in s.op2_secret_scan(spark, documents(rows)).collect()}
+    hit = Counter(name for i, (name, at, v) in planted.items() if f"grammar:{at}:{at + len(v.strip(s.EDGES))}" in got[i].split(",") or f"grammar:{at}:{at + len(v)}" in got[i].split(","))
+    assert all(hit[name] >= 20 for name in {n for n, _, _ in planted.values()}), hit
+    assert not any(got[10_000 + i] for i in range(100))
+
+
+def test_values_teach_whole():
+    long = [v for v in s.published_examples(60, seed=5)["jwt"] if len(v) >= 100]
+    automaton = s.Automaton(long)
+    whole, cut = s.symbols(long[0]), s.symbols(long[0][:64])
+    assert automaton.score(whole) / len(whole) > automaton.score(cut) / len(cut)
+
+
+def test_many_base_spans_take_no_square_time():
+    text = ("a1b2c3d4e5f6a7b8c9d0e1f2 plainTokenOfLetters12 " * 15_000)
+    began = time.perf_counter()
+    assert sum(1 for _ in s.candidates(text, s.base_spans(text))) == 15_000
+    assert time.perf_counter() - began < 5
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token = abcdef1234 b", 5), (2, None, 6), (3, "fine", 7)], "doc_id long, text string, secret_spans long")
     grammar = s.train_secret_grammar(docs)

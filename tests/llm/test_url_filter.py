@@ -44,6 +44,36 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum(r["verdict"] == r["want"] for r in got) >= 0.98 * len(got)
 
 
+def test_suffixes_do_not_see_their_own_labels(spark):
+    """One host has all labels of a suffix: its own feature must know none of them."""
+    rows = [(f"https://only.xyz/{i}", 1.0) for i in range(50)] + [(f"https://h{i}.com/a", float(i % 2)) for i in range(50)]
+    labelled = u.url_parts(spark.createDataFrame(rows, "url string, label double"))
+    stats = {(r["suffix"], r["fold"]): (r["blocked"], r["seen"]) for r in u.suffix_statistics(u.lexical_features(labelled), 5).collect()}
+    assert [v for (s, _), v in stats.items() if s == "xyz"] == [(50.0, 50)]
+    assert sum(n for (s, _), (_, n) in stats.items() if s == "com") == 50
+    model = u.train_url_model(labelled)
+    assert {r["suffix"]: r["f_suffix_seen"] > 3.9 for r in model.suffixes.collect()} == {"xyz": True, "com": True}
+
+
+def test_repeated_urls_do_not_fill_the_sample(spark):
+    rows = [("https://hot.biz/1", 1.0)] * 500 + [(f"https://www.fine{i}.org/story", 0.0) for i in range(60)] + [(f"https://{i}-win.biz/x?a={i}", 1.0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, label double")
+    pages = spark.createDataFrame([(None,), ("https://www.other.org/story",), ("https://77-win.biz/x?a=7",), ("https://long.org/" + "a/" * 20_000,)], "url string")
+    got = {r["url"]: r["verdict"] for r in u.filter_urls(pages, labelled).collect()}
+    assert len(got) == 4 and got["https://77-win.biz/x?a=7"] == "block" and got["https://www.other.org/story"] == "allow"
+
+
+def test_held_out_labels(spark):
+    """Labelled URLs of hosts that did not teach."""
+    draw = random.Random(3)
+    rows = [(f"https://{'-'.join(draw.choices(['win', 'free', 'x9', '77'], k=3))}{i}.{draw.choice(['com', 'info'])}/p?{'&'.join(f'k{j}={draw.randrange(9**6)}' for j in range(3))}", 1.0) for i in range(200)]
+    rows += [(f"https://www.{draw.choice(['city', 'school', 'library'])}{i}.{draw.choice(['com', 'info'])}/news/{draw.choice(['river', 'bridge'])}", 0.0) for i in range(200)]
+    draw.shuffle(rows)
+    model = u.train_url_model(u.url_parts(spark.createDataFrame(rows[:300], "url string, label double")))
+    scored = model.score(u.lexical_features(u.url_parts(spark.createDataFrame(rows[300:], "url string, label double")))).collect()
+    assert sum((r["p_block"] >= 0.5) == (r["label"] == 1.0) for r in scored) >= 95
+
+
 def test_empty_table_and_no_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert u.filter_urls(empty).count() == 0
