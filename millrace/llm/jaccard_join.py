@@ -220,11 +220,12 @@ def _shared_only(percent: int):
     return run
 
 
-def _with_partner(rows: pa.Table, percent: int) -> np.ndarray:
+def _with_partner(rows: pa.Table, percent: int, window: int = 32) -> np.ndarray:
     """Rows that size and position let link with another set of the same signature.
 
-    Ordered by size, the nearest other set tells whether one is near enough. Copies
-    of one set, from different tasks, count once.
+    In order of size, a row is tried with the next `window` rows of its signature;
+    in larger groups one near enough in size is taken for a partner. Copies of one
+    set, from different tasks, count once.
     """
     sig, fp, n, room = (rows.column(c).to_numpy().astype(np.int64) for c in ("sig", "fp", "n", "room"))
     if not len(sig):
@@ -234,13 +235,21 @@ def _with_partner(rows: pa.Table, percent: int) -> np.ndarray:
     same[1:] = (np.diff(sig[order]) == 0) & (np.diff(fp[order]) == 0)
     order = order[~same]
     sig, n, room = sig[order], n[order], room[order]
+    keep = np.zeros(len(sig), bool)
+    left = np.arange(len(sig))
+    for step in range(1, window + 1):
+        left = left[left + step < len(sig)]
+        left = left[sig[left] == sig[left + step]]
+        if not len(left):
+            return order[keep]
+        smaller, larger = n[left], n[left + step]
+        may = (100 * smaller >= percent * larger) & ((100 + percent) * np.minimum(room[left], room[left + step]) >= percent * (smaller + larger))
+        keep[left[may]] = keep[left[may] + step] = True
+    large = np.isin(sig, sig[left])
     near = np.zeros(len(sig) + 1, bool)  # With the row before.
     near[1:-1] = (sig[1:] == sig[:-1]) & (100 * n[:-1] >= percent * n[1:])
-    start = np.concatenate([[True], sig[1:] != sig[:-1], [True]])
-    pair = np.flatnonzero(start[:-2] & ~start[1:-1] & start[2:]) + 1 if len(sig) > 1 else np.zeros(0, np.int64)
-    near[pair] &= (100 + percent) * np.minimum(room[pair - 1], room[pair]) >= percent * (n[pair - 1] + n[pair])
     least = -(-percent * n // 100)
-    return order[(near[:-1] | near[1:]) & ((100 + percent) * room >= percent * (n + least))]
+    return order[keep | large & (near[:-1] | near[1:]) & ((100 + percent) * room >= percent * (n + least))]
 
 
 def _sets(size: int):

@@ -24,7 +24,6 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +134,11 @@ def _square(products, n: float, p: int) -> np.ndarray:
 ESTIMATE = "centre array<double>, precision array<double>, logdet double"
 
 
+def _estimates(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"grp": pa.string(), "start": pa.int32(), "centre": pa.list_(pa.float64()), "precision": pa.list_(pa.float64()), "logdet": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
 def _start(vectors: DataFrame, names: list[str], floors: list[float], send: bool) -> DataFrame:
     """Three first estimates of each group, all about its medians.
 
@@ -156,19 +160,19 @@ def _start(vectors: DataFrame, names: list[str], floors: list[float], send: bool
         F.array(*(F.sum(F.col(names[i]) * F.col(names[j]) / F.col("norm")) for i, j in _upper(p))).alias("signs"),
     )
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for g, centre, s, n, total, tanhs, signs in pdf[["grp", "centre", "s", "n", "sums", "tanhs", "signs"]].itertuples(index=False):
+            for g, centre, s, n, total, tanhs, signs in zip(*(batch.column(c).to_pylist() for c in ("grp", "centre", "s", "n", "sums", "tanhs", "signs")), strict=True):
                 mean = np.asarray(total, float) / n
                 for start, cov in enumerate((np.eye(p), _square(tanhs, n, p) - np.outer(mean, mean), _square(signs, n, p))):
                     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                     r = 0.99 * cov / np.outer(sd, sd)
                     np.fill_diagonal(r, 1.0)
                     rows.append((g, start, list(centre), (np.linalg.inv(r) / np.outer(s, s)).ravel().tolist(), float("inf")))
-            yield pd.DataFrame(rows, columns=["grp", "start", "centre", "precision", "logdet"])
+            yield _estimates(rows)
 
-    return sums.mapInPandas(build, f"grp string, start int, {ESTIMATE}")
+    return sums.mapInArrow(build, f"grp string, start int, {ESTIMATE}")
 
 
 def _estimated(inner: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
@@ -180,18 +184,18 @@ def _estimated(inner: DataFrame, names: list[str], floors: list[float]) -> DataF
         F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in _upper(p))).alias("products"),
     )
 
-    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for g, start, n, total, products in pdf[["grp", "start", "n", "sums", "products"]].itertuples(index=False):
+            for g, start, n, total, products in zip(*(batch.column(c).to_pylist() for c in ("grp", "start", "n", "sums", "products")), strict=True):
                 mean = np.asarray(total, float) / n
                 cov = _square(products, n, p) - np.outer(mean, mean)
                 lift = np.maximum(np.square(floors) - np.diag(cov), 0.0)
                 cov = cov + np.diag(lift + 1e-3 * np.square(floors))
                 rows.append((g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(rows, columns=["grp", "start", "centre", "precision", "logdet"])
+            yield _estimates(rows)
 
-    return sums.mapInPandas(invert, f"grp string, start int, {ESTIMATE}")
+    return sums.mapInArrow(invert, f"grp string, start int, {ESTIMATE}")
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame, names: list[str], send: bool) -> DataFrame:

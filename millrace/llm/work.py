@@ -20,8 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Shuffle files of a finished write are of no more use; they go at once.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: its shuffle files are of no more use afterwards and
+#: go at once; batches of texts for Python stay small.
+DURING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
@@ -39,12 +40,14 @@ def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20
     if rows is not None:
         files = -(-rows // per_file) or 1
         shaped = df.repartition(files) if files <= 8 else df.coalesce(files)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in DURING}
+    for key, value in DURING.items():
+        spark.conf.set(key, value)
     try:
         shaped.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
