@@ -143,3 +143,91 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     for key, value in values.items():
         template = F.replace(template, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     return template
+
+
+def iso_text(ts: Column) -> Column:
+    """A time as ISO text in whole seconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def spaced(text: Column) -> Column:
+    """Lower case, with one space for each run of white space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def letters_only(text: Column) -> Column:
+    """Lower case, with a space for each run of anything but a-z and digits; accented
+    letters are not read as plain ones."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _short(x: Column) -> Column:
+    """A number to three decimals, without a trailing .0"""
+    return F.regexp_replace((F.floor(x * 1000.0 + 0.5).cast("double") / 1000.0).cast("string"), r"\.0$", "")
+
+
+def grain_label(seconds: Column) -> Column:
+    """A step of time in its largest unit."""
+    in_unit = lambda size, name: F.concat(_short(seconds / size), F.lit(f" {name}"))
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "irregular").when(seconds < 60, in_unit(1, "s")).when(seconds < 3600, in_unit(60, "min")).when(seconds < 86400, in_unit(3600, "h")).otherwise(in_unit(86400, "d"))
+
+
+def span_label(seconds: Column) -> Column:
+    """A length of time in words: minutes up to 90, hours up to 48, then days."""
+    minutes = F.greatest(F.lit(1), F.floor(seconds / 60 + 0.5)).cast("long").cast("string")
+    tenth = lambda size: _short(F.floor(seconds / size + 0.5) / 10)
+    return F.when(seconds < 5400, F.concat(minutes, F.lit(" minutes"))).when(seconds < 172800, F.concat(tenth(360), F.lit(" hours"))).otherwise(F.concat(tenth(8640), F.lit(" days")))
+
+
+def counted_facts(text: Column, most: int = 12) -> Column:
+    """array(struct(n, label)) of phrases such as `25 trucks`; a label's first counts."""
+    pattern = r"(\d[\d.,]*)\s+([A-Za-zÁÉÍÓÚáéíóúÑñ]{3,21})"
+    numbers, labels = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
+    pairs = F.filter(F.zip_with(numbers, labels, lambda n, w: F.struct(parse_number(n).alias("n"), w.alias("label"))), lambda f: f["n"].isNotNull())
+    first = F.filter(pairs, lambda f, i: F.array_position(F.transform(pairs, lambda g: without_accents(g["label"])), without_accents(f["label"])) == i + 1)
+    return F.slice(first, 1, most)
+
+
+#: What a destination of each type of channel looks like.
+DESTINATIONS = {
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
+    "sms": r"^[+()\d][\d\s\-().]{5,}$",
+    "call": r"^[+()\d][\d\s\-().]{5,}$",
+    "slack": r"^https?://|^#?[\w-]{2,}$",
+    "webhook": r"^https?://.+",
+}
+
+
+def destination_ok(kind: Column, destination: Column) -> Column:
+    """Whether a destination fits its type of channel; null for an unknown type."""
+    checked = None
+    for name, pattern in DESTINATIONS.items():
+        checked = F.when(kind == name, destination.rlike(pattern)) if checked is None else checked.when(kind == name, destination.rlike(pattern))
+    return checked
+
+
+def kind_of_column(name: Column) -> Column:
+    """person, item or cohort, by a column's name."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    person = r"operator|operador|driver|conductor|employee|person|who\b"
+    item = r"\bunit\b|truck|cami[oó]n|veh[ií]cle|veh[ií]culo|equipo|machine|\bsku\b|item|product"
+    return F.when(low.rlike(person), "person").when(low.rlike(item), "item").otherwise("cohort")
+
+
+def kind_of_measure(unit: Column) -> Column:
+    """percentage, duration, money or count, by a measure's unit."""
+    low = F.lower(F.coalesce(unit, F.lit("")))
+    return F.when(low == "%", "percentage").when(low.rlike(r"^(h|hr|hrs|hour|s|sec|min|d|day)$"), "duration").when(low.rlike(r"^(usd|eur|\$)$"), "money").otherwise("count")
+
+
+#: How each kind of answer is written.
+KIND_FORMATS = {"money": "currency", "count": "count", "percentage": "percentage", "duration": "time"}
+
+
+def format_of_kind(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in KIND_FORMATS.items() for x in kv))[kind], F.lit("count"))
+
+
+def declared_format(declared: Column, suggested: Column) -> Column:
+    """A valid declared format counts more than one suggested by the name."""
+    return F.when(declared.isin(*KIND_FORMATS.values()), declared).otherwise(suggested)

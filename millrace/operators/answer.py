@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import coerce
 from millrace.functions.rounding import half_up
 
 
@@ -75,3 +77,19 @@ def families(df: DataFrame, label: Column, measures: list[str]) -> DataFrame:
 def shortlist(candidates: DataFrame, taken: DataFrame, n: int = 5) -> DataFrame:
     """The best candidates whose category and measure no one has taken yet."""
     return candidates.join(taken, ["category", "measure"], "left_anti").orderBy(F.desc("cv"), "category", "measure").limit(n)
+
+
+def cells(sources: dict[str, DataFrame]) -> DataFrame:
+    """Members of several sources (each member, value, n) under one schema."""
+    named = [df.select(F.lit(name).alias("dim"), "member", half_up("value").alias("value"), "n") for name, df in sources.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def dimensions(sources: dict[str, tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """(id, kind, members) of what can be ranked over: a table, a column, and the kind
+    of answer, which a context's column name tells where it is not given."""
+    counted = []
+    for name, (df, column, kind) in sources.items():
+        told = F.lit(kind) if kind else coerce.kind_of_column(F.lit(name.removeprefix("context:")))
+        counted.append(df.agg(F.lit(name).alias("id"), told.alias("kind"), F.count_distinct(column).alias("members")))
+    return reduce(DataFrame.unionByName, counted)

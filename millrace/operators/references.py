@@ -29,14 +29,17 @@ def pick(header: list[str], words: tuple[str, ...]) -> int | None:
 
 @dataclass(frozen=True)
 class Recogniser:
-    """`needs`: each group of words must be met by some column."""
+    """`needs`: each group of words must be met by some column; `or_needs`, if given,
+    is another set of groups that will do."""
 
     kind: str
     needs: tuple[tuple[str, ...], ...]
     columns: dict[str, tuple[str, ...]]
+    or_needs: tuple[tuple[str, ...], ...] = ()
 
     def knows(self, header: list[str]) -> bool:
-        return all(pick(header, words) is not None for words in self.needs)
+        met = lambda needs: bool(needs) and all(pick(header, words) is not None for words in needs)
+        return met(self.needs) or met(self.or_needs)
 
 
 #: In order, the words that tell reference tables and their columns.
@@ -48,8 +51,9 @@ RECOGNISERS = (
     ),
     Recogniser(
         "incidents",
-        (("caso", "case"), ("inicio", "exceso", "start", "excess")),
+        (("caso",), ("inicio", "exceso")),
         {"entity": ("camion", "unidad", "entity", "asset", "unit", "truck"), "label": ("caso", "case", "anomaly", "incident"), "start": ("inicio", "start"), "end": ("fin", "end"), "window_type": ("tipo de ventana", "window", "tipo"), "variables": ("variables", "signals", "pattern"), "effect": ("efecto", "effect", "physical"), "rows_affected": ("filas", "rows", "records"), "expected_excess": ("exceso", "excess", "impact"), "zone": ("ruta", "zona", "zone", "route", "segment"), "use": ("uso", "use", "purpose", "notes")},
+        (("case",), ("start", "excess")),
     ),
     Recogniser("roster", (("operador", "operator", "driver", "conductor"), ("turno", "shift")), {"who": ("operador", "operator", "driver", "conductor"), "entity": ("camion", "unidad", "truck", "unit", "asset"), "shift": ("turno", "shift"), "schedule": ("horario", "schedule", "hours"), "value": ("valor", "value", "promedio", "mean"), "baseline": ("base", "baseline", "linea"), "deviation": ("desviacion", "deviation", "variacion"), "flag": ("estado", "flag", "status")}),
     Recogniser("map", (("ruta", "route"), ("segmento", "segment")), {"route": ("ruta", "route"), "order": ("orden", "order", "sequence"), "segment": ("segmento", "segment"), "length_m": ("longitud", "length", "metros"), "grade": ("pendiente", "grade", "slope"), "condition": ("condicion", "condition")}),

@@ -45,14 +45,16 @@ def edge_events(ticks: DataFrame, key: list[str], at: str, order: list[str], fir
     return events.withColumn("suppressed", (F.col("kind") == "breach") & F.coalesce(F.col(at) - last < cooldown, F.lit(False)))
 
 
-def newest(events: DataFrame, key: list[str], at: str, n: int = 200) -> DataFrame:
-    """The `n` newest events of each key."""
-    return events.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(at), "kind"))).where(F.col("_rank") <= n).drop("_rank")
+def newest(events: DataFrame, key: list[str], order: list[str], n: int = 200) -> DataFrame:
+    """The `n` newest events of each key; `order` is theirs, time first."""
+    last = Window.partitionBy(*key).orderBy(*map(F.desc, order))
+    return events.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def live_state(events: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Keys whose latest event is a breach."""
-    latest = events.groupBy(*key).agg(F.max_by("kind", F.struct(at, "kind")).alias("kind"), F.max(at).alias("since"))
+def live_state(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Keys whose latest event is a breach. Of events at one time the last in `order`
+    counts, whatever its kind."""
+    latest = events.groupBy(*key).agg(F.max_by("kind", F.struct(*order)).alias("kind"), F.max(order[0]).alias("since"))
     return latest.where("kind = 'breach'").drop("kind")
 
 

@@ -303,7 +303,7 @@ def threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TICKS} SELECT user_id, max("at") AS since FROM ev GROUP BY 1 HAVING arg_max(kind, event_id) = 'breach'""")
 def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.live_state(_log(spark, sf_dir), ["user_id"], "at")
+    return risk.live_state(_log(spark, sf_dir), ["user_id"], ["at", "event_id"])
 
 
 @query(f"""WITH {TICKS} SELECT user_id, count(*) FILTER (kind = 'breach') AS times_fired, coalesce(max(held_ms), 0) AS longest_ms, count(*) FILTER (kind = 'breach') >= 3 AS flapping FROM ev GROUP BY 1""")
@@ -311,9 +311,9 @@ def flapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.flapping(_log(spark, sf_dir), ["user_id"])
 
 
-@query(f"""WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind) AS k FROM ev) SELECT user_id, event_id, "at", kind FROM n WHERE k <= 5""")
+@query(f"""WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, event_id DESC) AS k FROM ev) SELECT user_id, event_id, "at", kind FROM n WHERE k <= 5""")
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.newest(_log(spark, sf_dir), ["user_id"], "at", 5).select("user_id", "event_id", "at", "kind")
+    return risk.newest(_log(spark, sf_dir), ["user_id"], ["at", "event_id"], 5).select("user_id", "event_id", "at", "kind")
 
 
 @query(f"""WITH b AS (SELECT event_id, user_id, ts, value, value > 60 AS out FROM events), i AS (SELECT *, sum(CASE WHEN out THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM b),
@@ -391,7 +391,7 @@ def _uniform_sql(*parts: str) -> str:
 
 SERIES = f"""WITH {RUNS}, d AS (SELECT state, {r('avg("end" - "start")')} + 60 AS dwell FROM runs GROUP BY 1), l AS (SELECT event_type AS state, {r("avg(value)")} AS level, {r("min(value)")} AS lo, {r("max(value)")} AS hi FROM events GROUP BY 1),
 st AS (SELECT *, sum(dwell) OVER (ORDER BY state) AS until, sum(dwell) OVER () AS cycle FROM d JOIN l USING (state)), f AS (SELECT avg(value) AS fleet FROM events),
-un AS (SELECT user_id AS unit, {r("greatest(0.4, least(2.5, avg(value) / any_value(fleet)))", 6)} AS factor FROM events, f WHERE user_id % 10 = 0 GROUP BY 1),
+un AS (SELECT user_id AS unit, {r("greatest(0.4, least(2.5, avg(value) / any_value(fleet)))", 6)} AS factor FROM events, f GROUP BY 1),
 grid AS (SELECT unit, factor, unnest(range({FIRST}, {LAST} + 1, {STEP})) AS "at", {_uniform_sql(f"'{SEED}'", "'offset'", "CAST(unit AS VARCHAR)")} AS off FROM un),
 series AS (SELECT unit, CAST("at" AS BIGINT) AS "at", state, {r(f"greatest(lo, least(hi, level * factor * (1 + 0.1 * (2 * {_uniform_sql(chr(39) + SEED + chr(39), 'CAST(unit AS VARCHAR)', 'CAST("at" AS VARCHAR)')} - 1))))")} AS value
 FROM grid JOIN st ON ("at" + floor(off * cycle)) % cycle >= until - dwell AND ("at" + floor(off * cycle)) % cycle < until)"""
@@ -399,7 +399,7 @@ FROM grid JOIN st ON ("at" + floor(off * cycle)) % cycle >= until - dwell AND ("
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, units = generator.build_plan(table(spark, sf_dir, "events"), "user_id", "event_type", "value", _runs(spark, sf_dir))
-    return generator.generate(states, units.where("unit % 10 = 0"), FIRST, LAST, STEP, SEED)
+    return generator.generate(states, units, FIRST, LAST, STEP, SEED)
 
 
 def _kpi(series: DataFrame) -> DataFrame:
@@ -410,7 +410,6 @@ def _kpi(series: DataFrame) -> DataFrame:
 
 @query(SERIES + ' SELECT unit, "at", state, value FROM series')
 def generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature of this query is a fleet of every tenth unit."""
     return _series(spark, sf_dir)
 
 
@@ -419,13 +418,8 @@ def generated_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kpi(_series(spark, sf_dir))
 
 
-def _fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series of every user of events; the generated_* queries show a tenth of them."""
-    states, units = generator.build_plan(table(spark, sf_dir, "events"), "user_id", "event_type", "value", _runs(spark, sf_dir))
-    return generator.generate(states, units, FIRST, LAST, STEP, SEED)
-
-
-FLEET = SERIES.replace(" WHERE user_id % 10 = 0", "")
+#: The fleet_* queries are the generated_* ones by their older names.
+_fleet, FLEET = _series, SERIES
 
 
 @query(FLEET + ' SELECT unit, "at", state, value FROM series')
@@ -442,7 +436,7 @@ def fleet_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT cell, coalesce(n, 0) AS live, CASE WHEN n IS NULL THEN 'ok' WHEN n > 2 THEN 'critical' ELSE 'warning' END AS tone FROM cells LEFT JOIN z USING (cell)""")
 def health_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results are cells of users."""
-    live = risk.live_state(_log(spark, sf_dir), ["user_id"], "at").withColumn("cell", F.col("user_id") % 25)
+    live = risk.live_state(_log(spark, sf_dir), ["user_id"], ["at", "event_id"]).withColumn("cell", F.col("user_id") % 25)
     return board.health(table(spark, sf_dir, "events").withColumn("cell", F.col("user_id") % 25), live, "cell")
 
 
@@ -450,7 +444,7 @@ def health_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, recoveries, CASE WHEN user_id IN (SELECT user_id FROM l) THEN 1 ELSE 0 END::BIGINT AS live, 'flapping' AS finding FROM r WHERE recoveries > 4 AND recoveries > 2 * CASE WHEN user_id IN (SELECT user_id FROM l) THEN 1 ELSE 0 END""")
 def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    return board.findings(log, risk.live_state(log, ["user_id"], "at"), "user_id")
+    return board.findings(log, risk.live_state(log, ["user_id"], ["at", "event_id"]), "user_id")
 
 
 @query(f"""WITH f AS (SELECT CASE WHEN regexp_matches(p_type, '^(SMALL|MEDIUM|LARGE)') THEN 'sized' ELSE p_type END AS family, l_extendedprice * l_discount AS x FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT family, count(*) AS n, sum(x) AS excess FROM f GROUP BY 1)

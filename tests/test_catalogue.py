@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
 

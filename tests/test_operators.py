@@ -98,3 +98,43 @@ def test_workbook_and_header(spark, tmp_path):
     assert [r["cells"] for r in got] == [["Timestamp", None, "Load (ton)"], ["2024-01-01T12:00:00", "TRUE", "7.5", None]]
     cells = {(r["name"], r["cell"]) for r in readers.with_header(rows).collect()}
     assert {("Timestamp", "2024-01-01T12:00:00"), ("col2", "TRUE"), ("Load (ton)", "7.5"), ("col4", None)} == cells
+
+
+def test_recognisers_pair_words_of_one_language():
+    from millrace.operators.references import recognise
+
+    assert recognise(["Caso", "Inicio"], 5).kind == "incidents"
+    assert recognise(["Case", "Start"], 5).kind == "incidents"
+    assert recognise(["Caso", "Start of day"], 5) is None
+    assert recognise(["Case", "Inicio"], 5) is None
+
+
+def test_latest_of_events_at_one_time(spark):
+    from millrace.operators import risk
+
+    rows = [(1, 5, 1, "breach"), (1, 5, 2, "recovered"), (2, 5, 1, "recovered"), (2, 5, 2, "breach")]
+    events = spark.createDataFrame(rows, "unit long, at long, event_id long, kind string")
+    assert [r["unit"] for r in risk.live_state(events, ["unit"], ["at", "event_id"]).collect()] == [2]
+    newest = risk.newest(events, ["unit"], ["at", "event_id"], 1).collect()
+    assert {(r["unit"], r["kind"]) for r in newest} == {(1, "recovered"), (2, "breach")}
+
+
+def test_settings_are_checked():
+    import pytest
+
+    from millrace.operators import surface
+
+    assert surface.checked_setting("prox_urgent", "0.2")["prox_urgent"] == 0.2
+    for key, value in (("nothing", "1"), ("prox_urgent", "2"), ("cooldown_ms", "-1"), ("cooldown_ms", "x")):
+        with pytest.raises(ValueError):
+            surface.checked_setting(key, value)
+
+
+def test_responses_by_surface(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import surface
+
+    df = spark.createDataFrame([("alarm",), ("note",)], "kind string")
+    got = {r["kind"]: r["r"] for r in df.withColumn("r", surface.new_response("risk", F.col("kind"))).collect()}
+    assert got["alarm"]["channels"] == [] and got["note"] is None
