@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import oracles
 from millrace.llm.chat_format import op8_chat_format
 from millrace.llm.decontaminate import op7_decontaminate
 from millrace.llm.html_extract import op3_html_extract
@@ -28,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_katz_score": op9_katz_score,
     "op10_quality_classifier": op10_quality_classifier,
+    **oracles.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Trees, automata, estimates, draws and models cannot be put into SQL; the parts that
+#: can have queries of their own.
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
