@@ -310,6 +310,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     # that several share. Others may be in a third of all sets and are only ever
     # aggregated and joined.
     signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, bounded boolean"), "jaccard-signatures")
+    shared.destroy()
     bounded = signatures.where("bounded").drop("bounded").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
     met = stored(bounded.unionByName(signatures.where("NOT bounded").drop("bounded")), "jaccard-met")
     rows = met.count()
