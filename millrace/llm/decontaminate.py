@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import each, texts
-from millrace.llm.work import Scratch
+from millrace.llm.work import Scratch, lean
 
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|"
 #: Where an answer begins inside an item that has one.
@@ -276,7 +276,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "overlap"])
 
-        return source.mapInArrow(search, schema)
+        return source.mapInArrow(lean(search), schema)
 
     found, waiting = [], []
     for index in shards(benchmark, max_items):

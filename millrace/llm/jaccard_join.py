@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.text import WordHashes, each, mix, texts, windows
 from millrace.llm import work
-from millrace.llm.work import Scratch, row_key, stored, without
+from millrace.llm.work import Scratch, lean, row_key, stored, without
 
 COUNTER_BITS = 22
 SLICES = 64
@@ -124,7 +124,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counters(described: DataFrame) -> np.ndarray:
     """All counters: 16 MB, whatever the corpus, summed by slice in Spark."""
-    rows = described.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_sum_slices, "slice int, counts binary").collect()
+    rows = described.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(lean(_sum_slices), "slice int, counts binary").collect()
     out = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.int32)
     for r in rows:
         out[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.int32)
@@ -298,7 +298,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     spark, scratch = docs.sparkSession, Scratch()
     stored = scratch.stored
     source = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = stored(source.mapInArrow(_describe(size), "doc_id long, n long, fp long, bits array<long>, slice int, counts binary"), "jaccard-documents")
+    described = stored(source.mapInArrow(lean(_describe(size)), "doc_id long, n long, fp long, bits array<long>, slice int, counts binary"), "jaccard-documents")
     counters = _counters(described)
     frequent = _threshold(counters)
     shared = spark.sparkContext.broadcast(counters)
@@ -309,9 +309,9 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     # Most signatures are in a bounded number of sets: one sorted pass leaves those
     # that several share. Others may be in a third of all sets and are only ever
     # aggregated and joined.
-    signatures = stored(source.select("raw").mapInArrow(_signatures(size, percent, shared, frequent), "sig long, fp long, n int, room int, bounded boolean"), "jaccard-signatures")
+    signatures = stored(source.select("raw").mapInArrow(lean(_signatures(size, percent, shared, frequent)), "sig long, fp long, n int, room int, bounded boolean"), "jaccard-signatures")
     shared.destroy()
-    bounded = signatures.where("bounded").drop("bounded").repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only(percent), "sig long, fp long, n int, room int")
+    bounded = signatures.where("bounded").drop("bounded").repartition("sig").sortWithinPartitions("sig").mapInArrow(lean(_shared_only(percent)), "sig long, fp long, n int, room int")
     met = stored(bounded.unionByName(signatures.where("NOT bounded").drop("bounded")), "jaccard-met")
     rows = met.count()
     # The best-placed set of a signature has lost the least before it.
@@ -338,10 +338,10 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
         wanted = stored(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), f"{name}-wanted", rows=2 * n_pairs)
         # Up to a million ids (16 MB) go to the texts; beyond, both sides are shuffled.
         ids = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-        sets = stored(source.join(ids, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"), f"{name}-sets")
+        sets = stored(source.join(ids, "doc_id").mapInArrow(lean(_sets(size)), "doc_id long, shingles binary"), f"{name}-sets")
         x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-        true = near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long")
+        true = near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(lean(_verify(percent)), "u long, v long")
         # Verified where the shuffle left them, by bytes; only links are dealt again.
         return stored(true.repartition(-(-n_pairs // 200_000)), name)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.statistics import COUNTS, text_counts
 from millrace.llm.text import WordHashes, each, texts
-from millrace.llm.work import Scratch, stored
+from millrace.llm.work import Scratch, lean, stored
 
 #: The transformed statistics, each with the least deviation that it is given:
 #: most documents have none of some of these, so their covariance vanishes.
@@ -54,7 +54,7 @@ def document_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the counts of each whole text."""
     source = texts(docs, *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "raw")
-    return source.mapInArrow(_counts, ", ".join([kept, *(f"{c} long" for c in COUNTS)]))
+    return source.mapInArrow(lean(_counts), ", ".join([kept, *(f"{c} long" for c in COUNTS)]))
 
 
 def _features(counted: DataFrame) -> DataFrame:

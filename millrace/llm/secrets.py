@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.grammar import Automaton, symbols
 from millrace.llm.text import each
-from millrace.llm.work import discard, stored
+from millrace.llm.work import discard, lean, stored
 
 #: The base patterns, and the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -192,7 +192,7 @@ def train_secret_grammar(docs: DataFrame, sample_docs: int = 4000, each: int = 4
     parts = max(1, docs.count() // sample_docs)
     # One text once: copies would fill the sample.
     chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(parts)) == 0).distinct()
-    pairs = stored(chosen.mapInArrow(_examples, "kind string, value string").distinct(), "secret-examples", rows=40 * sample_docs)
+    pairs = stored(chosen.mapInArrow(lean(_examples), "kind string, value string").distinct(), "secret-examples", rows=40 * sample_docs)
     ranked = []
     for kind in (*KINDS[:3], "plain"):
         ranked += pairs.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(each if kind != "plain" else 5 * each).collect()
@@ -226,7 +226,7 @@ def scan_secrets(docs: DataFrame, grammar: SecretGrammar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*kept, "secret_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, fields + ", secret_spans array<struct<kind string, start long, end long, value long>>")
+    return docs.mapInArrow(lean(scan), fields + ", secret_spans array<struct<kind string, start long, end long, value long>>")
 
 
 def redact_secrets(docs: DataFrame, grammar: SecretGrammar, mask: str = "[SECRET]") -> DataFrame:
@@ -250,7 +250,7 @@ def redact_secrets(docs: DataFrame, grammar: SecretGrammar, mask: str = "[SECRET
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array(out, pa.string()))
 
-    return docs.mapInArrow(redact, docs.schema)
+    return docs.mapInArrow(lean(redact), docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
