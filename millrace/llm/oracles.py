@@ -64,5 +64,15 @@ s AS (SELECT DISTINCT doc_id, gram FROM g WHERE gram IS NOT NULL), z AS (SELECT
 e AS (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * k >= 90 * (zx.n + zy.n - k)), r AS (SELECT x, x AS root FROM (SELECT DISTINCT x FROM e) UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x WHERE r.root < e.y)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(root) FROM r WHERE r.x = d.doc_id), doc_id)) AS component_id FROM d LEFT JOIN z USING (doc_id)"""
 
+#: The whole result of operator 12, over the full grid of kept terms and groups.
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents), w AS (SELECT k, lang, source, unnest(ws) AS t FROM d),
+kept AS (SELECT lang, t FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1), c AS (SELECT lang, source, t, count(*) AS n FROM w SEMI JOIN kept USING (lang, t) GROUP BY 1, 2, 3), g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2), l AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY 1, 2), m AS (SELECT lang, sum(n) AS total FROM l GROUP BY 1),
+x AS (SELECT s.lang, s.source, kept.t, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (l.n + 2)) // (m.total + 2 * v.v)::HUGEINT AS q FROM s JOIN kept ON kept.lang = s.lang JOIN v ON v.lang = s.lang JOIN l ON l.lang = s.lang AND l.t = kept.t JOIN m ON m.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.t = kept.t),
+y AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+z AS (SELECT a.lang, a.source, b.source AS item, coalesce(y.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN y ON y.lang = a.lang AND y.source = a.source AND y.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM z UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // (p + q) AS value, row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // (p + q) DESC, t) AS rank FROM x WHERE n > 0 AND p > q) WHERE rank <= 10)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r"""
+
 QUERIES = {"url_rules": url_rules, "text_counts": text_counts, "mix_targets": mix_targets}
-ORACLE_SQL = {"url_rules": URL_RULES, "text_counts": TEXT_COUNTS, "mix_targets": MIX_TARGETS, "op5_ngram_jaccard": JACCARD}
+ORACLE_SQL = {"url_rules": URL_RULES, "text_counts": TEXT_COUNTS, "mix_targets": MIX_TARGETS, "op5_ngram_jaccard": JACCARD, "op12_source_divergence": DIVERGENCE}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import oracles
 from millrace.llm.chat_format import op8_chat_format
 from millrace.llm.decontaminate import op7_decontaminate
+from millrace.llm.divergence import op12_source_divergence
 from millrace.llm.html_extract import op3_html_extract
 from millrace.llm.jaccard_join import op5_ngram_jaccard
 from millrace.llm.katz import op9_katz_score
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_katz_score": op9_katz_score,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_source_divergence": op12_source_divergence,
     **oracles.QUERIES,
 }
 
