@@ -17,7 +17,9 @@ from millrace.llm.mixing import op6_mixing
 from millrace.llm.quality_classifier import op10_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op2_secret_scan
+from millrace.llm.token_alignment import op11_token_alignment
 from millrace.llm.url_filter import op1_url_filter
+from millrace.llm.window_packing import op13_ss_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_katz_score": op9_katz_score,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_token_alignment": op11_token_alignment,
     "op12_source_divergence": op12_source_divergence,
+    "op13_ss_packing": op13_ss_packing,
     **oracles.QUERIES,
 }
 
