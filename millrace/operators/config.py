@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import json
+from functools import reduce
 from io import StringIO
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,12 +118,17 @@ def questions(answers: DataFrame, bound: dict[str, str]) -> list[Question]:
     return out
 
 
+#: Words of four languages that tell a format.
+TIME_WORDS = ("day", "days", "hour", "hours", "min", "mins", "minute", "minutes", "second", "seconds", "duration", "turnaround", "uptime", "downtime", "idle", "ralenti", "dia", "dias", "hora", "horas", "minuto", "minutos", "segundo", "segundos", "duracion", "tiempo", "plazo", "espera", "jour", "jours", "heure", "heures", "duree", "temps", "delai", "tempo", "prazo", "ociosidade")
+MONEY_WORDS = ("revenue", "sales", "cost", "spend", "profit", "margin", "price", "budget", "cash", "gmv", "mrr", "ingreso", "ingresos", "ingresa", "ingresas", "venta", "ventas", "costo", "costos", "coste", "gasto", "precio", "presupuesto", "beneficio", "recette", "cout", "couts", "depense", "depenses", "prix", "receita", "venda", "vendas", "custo", "custos", "despesa", "despesas", "preco", "orcamento", "lucro")
+SHARE_WORDS = ("percent", "percentage", "rate", "share", "ratio", "conversion", "utilisation", "utilization", "variacion", "desviacion", "porcentaje", "tasa", "cuota", "pourcentage", "taux", "ecart", "percentual", "percentagem", "taxa", "variacao")
+MONEY_SIGNS = ("$", "€", "£", "¥")
+
+
 def suggest_format(name: Column, unit: Column) -> Column:
-    """percentage, time, currency or count, from a name and its unit."""
-    text = F.concat_ws(" ", coerce.without_accents(name), coerce.without_accents(unit))
-    has = lambda words: text.rlike(rf"\b({words.replace(' ', '|')})\b")
-    #: Words of four languages that tell a format.
-    time = "days? hours? mins? minutes? seconds? duration turnaround uptime downtime idle ralenti dias? horas? minutos? segundos? duracion tiempo plazo espera jours? heures? duree temps delai tempo prazo ociosidade"
-    money = "revenue sales cost spend profit margin price budget cash gmv mrr ingres[oa]s? ventas? costos? coste gasto precio presupuesto beneficio recette couts? depenses? prix receita vendas? custos? despesas? preco orcamento lucro"
-    share = "percent percentage rate share ratio conversion utilisation utilization variacion desviacion porcentaje tasa cuota pourcentage taux ecart percentual percentagem taxa variacao"
-    return F.when(F.contains(F.coalesce(unit, F.lit("")), F.lit("%")), "percentage").when(has(time), "time").when(has(money) | text.rlike("[$€£¥]"), "currency").when(has(share), "percentage").otherwise("count")
+    """percentage, time, currency or count, from a name and its unit: a per cent sign
+    first, then the first group of which either holds a word."""
+    text = F.concat_ws(" ", name, unit)
+    sign = reduce(or_, (F.contains(text, F.lit(x)) for x in MONEY_SIGNS))
+    has = lambda words: coerce.has_word(words, text)
+    return F.when(F.contains(F.coalesce(unit, F.lit("")), F.lit("%")), "percentage").when(has(TIME_WORDS), "time").when(has(MONEY_WORDS) | sign, "currency").when(has(SHARE_WORDS), "percentage").otherwise("count")

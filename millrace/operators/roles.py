@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce
 
 #: Words in a header that hint at who, or in which context.
-WHO_WORDS = "operator operador driver conductor employee empleado user usuario customer cliente agent agente truck camion unit unidad vehicle vehiculo asset equipo store tienda technician tecnico staff person persona crew id"
-CONTEXT_WORDS = "shift turno route ruta zone zona segment segmento region state estado status condition condicion category categoria type tipo channel canal location ubicacion position posicion site area grade class clase group grupo reason motivo causa weather clima"
-
-
-def _hints(words: str, name: Column) -> Column:
-    return coerce.without_accents(name).rlike(rf"\b({words.replace(' ', '|')})\b")
+WHO_WORDS = ("operator", "operador", "driver", "conductor", "employee", "empleado", "user", "usuario", "customer", "cliente", "agent", "agente", "truck", "camion", "unit", "unidad", "vehicle", "vehiculo", "asset", "equipo", "store", "tienda", "technician", "tecnico", "staff", "person", "persona", "crew", "id")
+CONTEXT_WORDS = ("shift", "turno", "route", "ruta", "zone", "zona", "segment", "segmento", "region", "state", "estado", "status", "condition", "condicion", "category", "categoria", "type", "tipo", "channel", "canal", "location", "ubicacion", "position", "posicion", "site", "area", "grade", "class", "clase", "group", "grupo", "reason", "motivo", "causa", "weather", "clima")
 
 
 def column_roles(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
@@ -29,7 +25,7 @@ def column_roles(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
     kind = coerce.cell_kind(F.col("cell"))
     counted = seen.withColumn("kind", kind).groupBy("sheet", "column", "name").agg(F.count_if(F.col("kind") != "blank").alias("live"), F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(F.col("kind") == "time").alias("times"), F.count_distinct(F.when(F.col("kind") != "blank", F.col("cell"))).alias("distinct_values"))
     of = F.when(F.col("live") == 0, "empty").when(F.col("times") > 0.8 * F.col("live"), "datetime").when(F.col("numbers") > 0.8 * F.col("live"), "number").otherwise("category")
-    inferred = F.when(F.col("type") == "datetime", "time").when(_hints(CONTEXT_WORDS, F.col("name")) & (F.col("type") == "category"), "ctx").when(_hints(WHO_WORDS, F.col("name")), "who").when(F.col("type") == "number", "val").otherwise("ctx")
+    inferred = F.when(F.col("type") == "datetime", "time").when(coerce.has_word(CONTEXT_WORDS, F.col("name")) & (F.col("type") == "category"), "ctx").when(coerce.has_word(WHO_WORDS, F.col("name")), "who").when(F.col("type") == "number", "val").otherwise("ctx")
     named = counted.withColumn("type", of).withColumn("role", F.coalesce(coerce.declared_role(F.col("name")), inferred))
     plain = F.regexp_replace("name", r"(?i)^\s*(time|who|ctx|val)\s*:\s*", "")
     unit = coerce.split_unit(plain)
