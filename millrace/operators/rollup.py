@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rounding import epoch_seconds, half_up
@@ -23,11 +23,35 @@ def effect_sizes(df: DataFrame, categories: list[str], measures: list[str], min_
     return usable.select("category", "measure", "n", "cells", half_up(F.col("between") / F.nullif(F.col("between") + F.col("within"), F.lit(0.0)), 6).alias("eta2"))
 
 
-def state_scores(effects: DataFrame, found_runs: DataFrame, category: str, long_run: float = 60.0) -> DataFrame:
-    """A category's greatest effect size, weakened if its runs are short."""
-    mean_run = found_runs.agg(F.avg("rows").alias("mean_run_rows"))
-    best = effects.where(F.col("category") == category).groupBy("category").agg(F.max("eta2").alias("eta2"))
-    return best.crossJoin(mean_run).select("category", "eta2", half_up("mean_run_rows").alias("mean_run_rows"), half_up(F.col("eta2") * F.least(F.lit(1.0), F.col("mean_run_rows") / long_run), 6).alias("score"))
+def mean_runs(df: DataFrame, unit: str, order: list[str], categories: list[str]) -> DataFrame:
+    """Rows (category, mean_run_rows): how long runs of one value are, over all units.
+
+    A unit is sorted once for all categories: a run begins where a value differs from
+    the last one that was there, and only the number of beginnings counts.
+    """
+    ordered = Window.partitionBy(unit).orderBy(*order)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    value = {c: F.when(F.col(f"`{c}`").cast("string") != "", F.col(f"`{c}`").cast("string")) for c in categories}
+    marked = df.select(*(v.alias(f"v{i}") for i, v in enumerate(value.values())), *((v.isNotNull() & ~v.eqNullSafe(F.last(v, ignorenulls=True).over(before))).alias(f"f{i}") for i, v in enumerate(value.values())))
+    counted = marked.agg(*(F.count(f"v{i}").alias(f"n{i}") for i in range(len(categories))), *(F.count_if(f"f{i}").alias(f"r{i}") for i in range(len(categories))))
+    pairs = F.array(*(F.struct(F.lit(c).alias("category"), (F.col(f"n{i}") / F.nullif(F.col(f"r{i}"), F.lit(0))).alias("mean_run_rows")) for i, c in enumerate(categories)))
+    return counted.select(F.inline(pairs)).where("mean_run_rows IS NOT NULL")
+
+
+def state_scores(effects: DataFrame, lengths: DataFrame, long_run: float = 60.0, keep: int | None = None) -> DataFrame:
+    """Each category's greatest effect size, weakened if its runs (mean_runs) are short;
+    the best `keep` of them, ties by name."""
+    best = effects.groupBy("category").agg(F.max("eta2").alias("eta2")).join(lengths, "category")
+    scored = best.select("category", "eta2", half_up("mean_run_rows").alias("mean_run_rows"), half_up(F.col("eta2") * F.least(F.lit(1.0), F.col("mean_run_rows") / long_run), 6).alias("score"))
+    return scored if keep is None else scored.orderBy(F.desc("score"), "category").limit(keep)
+
+
+def choose_state(df: DataFrame, unit: str, order: list[str], categories: list[str], measures: list[str], min_rows: int = 1) -> str | None:
+    """The category that acts most like a state: its values tell measures apart and last."""
+    if not categories or not measures:
+        return None
+    found = state_scores(effect_sizes(df, categories, measures, min_rows), mean_runs(df, unit, order, categories), keep=1).first()
+    return found["category"] if found else None
 
 
 def integrate_rate(df: DataFrame, unit: str, measure: str, grain_sec: float, unit_sec: float) -> DataFrame:

@@ -162,7 +162,7 @@ g AS (SELECT sum(n * m) / sum(n) AS grand FROM c), t AS (SELECT {r("sum(n * (m -
 SELECT 'event_type' AS category, eta2, {r("k")} AS mean_run_rows, {r("eta2 * least(1.0, k / 60.0)", 6)} AS score FROM t, a""")
 def state_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     effects = rollup.effect_sizes(table(spark, sf_dir, "events"), ["event_type"], ["value"], min_rows=1)
-    return rollup.state_scores(effects, _runs(spark, sf_dir), "event_type")
+    return rollup.state_scores(effects, rollup.mean_runs(table(spark, sf_dir, "events"), "user_id", ORDER, ["event_type"]))
 
 
 CYCLES = """o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS top FROM events),

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import zipfile
-from collections.abc import Iterator
-from datetime import datetime, timedelta
-from io import BytesIO
-from xml.etree import ElementTree
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources import workbook
+
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -50,116 +45,49 @@ def read_json_records(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     return names.unionByName(rows)
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of every sheet of the workbooks at `path` (workbook.py)."""
+    return workbook.read_sheets(spark, path).select("sheet", "_row", "cells")
 
 
-def serial_to_iso(v: float) -> str:
-    """A workbook's day number as text; numbers below 60 are a day late there."""
-    at = datetime(1899, 12, 30) + timedelta(milliseconds=int((v + (1 if v < 60 else 0)) * 86_400_000 + 0.5))
-    return at.strftime("%Y-%m-%d" if v == int(v) else "%Y-%m-%dT%H:%M:%S")
+def kind_of_file(path: str) -> str:
+    """csv, json or xlsx, by the name's ending; anything else is read as csv."""
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    return ending if ending in ("json", "xlsx") else "csv"
 
 
-def column_index(reference: str) -> int:
-    index = 0
-    for c in reference:
-        if not c.isalpha():
-            break
-        index = index * 26 + ord(c.upper()) - 64
-    return index - 1
-
-
-def _is_date(code: str) -> bool:
-    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower())))
-
-
-def _shared(book: zipfile.ZipFile) -> tuple[list[str], list[bool]]:
-    strings, dates = [], []
-    if "xl/sharedStrings.xml" in book.namelist():
-        strings = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot()]
-    if "xl/styles.xml" in book.namelist():
-        root = ElementTree.parse(book.open("xl/styles.xml")).getroot()
-        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
-        formats = root.find(f"{_MAIN}cellXfs")
-        for xf in formats if formats is not None else ():
-            i = int(xf.get("numFmtId", "0"))
-            dates.append(14 <= i <= 22 or 45 <= i <= 47 or i in own and _is_date(own[i]))
-    return strings, dates
-
-
-def _sheet_paths(book: zipfile.ZipFile) -> list[tuple[str, str]]:
-    targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
-    sheets = ElementTree.parse(book.open("xl/workbook.xml")).getroot().iter(f"{_MAIN}sheet")
-    return [(s.get("name"), "xl/" + targets[s.get(f"{_REL}id")].removeprefix("/xl/")) for s in sheets]
-
-
-def _sheet_rows(book: zipfile.ZipFile, path: str, strings: list[str], dates: list[bool]) -> Iterator[list[str | None]]:
-    for _, row in ElementTree.iterparse(book.open(path)):
-        if row.tag != f"{_MAIN}row":
-            continue
-        cells: list[str | None] = []
-        for c in row.iter(f"{_MAIN}c"):
-            at = column_index(c.get("r", "")) if c.get("r") else len(cells)
-            cells += [None] * (at + 1 - len(cells))
-            kind, v = c.get("t", "n"), c.findtext(f"{_MAIN}v")
-            if kind == "s" and v is not None:
-                cells[at] = strings[int(v)]
-            elif kind == "inlineStr":
-                cells[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-            elif kind == "b":
-                cells[at] = "TRUE" if v == "1" else "FALSE"
-            elif kind != "e" and v:
-                style = int(c.get("s", "0"))
-                cells[at] = serial_to_iso(float(v)) if kind == "n" and style < len(dates) and dates[style] else v
-        row.clear()
-        yield [c or None for c in cells]
+def read_rows(spark: SparkSession, path: str, sheets: str | None = None, kind: str | None = None) -> DataFrame:
+    """Rows (sheet, _row, cells) of a file of any known kind, or a folder of workbooks
+    (`kind` is then xlsx); the one sheet of a csv, tsv or json file is named like the file.
+    `sheets`: only those whose names match."""
+    kind, stem = kind or kind_of_file(path), path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    if kind == "xlsx":
+        return workbook.read_sheets(spark, path, sheets).select("sheet", "_row", "cells")
+    if kind == "json":
+        return read_json_records(spark, path, stem)
+    return read_delimited(spark, path, stem, "\t" if path.lower().endswith(".tsv") else None)
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every sheet of the workbooks at `path`.
+def headers(rows: DataFrame, look: int = 12) -> DataFrame:
+    """Rows (sheet, at, names): the header of each sheet.
 
-    Workbooks are read through Spark's file reader, so `path` may be in any store;
-    each sheet is then a task of its own.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def names(batches):
-        for pdf in batches:
-            rows = [(p, n, s) for p, content in zip(pdf["path"], pdf["content"], strict=True) for n, s in _sheet_paths(zipfile.ZipFile(BytesIO(content)))]
-            yield type(pdf)(rows, columns=["path", "sheet", "part"])
-
-    def cells(batches):
-        for pdf in batches:
-            for name, part, content in zip(pdf["sheet"], pdf["part"], pdf["content"], strict=True):
-                book = zipfile.ZipFile(BytesIO(content))
-                held = []
-                for i, row in enumerate(_sheet_rows(book, part, *_shared(book))):
-                    if any(c is not None for c in row):
-                        held.append((name, i, row))
-                    if len(held) >= 10_000:
-                        yield type(pdf)(held, columns=["sheet", "_row", "cells"])
-                        held = []
-                yield type(pdf)(held, columns=["sheet", "_row", "cells"])
-
-    listed = files.mapInPandas(names, "path string, sheet string, part string")
-    each = listed.repartition("path", "sheet").join(files, "path")
-    return each.select("sheet", "part", "content").mapInPandas(cells, "sheet string, _row long, cells array<string>")
-
-
-def with_header(rows: DataFrame, look: int = 12) -> DataFrame:
-    """Rows (sheet, _row, column, name, cell): cells under the header found.
-
-    The header is the row among the first `look` with the best score: two live
-    cells or more, none numeric, and as many live cells below. Cells beyond it get
-    names of their own.
+    It is the row among the first `look` with the best score: two live cells or more,
+    none numeric, and as many live cells below. Only the first rows of a sheet leave
+    the tasks that read it.
     """
     order = Window.partitionBy("sheet").orderBy("_row")
     head = rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= look + 1)
     live = F.size(F.filter("cells", lambda c: c.isNotNull()))
     scored = head.withColumn("live", live).withColumn("below", F.coalesce(F.lead("live").over(order), F.lit(0)))
     numeric = F.exists("cells", lambda c: c.rlike(r"^\s*-?[0-9][0-9.,]*\s*$"))
-    chosen = scored.where((F.col("_i") <= look) & (F.col("live") >= 2) & ~F.coalesce(numeric, F.lit(False))).groupBy("sheet").agg(F.max_by(F.struct(F.col("_row").alias("at"), F.col("cells").alias("names")), F.struct(F.least("live", "below"), -F.col("_row"))).alias("h"))
-    body = rows.join(chosen, "sheet").where(F.col("_row") > F.col("h.at"))
-    cell = body.select("sheet", "_row", F.posexplode("cells").alias("column", "cell"), "h")
-    name = F.coalesce(F.get("h.names", F.col("column")), F.concat(F.lit("col"), F.col("column") + 1))
+    found = scored.where((F.col("_i") <= look) & (F.col("live") >= 2) & ~F.coalesce(numeric, F.lit(False)))
+    return found.groupBy("sheet").agg(F.max_by(F.struct(F.col("_row").alias("at"), F.col("cells").alias("names")), F.struct(F.least("live", "below"), -F.col("_row"))).alias("h")).select("sheet", "h.at", "h.names")
+
+
+def with_header(rows: DataFrame, look: int = 12) -> DataFrame:
+    """Rows (sheet, _row, column, name, cell): cells under the header found. Cells beyond
+    it get names of their own."""
+    body = rows.join(headers(rows, look), "sheet").where(F.col("_row") > F.col("at"))
+    cell = body.select("sheet", "_row", F.posexplode("cells").alias("column", "cell"), "names")
+    name = F.coalesce(F.get("names", F.col("column")), F.concat(F.lit("col"), F.col("column") + 1))
     return cell.select("sheet", "_row", "column", name.alias("name"), "cell")
