@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rounding import half_up
+from millrace.operators.quantiles import medians
 from millrace.operators.stats import unpivot_measures
 
 
@@ -66,8 +67,9 @@ def joint(df: DataFrame, first: str, second: str, measures: list[str], quarantin
 
 def median_of_unit_means(df: DataFrame, unit: str, category: str, measure: str) -> DataFrame:
     """For each value: how many units have it, and the median of their means."""
-    means = df.groupBy(unit, category).agg(F.avg(measure).alias("m"))
-    return means.groupBy(F.col(category).alias("value")).agg(F.count("*").alias("units"), half_up(F.median("m")).alias("median_of_unit_means"))
+    means = df.where(F.col(category).isNotNull()).groupBy(unit, F.col(category).alias("value")).agg(F.avg(measure).alias("v"))
+    units = means.groupBy("value").agg(F.count("*").alias("units"))
+    return units.join(medians(means, ["value"]), "value").select("value", "units", half_up("median").alias("median_of_unit_means"))
 
 
 def mix_standardised(df: DataFrame, level: str, levels: tuple[str, str], state: str, measure: str) -> DataFrame:

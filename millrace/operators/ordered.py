@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,48 +34,6 @@ def transitions(found: DataFrame, unit: str) -> DataFrame:
     return pairs.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
-def label_cycles(df: DataFrame, unit: str, measure: str, order: list[str], arm: float = 0.05, zero: float = 0.02) -> DataFrame:
-    """Adds cycle, completes and cycle_peak to every row of `df`.
-
-    A cycle is armed once its peak reaches `arm` of the greatest value so far, and
-    completes at the first row at or below `zero` of its peak; the next cycle opens
-    on that row. Where a cycle ends depends on its own peak, which no window frame
-    expresses, so each unit's sorted rows stream through a small state: memory does
-    not grow with the unit.
-    """
-    names = df.columns
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, top, peak, armed, cycle, opened = object(), 0.0, 0.0, False, 0, False
-        for pdf in batches:
-            labels, completes, peaks = [], [], []
-            for u, v in zip(pdf[unit], pdf[measure], strict=True):
-                if u != current:
-                    current, top, peak, armed, cycle, opened = u, float("-inf"), 0.0, False, 0, False
-                if v is None or v != v:
-                    labels.append(cycle)
-                    completes.append(False)
-                    peaks.append(peak)
-                    continue
-                top = max(top, v)
-                done = False
-                if not opened:
-                    peak, armed, opened = v, False, True
-                else:
-                    peak = max(peak, v)
-                    armed = armed or peak > 0 and peak >= top * arm
-                    done = armed and v <= peak * zero
-                labels.append(cycle)
-                completes.append(done)
-                peaks.append(peak)
-                if done:
-                    cycle, peak, armed = cycle + 1, v, False
-            yield pdf.assign(cycle=labels, completes=completes, cycle_peak=peaks)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(unit).sortWithinPartitions(unit, *order).select(*names).mapInPandas(step, fields + ", cycle long, completes boolean, cycle_peak double")
-
-
 def cycle_shape(df: DataFrame, unit: str, measure: str, order: list[str]) -> DataFrame:
     """Shares of rows near zero and near the greatest value so far."""
     upto = Window.partitionBy(unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rounding import epoch_seconds, half_up
+from millrace.operators.quantiles import medians
 from millrace.operators.stats import unpivot_measures
 
 
@@ -70,7 +71,8 @@ def measure_catalogue(df: DataFrame, unit: str, measures: list[str]) -> DataFram
     """Each measure over all units, with the median and spread of units' means."""
     per = unpivot_measures(df, measures, [unit]).groupBy("measure", unit).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     mean = F.col("s") / F.col("n")
-    return per.groupBy("measure").agg(F.sum("n").alias("n"), F.count("*").alias("units"), half_up(F.sum("s")).alias("sum"), half_up(F.sum("s") / F.sum("n")).alias("mean"), half_up(F.min("lo")).alias("lo"), half_up(F.max("hi")).alias("hi"), half_up(F.median(mean)).alias("median_of_unit_means"), half_up(F.stddev_samp(mean)).alias("sd_of_unit_means"))
+    whole = per.groupBy("measure").agg(F.sum("n").alias("n"), F.count("*").alias("units"), half_up(F.sum("s")).alias("sum"), half_up(F.sum("s") / F.sum("n")).alias("mean"), half_up(F.min("lo")).alias("lo"), half_up(F.max("hi")).alias("hi"), half_up(F.stddev_samp(mean)).alias("sd_of_unit_means"))
+    return whole.join(medians(per.select("measure", mean.alias("v")), ["measure"]), "measure").withColumn("median_of_unit_means", half_up("median")).drop("median")
 
 
 #: What a touchpoint's status adds to risk, and how weights count.
@@ -109,9 +111,10 @@ def cycle_model(cycles: DataFrame, unit: str) -> DataFrame:
 def shift_medians(df: DataFrame, shift: str, member: str, measure: str) -> DataFrame:
     """Each shift's median over its members' means, and how far above the lowest."""
     means = df.groupBy(shift, member).agg(F.avg(measure).alias("m"))
-    medians = means.groupBy(shift).agg(F.count("*").alias("members"), F.median("m").alias("med"), F.min("m").alias("lo"), F.max("m").alias("hi"))
-    lowest = medians.agg(F.min("med").alias("lowest"))
-    return medians.crossJoin(F.broadcast(lowest)).select(shift, "members", half_up("med").alias("median"), half_up("lo").alias("lo"), half_up("hi").alias("hi"), half_up((F.col("med") - F.col("lowest")) / F.nullif(F.col("lowest"), F.lit(0.0)), 6).alias("above_lowest"))
+    spread = means.groupBy(shift).agg(F.count("*").alias("members"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    middle = spread.join(medians(means.select(shift, F.col("m").alias("v")), [shift]).withColumnRenamed("median", "med"), shift)
+    lowest = middle.agg(F.min("med").alias("lowest"))
+    return middle.crossJoin(F.broadcast(lowest)).select(shift, "members", half_up("med").alias("median"), half_up("lo").alias("lo"), half_up("hi").alias("hi"), half_up((F.col("med") - F.col("lowest")) / F.nullif(F.col("lowest"), F.lit(0.0)), 6).alias("above_lowest"))
 
 
 def coverage(df: DataFrame, unit: str, ts: str) -> DataFrame:

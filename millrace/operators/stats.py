@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from math import isnan
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.coerce import cell_kind
 from millrace.functions.rounding import epoch_seconds, half_up
+from millrace.operators.quantiles import quantiles
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -20,13 +23,18 @@ def unpivot_measures(df: DataFrame, measures: list[str], keep: list[str] = []) -
 def numeric_summary(df: DataFrame, measures: list[str], exact: bool = True) -> DataFrame:
     """One row a measure: count, sum, mean, sample deviation, range, quantiles, cv.
 
-    One aggregation gives all of it. Exact quantiles are interpolated and keep a
-    count of each distinct value of a measure in one task; for measures of very
-    many distinct values, `exact=False` keeps a sketch of bounded size instead.
+    Exact quantiles are interpolated and found in a few passes of fixed memory
+    (quantiles.py); `exact=False` takes them from a sketch, in the one pass that gives
+    all the rest.
     """
-    at = F.array(*map(F.lit, QUANTILES.values()))
-    quantiles = F.percentile("v", at) if exact else F.percentile_approx("v", at, 10_000)
-    summed = unpivot_measures(df, measures).groupBy("measure").agg(F.count("*").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), quantiles.alias("q"))
+    long = unpivot_measures(df, measures)
+    at = list(QUANTILES.values())
+    sketch = [] if exact else [F.percentile_approx("v", F.array(*map(F.lit, at)), 10_000).alias("q")]
+    summed = long.groupBy("measure").agg(F.count("*").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), *sketch)
+    if exact:  # A row a measure: what the first pass found also begins the search.
+        rows = summed.collect()
+        sizes = None if any(isnan(r["hi"]) for r in rows) else [(r["measure"], r["n"], r["lo"], r["hi"]) for r in rows]
+        summed = df.sparkSession.createDataFrame(rows, summed.schema).coalesce(1).join(F.broadcast(quantiles(long, ["measure"], at, sizes=sizes)), "measure", "left")
     cv = F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean"))
     return summed.select("measure", "n", *(half_up(c).alias(c) for c in ("sum", "mean", "sd", "lo", "hi")), *(half_up(F.col("q")[i]).alias(p) for i, p in enumerate(QUANTILES)), half_up(cv).alias("cv"))
 

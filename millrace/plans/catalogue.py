@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import coerce
 from millrace.functions.rounding import epoch_seconds, half_up
+from millrace.operators import cycles as fill_cycles
 from millrace.operators import answer, board, crosstab, generator, ordered, rhythm, risk, rollup, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +174,7 @@ SELECT o.user_id, o.event_id, o.k, o.value, c.cycle + CASE WHEN c.completes THEN
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.label_cycles(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "value", ORDER)
+    return fill_cycles.label_cycles(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "value", ORDER)
 
 
 @query(f"""WITH RECURSIVE {CYCLES} SELECT user_id, count(*) AS cycles, {r("sum(label_peak)")} AS peak_sum, {r("sum(value)")} AS discharge_sum FROM c WHERE completes GROUP BY 1""")

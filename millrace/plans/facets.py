@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.rounding import half_up
-from millrace.operators import rollup
+from millrace.operators import cycles, rollup
 from millrace.plans import catalogue as c
 from millrace.plans import intake, queries
 from millrace.plans.catalogue import CELL, EPOCH, ORDER, query, r, table
@@ -86,3 +86,35 @@ def state_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumns({"half": _dayparts(), "level": F.when(F.col("value") > 50, "high").when(F.col("value") > 10, "low")})
     columns = ["event_type", "half", "level"]
     return rollup.state_scores(rollup.effect_sizes(events, columns, ["value"], min_rows=1), rollup.mean_runs(events, "user_id", ORDER, columns), keep=2)
+
+
+# Cycles
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return cycles.label_cycles(events, "user_id", "value", ORDER)
+
+
+_EPOCH_E = EPOCH.replace("ts", "e.ts")
+CYCLE_TABLE = f"""{c.CYCLES}, t AS (SELECT c.user_id, c.cycle, count(*) AS "rows", min({_EPOCH_E}) AS first_sec, max({_EPOCH_E}) AS end_sec, bool_or(completes) AS complete, max(label_peak) AS peak, max(CASE WHEN completes THEN c.value END) AS discharge, sum(c.value) AS sv, sum(CAST(json_extract_string(e.props, '$.k') AS DOUBLE)) AS sk FROM c JOIN events e USING (event_id) GROUP BY 1, 2),
+u AS (SELECT *, coalesce(lag(end_sec) OVER (PARTITION BY user_id ORDER BY cycle), first_sec) AS begin_sec FROM t)"""
+
+
+def _mean(x: str) -> str:
+    return f"{r(f'sum({x}) FILTER (complete)')} / count(*) FILTER (complete)"
+
+
+@query(f"""WITH RECURSIVE {CYCLE_TABLE}, d AS (SELECT *, (end_sec - begin_sec)::DOUBLE AS sec FROM u) SELECT user_id, count(*) FILTER (complete) AS cycles, {r(_mean('"rows"'))} AS rows_per_cycle, {r("sum(peak) FILTER (complete)")} AS quantity, {r(_mean('peak'))} AS peak_mean, {r("coalesce(stddev_samp(peak) FILTER (complete), 0)")} AS peak_sd,
+{r(_mean('sec'))} AS mean_sec, {r("coalesce(stddev_samp(sec) FILTER (complete), 0)")} AS sd_sec, {r(_mean('discharge'))} AS discharge_mean, {r(_mean('discharge') + ' / nullif(' + _mean('peak') + ', 0)')} AS discharge_ratio, count(*) FILTER (NOT complete) AS unfinished,
+{r("sum(sv) FILTER (complete)")} AS value_sum, {r(_mean('sv'))} AS value_mean, {r("coalesce(stddev_samp(sv) FILTER (complete), 0)")} AS value_sd, {r("sum(sk) FILTER (complete)")} AS k_sum, {r(_mean('sk'))} AS k_mean, {r("coalesce(stddev_samp(sk) FILTER (complete), 0)")} AS k_sd FROM d GROUP BY 1 HAVING count(*) FILTER (complete) > 0""")
+def cycle_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two measures over the cycles of one of them."""
+    found = cycles.cycle_table(_labelled(spark, sf_dir), "user_id", "ts", ["value", "k"], ORDER)
+    return cycles.cycle_statistics(found, "user_id", ["value", "k"])
+
+
+@query(f"""WITH RECURSIVE {c.CYCLES}, d AS (SELECT c.user_id, e.event_type, CASE WHEN hour(e.ts) < 12 THEN 'day' ELSE 'night' END AS half FROM c JOIN events e USING (event_id) WHERE completes), a AS (SELECT user_id, count(*) AS total FROM d GROUP BY 1),
+l AS (SELECT user_id, 'event_type' AS "column", event_type AS "value" FROM d UNION ALL SELECT user_id, 'half', half FROM d), n AS (SELECT user_id, "column", "value", count(*) AS n FROM l GROUP BY 1, 2, 3) SELECT user_id, "column", "value", n, {r("n::DOUBLE / total")} AS share FROM n JOIN a USING (user_id) WHERE n::DOUBLE / total >= 0.5""")
+def cycle_terminals_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where at least half of a user's cycles complete."""
+    return cycles.cycle_terminals(_labelled(spark, sf_dir).withColumn("half", _dayparts()), "user_id", ["event_type", "half"])

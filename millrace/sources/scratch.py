@@ -18,6 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as computed now, partition by partition, kept in the shared folder; Spark
+    deletes it when nothing refers to it any more, if its cleaner is told to."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as written; `discard` deletes it."""
     spark = df.sparkSession

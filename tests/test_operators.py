@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from millrace.operators import crosstab, generator, ordered, risk, rollup
+from millrace.operators import crosstab, cycles, generator, ordered, risk, rollup
 from millrace.sources import readers
 from millrace.streaming.eventlog import edge_stream
 
@@ -11,7 +11,7 @@ from millrace.streaming.eventlog import edge_stream
 def test_cycles_by_hand(spark):
     values = [0.0, 5.0, 10.0, 0.1, 0.0, 8.0, 0.0, 3.0]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "u string, i long, v double")
-    got = ordered.label_cycles(df, "u", "v", ["i"]).orderBy("i").collect()
+    got = cycles.label_cycles(df, "u", "v", ["i"]).orderBy("i").collect()
     assert [r["completes"] for r in got] == [False, False, False, True, False, False, True, False]
     assert [r["cycle"] for r in got] == [0, 0, 0, 0, 1, 1, 1, 2]
     assert [r["cycle_peak"] for r in got if r["completes"]] == [10.0, 8.0]
