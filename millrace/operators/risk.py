@@ -26,20 +26,22 @@ def fires(op: Column | str, value: Column, threshold: Column) -> Column:
     return F.when(op == "gt", value > threshold).when(op == "gte", value >= threshold).when(op == "lte", value <= threshold).otherwise(value < threshold)
 
 
-def edge_events(ticks: DataFrame, key: list[str], at: str, order: list[str], fired: str = "fires", cooldown: int = 0) -> DataFrame:
-    """Events where a condition starts or stops to fire: breach and recovered.
+def edge_events(ticks: DataFrame, key: list[str], at: str, order: list[str], fired: str = "fires", cooldown: int = 0, enabled: str | None = None) -> DataFrame:
+    """Events where a condition starts or stops to fire: breach, recovered and silenced.
 
-    `at` is in milliseconds. A tick on which the condition is not armed (null)
-    keeps the state. `held_ms` is how long a recovered breach lasted; a breach
-    within `cooldown` of the one before is marked suppressed, and still listed.
+    `at` is in milliseconds. A tick on which the condition is not armed (null) keeps the
+    state; one on which it is not `enabled` silences it if it fires. `held_ms` is how long
+    a breach lasted that is over; a breach within `cooldown` of the one before is marked
+    suppressed, and still listed.
     """
     ordered = Window.partitionBy(*key).orderBy(*order)
-    armed = ticks.where(F.col(fired).isNotNull())
-    before = F.coalesce(F.lag(fired).over(ordered), F.lit(False))
-    edges = armed.withColumn("_before", before).where(F.col(fired) != F.col("_before"))
-    kind = F.when(F.col(fired), "breach").otherwise("recovered")
+    on = F.lit(True) if enabled is None else F.coalesce(F.col(enabled), F.lit(False))
+    armed = ticks.withColumn("_on", on).withColumn("_fires", F.when(F.col("_on"), F.col(fired)).otherwise(False)).where("_fires IS NOT NULL")
+    before = F.coalesce(F.lag("_fires").over(ordered), F.lit(False))
+    edges = armed.withColumn("_before", before).where("_fires <> _before")
+    kind = F.when(F.col("_fires"), "breach").when(F.col("_on"), "recovered").otherwise("silenced")
     named = edges.select(*key, *[c for c in order if c not in key and c != at], at, kind.alias("kind"))
-    held = F.when(F.col("kind") == "recovered", F.col(at) - F.lag(at).over(ordered))
+    held = F.when(F.col("kind") != "breach", F.col(at) - F.lag(at).over(ordered))
     events = named.withColumn("held_ms", held)
     last = F.lag(at).over(Window.partitionBy(*key, "kind").orderBy(*order))
     return events.withColumn("suppressed", (F.col("kind") == "breach") & F.coalesce(F.col(at) - last < cooldown, F.lit(False)))

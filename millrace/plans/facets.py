@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.rounding import half_up
-from millrace.operators import cycles, rollup
+from millrace.functions.rounding import epoch_seconds, half_up
+from millrace.operators import cycles, risk, rollup
 from millrace.plans import catalogue as c
 from millrace.plans import intake, queries
 from millrace.plans.catalogue import CELL, EPOCH, ORDER, query, r, table
 from millrace.sources import workbook
 from millrace.sources.export import export_workbooks
 from millrace.sources.scratch import shared_folder
+from millrace.streaming import eventlog
 
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL
 
@@ -118,3 +119,31 @@ l AS (SELECT user_id, 'event_type' AS "column", event_type AS "value" FROM d UNI
 def cycle_terminals_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where at least half of a user's cycles complete."""
     return cycles.cycle_terminals(_labelled(spark, sf_dir).withColumn("half", _dayparts()), "user_id", ["event_type", "half"])
+
+
+# The event log, at once and as a stream
+
+_MUTED = f"""m AS (SELECT user_id, event_id, {EPOCH} * 1000 AS "at", event_type <> 'signup' AS enabled, CASE WHEN event_type <> 'error' THEN value > 60.0 END AS fires FROM events),
+a AS (SELECT *, enabled AND fires AS f FROM (SELECT *, CASE WHEN enabled THEN fires ELSE false END AS g FROM m) WHERE g IS NOT NULL), b AS (SELECT *, coalesce(lag(f) OVER (PARTITION BY user_id ORDER BY "at", event_id), false) AS before FROM a),
+e AS (SELECT user_id, event_id, "at", CASE WHEN f THEN 'breach' WHEN enabled THEN 'recovered' ELSE 'silenced' END AS kind FROM b WHERE f <> before), h AS (SELECT *, CASE WHEN kind <> 'breach' THEN "at" - lag("at") OVER (PARTITION BY user_id ORDER BY "at", event_id) END AS held_ms FROM e)
+SELECT user_id, event_id, "at", kind, held_ms, kind = 'breach' AND coalesce("at" - lag("at") OVER (PARTITION BY user_id, kind ORDER BY "at", event_id) < 43200000, false) AS suppressed FROM h"""
+
+
+def _muted(events: DataFrame) -> DataFrame:
+    """Ticks of one condition a user, value > 60; errors are not armed, signups switch it off."""
+    fires = F.when(F.col("event_type") != "error", F.col("value") > 60.0)
+    return events.select("user_id", "event_id", (epoch_seconds("ts") * 1000).alias("at"), fires.alias("fires"), (F.col("event_type") != "signup").alias("enabled"))
+
+
+@query("WITH " + _MUTED)
+def silenced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.edge_events(_muted(table(spark, sf_dir, "events")), ["user_id"], "at", ["at", "event_id"], cooldown=43_200_000, enabled="enabled")
+
+
+@query("WITH " + _MUTED)
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events from a stream of the table, with state by user."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ticks = _muted(source).select(F.col("user_id").cast("string").alias("key"), "at", F.col("event_id").alias("seq"), "fires", "enabled")
+    found = eventlog.replay(eventlog.edge_stream(ticks, cooldown=43_200_000), shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("seq").alias("event_id"), "at", "kind", "held_ms", "suppressed")
