@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce
@@ -352,34 +352,40 @@ def composite_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), worst["pct"].alias("pct"), worst["driver"].alias("driver"))
 
 
-NUMBERS = ["1,234", "1.234", "1.234.567", "1,5", "1.234,5", "1e5", "NaN", "+5", "", "12", "-7.25", "abc", " 42 "]
-BANDS = ["4-12", ">12-18", ">18", "<3 o >15", "3-4.9 o 12.1-15", "Good / Fair", "45"]
-UNITS = ["Fuel Rate (gal/h)", "Speed [mph]", "Plain", "Payload ▲ (ton)", "(only)"]
+def by_turn(key: str, values: list) -> Column:
+    """A value by what is left of `key` when divided by how many there are."""
+    return F.element_at(F.array(*values), (F.col(key) % len(values) + 1).cast("int"))
 
 
-def _literal(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in texts], "raw string")
+#: Three digits of a part's key, to write numbers in groups.
+_X = "lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0')"
 
 
-def _values_sql(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, (bool, int)) else "'" + v + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, row)) + ')' for row in rows)}) t({names})"
-
-
-@query(_values_sql(list(zip(NUMBERS, [1234.0, 1.234, 1234567.0, 1.5, 1234.5, None, None, None, None, 12.0, -7.25, None, 42.0], strict=True)), "raw, number"))
+@query(f"""SELECT p_partkey, CAST(CASE p_partkey % 8 WHEN 0 THEN p_size || {_X} WHEN 1 THEN p_size || '.' || {_X} WHEN 2 THEN p_size || {_X} || {_X} WHEN 3 THEN p_size || '.5' WHEN 4 THEN p_size || {_X} || '.5' WHEN 5 THEN '-' || p_size || '.25' WHEN 6 THEN CAST(p_size AS VARCHAR) END AS DOUBLE) AS number FROM part""")
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, NUMBERS).select("raw", coerce.parse_number(F.col("raw")).alias("number"))
+    """Sizes and keys of parts, written with points and commas of either use; every eighth
+    is no number."""
+    size, x = F.col("p_size").cast("string"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    raw = by_turn("p_partkey", [F.concat(size, F.lit(","), x), F.concat(size, F.lit("."), x), F.concat(size, F.lit("."), x, F.lit("."), x), F.concat(size, F.lit(",5")), F.concat(size, F.lit("."), x, F.lit(",5")), F.concat(F.lit("-"), size, F.lit(".25")), F.concat(F.lit(" "), size, F.lit(" ")), F.concat(size, F.lit("e5"))])
+    return table(spark, sf_dir, "part").select("p_partkey", coerce.parse_number(raw).alias("number"))
 
 
-@query(_values_sql([("4-12", 4.0, 12.0, False, False, 1, 0), (">12-18", 12.0, 18.0, True, False, 1, 0), (">18", 18.0, None, True, False, 1, 0), ("<3 o >15", None, 3.0, False, True, 2, 0), ("3-4.9 o 12.1-15", 3.0, 4.9, False, False, 2, 0), ("Good / Fair", None, None, None, None, 0, 2), ("45", 45.0, 45.0, False, False, 1, 0)], "raw, lo, hi, ex_lo, ex_hi, n_ranges, n_labels"))
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size::DOUBLE AS n, (p_size + p_partkey % 7)::DOUBLE AS m FROM part) SELECT p_partkey, CASE WHEN k IN (0, 1, 2, 5) THEN n END AS lo, CASE k WHEN 0 THEN m WHEN 1 THEN m WHEN 3 THEN n WHEN 5 THEN n END AS hi,
+CASE WHEN k < 4 OR k = 5 THEN k IN (1, 2) END AS ex_lo, CASE WHEN k < 4 OR k = 5 THEN k = 3 END AS ex_hi, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_ranges, CASE WHEN k = 4 THEN 2 ELSE 0 END AS n_labels FROM p""")
 def parse_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _literal(spark, BANDS).withColumn("b", coerce.parse_bands(F.col("raw"))).withColumn("first", F.get("b.ranges", F.lit(0)))
-    return found.select("raw", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), F.col("first.exLo").alias("ex_lo"), F.col("first.exHi").alias("ex_hi"), F.size("b.ranges").alias("n_ranges"), F.size("b.labels").alias("n_labels"))
+    """Sizes of parts as ends of bands."""
+    n, m = F.col("p_size").cast("string"), (F.col("p_size") + F.col("p_partkey") % 7).cast("string")
+    raw = by_turn("p_partkey", [F.concat(n, F.lit("-"), m), F.concat(F.lit(">"), n, F.lit("-"), m), F.concat(F.lit(">"), n), F.concat(F.lit("<"), n, F.lit(" o >"), m), F.lit("Good / Fair"), n])
+    found = table(spark, sf_dir, "part").withColumn("b", coerce.parse_bands(raw)).withColumn("first", F.get("b.ranges", F.lit(0)))
+    return found.select("p_partkey", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), F.col("first.exLo").alias("ex_lo"), F.col("first.exHi").alias("ex_hi"), F.size("b.ranges").alias("n_ranges"), F.size("b.labels").alias("n_labels"))
 
 
-@query(_values_sql([("Fuel Rate (gal/h)", "Fuel Rate", "gal/h"), ("Speed [mph]", "Speed", "mph"), ("Plain", "Plain", None), ("Payload ▲ (ton)", "Payload", "ton"), ("(only)", "(only)", None)], "raw, label, unit"))
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '(' || p_size || ')' ELSE p_type END AS label, CASE p_partkey % 5 WHEN 0 THEN 'gal/h' WHEN 1 THEN 'm' || p_size WHEN 3 THEN 'ton' END AS unit FROM part""")
 def split_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, UNITS).withColumn("u", coerce.split_unit(F.col("raw"))).select("raw", "u.label", "u.unit")
+    """Types of parts with a unit behind them, in either kind of brackets."""
+    name = F.col("p_type")
+    raw = by_turn("p_partkey", [F.concat(name, F.lit(" (gal/h)")), F.concat(name, F.lit(" [m"), "p_size", F.lit("]")), name, F.concat(name, F.lit(" ▲ (ton)")), F.concat(F.lit("("), "p_size", F.lit(")"))])
+    return table(spark, sf_dir, "part").withColumn("u", coerce.split_unit(raw)).select("p_partkey", "u.label", "u.unit")
 
 
 FIRST, LAST, STEP, SEED = 1_704_067_200, 1_704_153_600, 600, "profile-1"

@@ -5,14 +5,14 @@ QUERIES and ORACLE_SQL hold everything, those of catalogue.py too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce
 from millrace.functions.rounding import epoch_seconds, half_up
 from millrace.operators import answer, config, crosstab, generator, ordered, references, rhythm, risk, rollup, series, stats, surface
 from millrace.plans import catalogue as c
-from millrace.plans.catalogue import CYCLES, EPOCH, FIRST, FLEET, LAST, ORACLE_SQL, ORDER, QUARANTINED, QUERIES, RUNS, SALES, SEED, STEP, TICKS, WINDOWS, _uniform_sql, _values_sql, query, r, table
+from millrace.plans.catalogue import CYCLES, EPOCH, FIRST, FLEET, LAST, ORACLE_SQL, ORDER, QUARANTINED, QUERIES, RUNS, SALES, SEED, STEP, TICKS, WINDOWS, _uniform_sql, by_turn, query, r, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -67,30 +67,41 @@ def preamble_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.get("f", F.lit(0))["n"].alias("n"), F.get("f", F.lit(0))["label"].alias("label"), F.size("f").cast("long").alias("facts"))
 
 
-DURATIONS = [(">120 s", 120, ">120 s"), ("45", 45, None), ("Por ciclo", None, "Por ciclo"), ("2 min", 120, None), ("1.5 h", 5400, None), ("<10", 10, "<10")]
-
-
-@query(_values_sql(DURATIONS, "raw, sec, note"))
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN NULL WHEN 3 THEN p_size * 60 WHEN 4 THEN p_size * 3600 + 1800 ELSE p_size END::BIGINT AS sec, CASE p_partkey % 6 WHEN 0 THEN '>' || p_size || ' s' WHEN 2 THEN 'Por ciclo' WHEN 5 THEN '<' || p_size END AS note FROM part""")
 def parse_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(d[0],) for d in DURATIONS], "raw string").withColumn("p", coerce.parse_persistence(F.col("raw"))).select("raw", "p.sec", "p.note")
+    n = F.col("p_size").cast("string")
+    raw = by_turn("p_partkey", [F.concat(F.lit(">"), n, F.lit(" s")), n, F.lit("Por ciclo"), F.concat(n, F.lit(" min")), F.concat(n, F.lit(".5 h")), F.concat(F.lit("<"), n)])
+    return table(spark, sf_dir, "part").withColumn("p", coerce.parse_persistence(raw)).select("p_partkey", "p.sec", "p.note")
 
 
 PAIRS = [("gal/h", "galh", True, 3600), ("t", "tonnes", True, None), ("Fahrenheit", "degC", False, None), ("", "km", True, None), ("kg/min", "kg/s", False, 60), ("m/sec", None, True, 1)]
 
 
-@query(_values_sql(PAIRS, "a, b, agree, seconds"))
+def _turned(key: str, rows: list[tuple], columns: list[str]) -> str:
+    """The row of a list that a key takes in turn, in SQL."""
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v + "'"
+    return ", ".join(f"CASE {key} % {len(rows)} " + " ".join(f"WHEN {i} THEN {show(r[k])}" for i, r in enumerate(rows)) + f" END AS {c}" for k, c in enumerate(columns))
+
+
+def _in_turn(key: str, rows: list[tuple], k: int) -> Column:
+    return by_turn(key, [F.lit(r[k]).cast("string") for r in rows])
+
+
+@query(f"""SELECT p_partkey, agree, seconds FROM (SELECT p_partkey, {_turned("p_partkey", PAIRS, ["a", "b", "agree", "seconds"])} FROM part)""")
 def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([p[:2] for p in PAIRS], "a string, b string")
-    return rows.select("a", "b", coerce.units_agree(F.col("a"), F.col("b")).alias("agree"), coerce.rate_seconds(F.col("a")).alias("seconds"))
+    """Units that parts have in turn, against those of others."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _in_turn("p_partkey", PAIRS, 0).alias("a"), _in_turn("p_partkey", PAIRS, 1).alias("b"))
+    return rows.select("p_partkey", coerce.units_agree(F.col("a"), F.col("b")).alias("agree"), coerce.rate_seconds(F.col("a")).cast("int").alias("seconds"))
 
 
 NAMES = [("Shift ID", "", "cohort", "count", "count"), ("Operator name", "", "person", "count", "count"), ("Truck", "t", "item", "count", "count"), ("Idle hours", "h", "cohort", "duration", "time"), ("Net revenue", "usd", "cohort", "money", "currency"), ("Growth", "%", "cohort", "percentage", "percentage"), ("Tasa de desviación", None, "cohort", "count", "percentage")]
 
 
-@query(_values_sql(NAMES, "name, unit, column_kind, measure_kind, format"))
+@query(f"""SELECT p_partkey, {_turned("p_partkey", [n[2:] for n in NAMES], ["column_kind", "measure_kind", "format"])} FROM part""")
 def named_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([n[:2] for n in NAMES], "name string, unit string")
-    return rows.select("name", "unit", coerce.kind_of_column(F.col("name")).alias("column_kind"), coerce.kind_of_measure(F.col("unit")).alias("measure_kind"), config.suggest_format(F.col("name"), F.col("unit")).alias("format"))
+    """Names that go before a part's brand."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", _in_turn("p_partkey", NAMES, 0), F.lower("p_brand")).alias("name"), _in_turn("p_partkey", NAMES, 1).alias("unit"))
+    return rows.select("p_partkey", coerce.kind_of_column(F.col("name")).alias("column_kind"), coerce.kind_of_measure(F.col("unit")).alias("measure_kind"), config.suggest_format(F.col("name"), F.col("unit")).alias("format"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'currency' WHEN 1 THEN 'time' ELSE 'count' END AS format FROM part""")
@@ -127,17 +138,22 @@ def surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.surface(breaches, 80).select("user_id", "event_id", "severity")
 
 
-@query(_values_sql([("Fuel Rate", "fuel rate", 1), ("payload", "Payload State", 2), ("road-condition", "Road Condition", 3), ("rate fuel", "fuel rate", 5), ("absent", None, None)], 'name, "column", tier'))
+@query("""WITH t AS (SELECT *, row_number() OVER (ORDER BY p_type, p_brand) % 3 AS k FROM (SELECT DISTINCT p_type, p_brand FROM part))
+SELECT CASE k WHEN 0 THEN lower(p_type || ' ' || p_brand) WHEN 1 THEN p_type || '-' || p_brand ELSE p_brand || ' ' || p_type END AS name, p_type || ' ' || p_brand AS "column", CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 5 END AS tier FROM t""")
 def bound_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spoken = spark.createDataFrame([(n,) for n in ("Fuel Rate", "payload", "road-condition", "rate fuel", "absent")], "name string")
-    columns = spark.createDataFrame([(n,) for n in ("fuel rate", "Payload State", "Road Condition", "Truck Payload")], "column string")
-    return config.bind_names(spoken, columns)
+    """Types and brands of parts spoken in lower case, with a dash, and backwards."""
+    names = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct().withColumn("k", F.row_number().over(Window.orderBy("p_type", "p_brand")) % 3)
+    whole = F.concat_ws(" ", "p_type", "p_brand")
+    said = F.when(F.col("k") == 0, F.lower(whole)).when(F.col("k") == 1, F.concat_ws("-", "p_type", "p_brand")).otherwise(F.concat_ws(" ", "p_brand", "p_type"))
+    return config.bind_names(names.select(said.alias("name")), names.select(whole.alias("column")))
 
 
-@query(_values_sql([("Fuel Rate", "Fuel Rate"), ("Fuel", "Fuel Rate"), ("Temperature", "Ambient Temperature")], "parameter, measure"))
+@query("""SELECT n_name AS parameter, 'mean ' || lower(n_name) AS measure FROM nation""")
 def matched_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parameters = [("Fuel Rate", "gal/h"), ("Fuel", None), ("Temperature", "degC"), ("Speed", "mph")]
-    found = references.match_thresholds(parameters, [("Fuel Rate", "gal/h"), ("Fuel Level", "%"), ("Ambient Temperature", "C"), ("Speed", "km")])
+    """Nations as parameters, matched by name to measures of another unit or of theirs."""
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_name").collect()]
+    measures = [(f"{kind} {n.lower()}", unit) for n in names for kind, unit in (("mean", "t"), ("sum", "km"))]
+    found = references.match_thresholds([(n, "tonnes") for n in names], measures)
     return spark.createDataFrame(sorted(found.items()), "parameter string, measure string")
 
 
@@ -301,9 +317,15 @@ def condition_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("p_partkey", F.array_join(ops, ",").alias("ops"), surface.is_simple(F.lit(None), F.lit(None)).alias("simple"))
 
 
-@query(_values_sql([(s, t, n, a, n) for s, types in surface.VOCABULARY.items() for t, n, a in types], "surface, type, notifies, acts, can"))
+_RESPONSES = [(s, t, n, a) for s, types in surface.VOCABULARY.items() for t, n, a in types]
+
+
+@query(f"""SELECT p_partkey, {_turned("p_partkey", [(n, a) for _, _, n, a in _RESPONSES], ["can", "acts"])} FROM part""")
 def response_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.vocabulary(spark).withColumn("can", surface.can_notify(F.col("surface"), F.col("type")))
+    """Parts with responses in turn: which of them can notify, and which act."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _in_turn("p_partkey", _RESPONSES, 0).alias("surface"), _in_turn("p_partkey", _RESPONSES, 1).alias("type"))
+    known = surface.vocabulary(spark)
+    return rows.join(F.broadcast(known), ["surface", "type"]).select("p_partkey", surface.can_notify(F.col("surface"), F.col("type")).alias("can"), "acts")
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' AND value <= 50 THEN NULL WHEN event_type = 'error' THEN 'hour ' || hour(ts) WHEN value <= 50 THEN 'kind ' || event_type ELSE 'kind ' || event_type || ' · hour ' || hour(ts) END AS context FROM events""")
