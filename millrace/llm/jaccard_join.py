@@ -287,7 +287,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 64) -> DataFrame:
+def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 64, wide: int = 4096) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
     Sets link when 100 * intersection >= percent * union; component_id is the
@@ -353,18 +353,23 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     smallest = labelled.groupBy("sig").agg(F.min("m.n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("m.n") * percent / 100))
     labelled = labelled.join(smallest, "sig").where((100 + percent) * F.col("m.room") >= percent * (F.col("m.n") + partner)).drop("least")
-    split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("sig", "sets", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
-    # Block i of a signature meets block j once, in the cell (min, max).
-    mine = F.pmod(F.xxhash64("m.fp"), F.col("blocks")).cast("int")
-    spread = labelled.join(split.drop("sets"), "sig").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "m", "p")
-    n_cells = split.agg(F.sum(F.col("blocks") * F.col("sets"))).first()[0] or 0
+    # Of a signature's sets most are in one component by now. Only the others, its strays,
+    # have something to find: each is compared with all sets of the signature, in cells
+    # of `block` strays and `wide` sets.
+    by_root = labelled.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("sig").agg(F.sum("n").alias("sets"), F.max(F.struct("n", "root")).alias("most")).where("sets > most.n").select("sig", F.col("most.root").alias("major"), F.col("sets"), (F.col("sets") - F.col("most.n")).alias("strays"))
+    split = split.withColumns({"blocks": F.ceil(F.col("strays") / block).cast("int"), "widths": F.ceil(F.col("sets") / wide).cast("int")})
+    n_cells = split.agg(F.sum(F.col("blocks") * F.col("sets") + F.col("widths") * F.col("strays"))).first()[0] or 0
+    placed = labelled.join(split.drop("sets", "strays"), "sig")
+    part = lambda n: F.pmod(F.xxhash64("m.fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = placed.where("root <> major").withColumn("i", part("blocks")).withColumn("j", every("widths")).select("sig", "i", "j", "root", "m", "p")
+    whole = placed.withColumn("j", part("widths")).withColumn("i", every("blocks")).select("sig", "i", "j", "root", "m")
     final = labels
     if n_cells:
-        cells = stored(cells, "jaccard-cells", rows=n_cells)
-        x, y = cells.alias("x"), cells.alias("y")
+        x, y = stored(strays, "jaccard-strays", rows=n_cells).alias("x"), stored(whole, "jaccard-cells", rows=n_cells).alias("y")
         same_cell = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-        new = (F.col("x.m.fp") < F.col("y.m.fp")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
+        new = (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
         rest = x.join(y, same_cell & new & _may_link("x.m", "y.m", percent)).select(F.col("x.m.fp").alias("a"), F.col("y.m.fp").alias("b"))
         second = links(stored(_pairs(rest), "jaccard-rest", rows=n_cells), "jaccard-links2")
         if second.take(1):
