@@ -13,7 +13,8 @@ are joined, and what meets is verified on the whole sets.
 Equal sets become one node before the join. Inside one signature no all-pairs
 are made: first each set meets the signature's best-placed set only; once those
 links have formed components, sets of one signature that are still apart are
-compared in blocks, each pair once, if size and position still allow a link. So
+compared in cells, strays of the largest component with all, if size, position and
+bitmap still allow a link. So
 a thousand near copies cost a thousand comparisons, and no link between
 different components is missed.
 
@@ -283,6 +284,12 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return sizes & ((100 + percent) * F.least(F.col(f"{x}.room"), F.col(f"{y}.room")) >= percent * (nx + ny))
 
 
+def _alike(x: str, y: str, sizes: Column, percent: int) -> Column:
+    """By bitmaps: each bit that differs stands for a shingle that one set has alone."""
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, k: t + k)
+    return (100 + percent) * differ <= (100 - percent) * sizes
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -329,8 +336,7 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
         are fetched and compared whole.
         """
         end = lambda x, y: nodes.select(F.col("fp").alias(x), F.col("node").alias(y), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"bits{y}"))
-        differ = F.aggregate(F.zip_with("bitsu", "bitsv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
-        near = pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").where((100 + percent) * differ <= (100 - percent) * (F.col("nu") + F.col("nv")))
+        near = pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").where(_alike("bitsu", "bitsv", F.col("nu") + F.col("nv"), percent))
         near = stored(near.select("u", "v"), f"{name}-near", rows=pairs.count())
         n_pairs = near.count()
         if not n_pairs:
@@ -360,17 +366,20 @@ def link_similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     split = by_root.groupBy("sig").agg(F.sum("n").alias("sets"), F.max(F.struct("n", "root")).alias("most")).where("sets > most.n").select("sig", F.col("most.root").alias("major"), F.col("sets"), (F.col("sets") - F.col("most.n")).alias("strays"))
     split = split.withColumns({"blocks": F.ceil(F.col("strays") / block).cast("int"), "widths": F.ceil(F.col("sets") / wide).cast("int")})
     n_cells = split.agg(F.sum(F.col("blocks") * F.col("sets") + F.col("widths") * F.col("strays"))).first()[0] or 0
-    placed = labelled.join(split.drop("sets", "strays"), "sig")
+    bits = nodes.select(F.col("fp").alias("_fp"), "bits")
+    placed = labelled.join(split.drop("sets", "strays"), "sig").join(bits, F.col("m.fp") == F.col("_fp")).drop("_fp")
     part = lambda n: F.pmod(F.xxhash64("m.fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = placed.where("root <> major").withColumn("i", part("blocks")).withColumn("j", every("widths")).select("sig", "i", "j", "root", "m", "p")
-    whole = placed.withColumn("j", part("widths")).withColumn("i", every("blocks")).select("sig", "i", "j", "root", "m")
+    strays = placed.where("root <> major").withColumn("i", part("blocks")).withColumn("j", every("widths")).select("sig", "i", "j", "root", "m", "p", "bits", "major")
+    whole = placed.withColumn("j", part("widths")).withColumn("i", every("blocks")).select("sig", "i", "j", "root", "m", "bits")
     final = labels
     if n_cells:
         x, y = stored(strays, "jaccard-strays", rows=n_cells).alias("x"), stored(whole, "jaccard-cells", rows=n_cells).alias("y")
         same_cell = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-        new = (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
-        rest = x.join(y, same_cell & new & _may_link("x.m", "y.m", percent)).select(F.col("x.m.fp").alias("a"), F.col("y.m.fp").alias("b"))
+        once = (F.col("y.root") == F.col("x.major")) | (F.col("x.m.fp") < F.col("y.m.fp"))  # Two strays meet twice.
+        new = once & (F.col("x.root") != F.col("y.root")) & (F.col("x.m.fp") != F.col("x.p.fp")) & (F.col("y.m.fp") != F.col("x.p.fp"))
+        alike = _alike("x.bits", "y.bits", F.col("x.m.n") + F.col("y.m.n"), percent)
+        rest = x.join(y, same_cell & new & _may_link("x.m", "y.m", percent) & alike).select(F.col("x.m.fp").alias("a"), F.col("y.m.fp").alias("b"))
         second = links(stored(_pairs(rest), "jaccard-rest", rows=n_cells), "jaccard-links2")
         if second.take(1):
             final = components(first.unionByName(second), "jaccard-components2")
