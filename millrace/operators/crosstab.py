@@ -83,3 +83,104 @@ def mix_standardised(df: DataFrame, level: str, levels: tuple[str, str], state:
     mean = F.when(F.col("both"), F.col("s") / F.col("n"))
     raw, weights = F.sum("s") / F.sum("n"), F.sum(F.when(F.col("both"), F.col("w")))
     return common.groupBy("level").agg(F.sum("n").alias("n"), half_up(raw).alias("raw_mean"), half_up(F.sum(mean * F.col("w")) / weights).alias("standardised_mean"))
+
+
+def _wide(measures: list[str]) -> list[Column]:
+    """Moments of every measure in one aggregation, by place: rows, mean, squared
+    deviations, range, held-out rows and their sum, mean of the others."""
+    q, found = F.col("_q"), []
+    for i in range(len(measures)):
+        v = F.col(f"_m{i}")
+        live = v.isNotNull()
+        found += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_mean{i}"), F.var_pop(v).alias(f"_var{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.count_if(q & live).alias(f"_exn{i}"), F.sum(F.when(q, v)).alias(f"_exs{i}"), F.avg(F.when(~q, v)).alias(f"_clean{i}")]
+    return found
+
+
+def _long(wide: DataFrame, keys: list[Column | str], measures: list[str]) -> DataFrame:
+    """A row a cell and measure of the few rows of a wide aggregation."""
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"_n{i}").alias("n"), F.col(f"_mean{i}").alias("mean"), F.coalesce(f"_var{i}", F.lit(0.0)).alias("var"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"), F.col(f"_exn{i}").alias("ex_n"), F.coalesce(f"_exs{i}", F.lit(0.0)).alias("ex_sum"), F.col(f"_clean{i}").alias("clean")) for i, m in enumerate(measures)))
+    return wide.select(*keys, F.inline(cells)).where("n > 0")
+
+
+def _typed(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column | None) -> DataFrame:
+    q = F.lit(False) if quarantined is None else F.coalesce(quarantined, F.lit(False))
+    return df.select(*(F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(categories)), *(F.col(f"`{m}`").cast("double").alias(f"_m{i}") for i, m in enumerate(measures)), q.alias("_q"))
+
+
+def moments(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column | None = None) -> DataFrame:
+    """Cells (category, value, measure: n, mean, var, lo, hi, ex_n, ex_sum, clean) of all
+    categories by all measures.
+
+    One scan, one aggregation by grouping sets with all measures side by side: a row is
+    copied once a category, not once a category and measure, and cells are few before
+    anything is shuffled. A null value of a category is no value; nulls of a measure do
+    not count; a table without rows has no cells. Names of columns may be any.
+    """
+    rows = _typed(df, categories, measures, quarantined)
+    sets = [[F.col(f"_c{i}")] for i in range(len(categories))]
+    keys = [F.col(f"_c{i}") for i in range(len(categories))]
+    wide = rows.groupingSets(sets, *keys).agg(F.grouping_id().alias("_set"), *_wide(measures))
+    which = {(1 << len(categories)) - 1 - (1 << (len(categories) - 1 - i)): i for i in range(len(categories))}
+    pick = lambda of: F.coalesce(*(F.when(F.col("_set") == g, of(i)) for g, i in which.items()))
+    named = wide.withColumn("category", pick(lambda i: F.lit(categories[i]))).withColumn("value", pick(lambda i: F.col(f"_c{i}")))
+    return _long(named.where("value IS NOT NULL"), ["category", "value"], measures)
+
+
+def with_effects(cells: DataFrame, min_rows: int = 500) -> DataFrame:
+    """`moments` with the baseline of each cell and eta2 of its category over its measure:
+    null with fewer than `min_rows` rows or two values. Nothing is read again: the cells'
+    moments are pooled."""
+    over = Window.partitionBy("category", "measure")
+    n = F.sum("n").over(over)
+    placed = cells.withColumns({"_rows": n, "_cells": F.count("*").over(over), "_grand": F.sum(F.col("n") * F.col("mean")).over(over) / n, "_within": F.sum(F.col("n") * F.col("var")).over(over)})
+    between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("_grand"), 2)).over(over)
+    scored = placed.withColumn("_between", between).withColumn("eta2", F.when((F.col("_rows") >= min_rows) & (F.col("_cells") >= 2), half_up(F.col("_between") / F.nullif(F.col("_between") + F.col("_within"), F.lit(0.0)), 6)))
+    return _pooled_baseline(scored, ["category", "value"], ["eta2"])
+
+
+def _pooled_baseline(cells: DataFrame, keys: list[str], more: list[str] = []) -> DataFrame:
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("var") * F.col("n") / (F.col("n") - 1))).otherwise(0.0)
+    return cells.select(*keys, "measure", "n", half_up("mean").alias("mean"), half_up(sd).alias("sd"), half_up("lo").alias("lo"), half_up("hi").alias("hi"), "ex_n", half_up("ex_sum").alias("ex_sum"), (F.col("n") - F.col("ex_n")).alias("baseline_n"), half_up(F.when(F.col("ex_n") > 0, F.col("clean")).otherwise(F.col("mean"))).alias("baseline_mean"), *more)
+
+
+def oriented_moments(df: DataFrame, states: list[str], scheduled: list[str], measures: list[str], quarantined: Column | None = None) -> DataFrame:
+    """Cells (state_column, state, dimension, value, measure, ...) of every state column by
+    every dimension that the clock schedules, in one scan as `moments`.
+
+    A column that is both is a state only, so no pair is of one column with itself.
+    """
+    dimensions = [d for d in scheduled if d not in states]
+    if not states or not dimensions:
+        raise ValueError("an oriented cross-tab needs a state column and a scheduled dimension")
+    categories = [*states, *dimensions]
+    rows = _typed(df, categories, measures, quarantined)
+    pairs = [(i, len(states) + j) for i in range(len(states)) for j in range(len(dimensions))]
+    key = [F.col(f"_c{i}") for i in range(len(categories))]
+    wide = rows.groupingSets([[key[i], key[j]] for i, j in pairs], *key).agg(F.grouping_id().alias("_set"), *_wide(measures))
+    bit = lambda i: 1 << (len(categories) - 1 - i)
+    which = {(1 << len(categories)) - 1 - bit(i) - bit(j): (i, j) for i, j in pairs}
+    pick = lambda of: F.coalesce(*(F.when(F.col("_set") == g, of(*p)) for g, p in which.items()))
+    named = wide.withColumns({"state_column": pick(lambda i, j: F.lit(categories[i])), "state": pick(lambda i, j: F.col(f"_c{i}")), "dimension": pick(lambda i, j: F.lit(categories[j])), "value": pick(lambda i, j: F.col(f"_c{j}"))})
+    return _long(named.where("state IS NOT NULL AND value IS NOT NULL"), ["state_column", "state", "dimension", "value"], measures)
+
+
+def oriented_joint(cells: DataFrame) -> DataFrame:
+    """`oriented_moments` as a cross-tab with baselines; a cell whose rows are all held out
+    has none and says so by a baseline of 0 rows."""
+    return _pooled_baseline(cells, ["state_column", "state", "dimension", "value"])
+
+
+def confound_notes(cells: DataFrame) -> DataFrame:
+    """What the mix of states explains of the margin between a dimension's two values.
+
+    Of `oriented_moments`: the second value by name against the first, in percent, as it is
+    and on one weighting of states (a state's rows under both values; a value is weighed over
+    the states it has), and the difference in points. Dimensions of more or fewer values
+    have no note, nor where the first value's mean is zero either way.
+    """
+    keys = ["state_column", "dimension", "measure"]
+    weighed = cells.withColumn("_w", F.sum("n").over(Window.partitionBy(*keys, "state")))
+    per = weighed.groupBy(*keys, "value").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_raw"), (F.sum(F.col("mean") * F.col("_w")) / F.sum("_w")).alias("_mix"))
+    both = per.groupBy(*keys).agg(F.count("*").alias("_k"), *(f(x, "value").alias(a) for f, x, a in ((F.min_by, "_raw", "_ra"), (F.max_by, "_raw", "_rb"), (F.min_by, "_mix", "_ma"), (F.max_by, "_mix", "_mb"))), F.min("value").alias("first_value"), F.max("value").alias("second_value"))
+    raw, mix = F.col("_rb") / F.col("_ra"), F.col("_mb") / F.col("_ma")
+    return both.where("_k = 2 AND _ra <> 0 AND _ma <> 0").select(*keys, "first_value", "second_value", half_up((raw - 1) * 100).alias("marginal_pct"), half_up((mix - 1) * 100).alias("standardised_pct"), half_up((mix - raw) * 100).alias("confound_points"))

@@ -67,6 +67,40 @@ def rosters(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return lists.groupBy("members", "n").agg(F.min_by("roster", F.struct(F.length("roster"), "roster")).alias("roster")).select("roster", "n", "members")
 
 
+def equal_rosters(members: DataFrame, listed: int = 120) -> DataFrame:
+    """Rows (roster, n, kept_as, members): which rosters (roster, member) are the same set.
+
+    Equal sets keep the shortest name, ties by name; `members` are the first `listed` by
+    name. Sets are compared by fingerprints that do not depend on order, so no row holds a
+    roster; where these agree, the members themselves are joined and counted. Null members
+    do not count, repeated ones once; a roster without members has no row.
+    """
+    distinct = members.select(F.col("roster"), F.col("member").cast("string").alias("member")).where("roster IS NOT NULL AND member IS NOT NULL").distinct()
+    prints = [F.bit_xor(F.xxhash64(F.lit(seed), "member")).alias(f"_f{seed}") for seed in (1, 2)]
+    sized = distinct.groupBy("roster").agg(F.count("*").alias("n"), *prints)
+    shortest = F.struct(F.length("roster"), "roster")
+    like = Window.partitionBy("n", "_f1", "_f2")
+    named = sized.withColumn("_as", F.min_by("roster", shortest).over(like)).drop("_f1", "_f2")
+    doubtful = named.where(F.col("roster") != F.col("_as"))
+    ours = doubtful.join(distinct, "roster").select("roster", "n", "_as", "member")
+    theirs = distinct.select(F.col("roster").alias("_as"), "member")
+    shared = ours.join(theirs, ["_as", "member"]).groupBy("roster", "n").agg(F.count("*").alias("_shared")).where("_shared = n").select("roster", F.lit(True).alias("_same"))
+    kept = named.join(shared, "roster", "left").withColumn("kept_as", F.when(F.col("_same"), F.col("_as")).otherwise(F.col("roster")))
+    return kept.join(first_members(distinct, listed), "roster").select("roster", "n", "kept_as", "members")
+
+
+def first_members(members: DataFrame, listed: int) -> DataFrame:
+    """Rows (roster, members): the first `listed` distinct members by name, in order.
+
+    Buckets of a roster keep their first ones before a roster is put together, so no task
+    sorts a whole roster.
+    """
+    first = lambda df, keys: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("member"))).where(F.col("_k") <= listed).drop("_k")
+    bucketed = members.withColumn("_bucket", F.pmod(F.xxhash64("member"), F.lit(64)))
+    few = first(first(bucketed, ["roster", "_bucket"]), ["roster"])
+    return few.groupBy("roster").agg(F.sort_array(F.collect_list("member")).alias("members"))
+
+
 def measure_catalogue(df: DataFrame, unit: str, measures: list[str]) -> DataFrame:
     """Each measure over all units, with the median and spread of units' means."""
     per = unpivot_measures(df, measures, [unit]).groupBy("measure", unit).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))

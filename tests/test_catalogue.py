@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import facets as catalogue
+from millrace.plans import boards as catalogue
 
 SF = "/root/testdata/sf0.001"
 
