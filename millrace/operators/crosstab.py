@@ -86,20 +86,25 @@ def mix_standardised(df: DataFrame, level: str, levels: tuple[str, str], state:
 
 
 def _wide(measures: list[str]) -> list[Column]:
-    """Moments of every measure in one aggregation, by place: rows, mean, squared
-    deviations, range, held-out rows and their sum, mean of the others."""
-    q, found = F.col("_q"), []
+    """Moments of every measure in one aggregation, by place."""
+    found = []
     for i in range(len(measures)):
         v = F.col(f"_m{i}")
-        live = v.isNotNull()
-        found += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_mean{i}"), F.var_pop(v).alias(f"_var{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.count_if(q & live).alias(f"_exn{i}"), F.sum(F.when(q, v)).alias(f"_exs{i}"), F.avg(F.when(~q, v)).alias(f"_clean{i}")]
+        found += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_mean{i}"), F.var_pop(v).alias(f"_var{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
     return found
 
 
-def _long(wide: DataFrame, keys: list[Column | str], measures: list[str]) -> DataFrame:
-    """A row a cell and measure of the few rows of a wide aggregation."""
-    cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"_n{i}").alias("n"), F.col(f"_mean{i}").alias("mean"), F.coalesce(f"_var{i}", F.lit(0.0)).alias("var"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"), F.col(f"_exn{i}").alias("ex_n"), F.coalesce(f"_exs{i}", F.lit(0.0)).alias("ex_sum"), F.col(f"_clean{i}").alias("clean")) for i, m in enumerate(measures)))
-    return wide.select(*keys, F.inline(cells)).where("n > 0")
+def _pooled(wide: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """A row a cell and measure: what is held out and what is not, at most two rows of the
+    wide aggregation, put together."""
+    parts = F.array(*(F.struct(F.lit(m).alias("measure"), *(F.col(f"_{x}{i}").alias(x) for x in ("n", "mean", "var", "lo", "hi"))) for i, m in enumerate(measures)))
+    long = wide.select(*keys, "_q", F.inline(parts)).where("n > 0")
+    of = lambda x, q: F.max(F.when(F.col("_q") == q, F.col(x)))
+    none = F.lit(0).cast("long")
+    both = long.groupBy(*keys, "measure").agg(F.coalesce(of("n", False), none).alias("_n"), F.coalesce(of("n", True), none).alias("ex_n"), of("mean", False).alias("clean"), of("mean", True).alias("_ex"), F.sum(F.col("n") * F.col("var")).alias("_m2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    n, ex_sum = F.col("_n") + F.col("ex_n"), F.coalesce(F.col("ex_n") * F.col("_ex"), F.lit(0.0))
+    apart = F.coalesce(F.pow(F.col("clean") - F.col("_ex"), 2) * F.col("_n") * F.col("ex_n") / n, F.lit(0.0))
+    return both.select(*keys, "measure", n.alias("n"), F.coalesce(F.when(F.col("ex_n") == 0, F.col("clean")), (F.coalesce(F.col("_n") * F.col("clean"), F.lit(0.0)) + ex_sum) / n).alias("mean"), ((F.col("_m2") + apart) / n).alias("var"), "lo", "hi", "ex_n", ex_sum.alias("ex_sum"), "clean")
 
 
 def _typed(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column | None) -> DataFrame:
@@ -107,6 +112,12 @@ def _typed(df: DataFrame, categories: list[str], measures: list[str], quarantine
     return df.select(*(F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(categories)), *(F.col(f"`{m}`").cast("double").alias(f"_m{i}") for i, m in enumerate(measures)), q.alias("_q"))
 
 
+def _set_of(categories: int, *grouped: int) -> int:
+    """The number of the grouping set of these categories: a bit for each that is absent,
+    the last one (held out or not) being always there."""
+    return sum(1 << (categories - i) for i in range(categories) if i not in grouped)
+
+
 def moments(df: DataFrame, categories: list[str], measures: list[str], quarantined: Column | None = None) -> DataFrame:
     """Cells (category, value, measure: n, mean, var, lo, hi, ex_n, ex_sum, clean) of all
     categories by all measures.
@@ -117,13 +128,12 @@ def moments(df: DataFrame, categories: list[str], measures: list[str], quarantin
     not count; a table without rows has no cells. Names of columns may be any.
     """
     rows = _typed(df, categories, measures, quarantined)
-    sets = [[F.col(f"_c{i}")] for i in range(len(categories))]
     keys = [F.col(f"_c{i}") for i in range(len(categories))]
-    wide = rows.groupingSets(sets, *keys).agg(F.grouping_id().alias("_set"), *_wide(measures))
-    which = {(1 << len(categories)) - 1 - (1 << (len(categories) - 1 - i)): i for i in range(len(categories))}
+    wide = rows.groupingSets([[k, F.col("_q")] for k in keys], *keys, F.col("_q")).agg(F.grouping_id().alias("_set"), *_wide(measures))
+    which = {_set_of(len(categories), i): i for i in range(len(categories))}
     pick = lambda of: F.coalesce(*(F.when(F.col("_set") == g, of(i)) for g, i in which.items()))
     named = wide.withColumn("category", pick(lambda i: F.lit(categories[i]))).withColumn("value", pick(lambda i: F.col(f"_c{i}")))
-    return _long(named.where("value IS NOT NULL"), ["category", "value"], measures)
+    return _pooled(named.where("value IS NOT NULL"), ["category", "value"], measures)
 
 
 def with_effects(cells: DataFrame, min_rows: int = 500) -> DataFrame:
@@ -156,12 +166,11 @@ def oriented_moments(df: DataFrame, states: list[str], scheduled: list[str], mea
     rows = _typed(df, categories, measures, quarantined)
     pairs = [(i, len(states) + j) for i in range(len(states)) for j in range(len(dimensions))]
     key = [F.col(f"_c{i}") for i in range(len(categories))]
-    wide = rows.groupingSets([[key[i], key[j]] for i, j in pairs], *key).agg(F.grouping_id().alias("_set"), *_wide(measures))
-    bit = lambda i: 1 << (len(categories) - 1 - i)
-    which = {(1 << len(categories)) - 1 - bit(i) - bit(j): (i, j) for i, j in pairs}
+    wide = rows.groupingSets([[key[i], key[j], F.col("_q")] for i, j in pairs], *key, F.col("_q")).agg(F.grouping_id().alias("_set"), *_wide(measures))
+    which = {_set_of(len(categories), i, j): (i, j) for i, j in pairs}
     pick = lambda of: F.coalesce(*(F.when(F.col("_set") == g, of(*p)) for g, p in which.items()))
     named = wide.withColumns({"state_column": pick(lambda i, j: F.lit(categories[i])), "state": pick(lambda i, j: F.col(f"_c{i}")), "dimension": pick(lambda i, j: F.lit(categories[j])), "value": pick(lambda i, j: F.col(f"_c{j}"))})
-    return _long(named.where("state IS NOT NULL AND value IS NOT NULL"), ["state_column", "state", "dimension", "value"], measures)
+    return _pooled(named.where("state IS NOT NULL AND value IS NOT NULL"), ["state_column", "state", "dimension", "value"], measures)
 
 
 def oriented_joint(cells: DataFrame) -> DataFrame:
