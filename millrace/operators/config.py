@@ -62,22 +62,66 @@ def tables(config: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def bind_names(spoken: DataFrame, columns: DataFrame) -> DataFrame:
+def _grams(words: Column) -> Column:
+    """All runs of one to three letters of words, blanks left out."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(words) - n + 1)), lambda i: F.substring(words, i, n))
+    return F.filter(F.array_distinct(F.concat(at(1), at(2), at(3))), lambda g: (g != "") & ~F.contains(g, F.lit(" ")))
+
+
+def _own_grams(words: Column) -> Column:
+    """The longest grams inside each word: runs of three letters, or a shorter word."""
+    inside = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, 3))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(words, " "), lambda w: w != ""), inside)))
+
+
+#: How a name reached a column, from the strongest tier on. 6 to 8 are fields of the
+#: dictionary that hold the name; 9 is a description with all of its words.
+TIERS = (1, 2, 3, 6, 7, 8, 4, 5, 9)
+
+
+def bind_names(spoken: DataFrame, columns: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """(name) to (column): by the first tier that matches, the earliest column first.
 
-    Tiers: the same, without regard to case; beginning with; by words without
-    accents and punctuation; holding; all words shared, with the fewest others.
-    A name that meets nothing has a null column. Both tables are names of columns.
+    Tiers: the same, without regard to case (1); beginning with (2); by words without
+    accents and punctuation (3); a variable (6), key (7) or description (8) of the
+    `dictionary` (column, variable_key, description: `column` may be a beginning) that
+    holds the name; a column that holds it (4); all words shared, with the fewest others,
+    in a column (5) or a description (9). A name that meets nothing has a null column. A
+    null or blank name meets nothing; repeated names keep their rows; the order of columns
+    is that of the table.
+
+    Names meet only texts with which they share a gram of letters, the rarest of their own
+    ones: a join on grams, whose sides may both be large.
     """
-    ordered = columns.select(F.col("column"), F.monotonically_increasing_id().alias("_at"))
-    want, have = F.lower(F.trim("name")), F.lower(F.trim("column"))
-    w, h = coerce.words_only(F.col("name")), coerce.words_only(F.col("column"))
-    shared = F.size(F.array_except(F.split(w, " "), F.split(h, " "))) == 0
-    tier = F.when(want == have, 1).when(F.startswith(have, want), 2).when(w == h, 3).when((w != "") & F.contains(h, w), 4).when((w != "") & shared, 5)
-    extra = F.size(F.split(h, " ")) - F.size(F.split(w, " "))
-    scored = spoken.select("name").distinct().join(F.broadcast(ordered)).withColumn("tier", tier).where("tier IS NOT NULL")
-    best = Window.partitionBy("name").orderBy("tier", F.when(F.col("tier") == 5, extra).otherwise(0), "_at")
-    found = scored.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("name", "column", "tier")
+    ordered = columns.select("column", F.monotonically_increasing_id().alias("_at")).where("column IS NOT NULL")
+    words, lower = coerce.words_only, lambda c: F.lower(F.trim(c))
+    texts = ordered.select("column", "_at", F.lit("column").alias("_field"), lower(F.col("column")).alias("_have"), words(F.col("column")).alias("_h"))
+    if dictionary is not None:
+        entries = dictionary.select(words(F.coalesce(F.col("column"), F.col("variable_key"))).alias("_v"), F.col("column").alias("variable"), "variable_key", "description", F.monotonically_increasing_id().alias("_entry")).where("_v <> ''")
+        heads = ordered.withColumn("_w", words(F.col("column"))).withColumn("_head", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_w"))), lambda i: F.left(F.col("_w"), i))))
+        first = Window.partitionBy("_entry").orderBy("_at")
+        bound = entries.join(heads, F.col("_v") == F.col("_head")).withColumn("_k", F.row_number().over(first)).where("_k = 1")
+        fields = F.array(*(F.struct(F.lit(f).alias("_field"), F.col(f).alias("_text")) for f in ("variable", "variable_key", "description")))
+        more = bound.select("column", F.col("_entry").alias("_at"), F.inline(fields)).where("_text IS NOT NULL")
+        texts = texts.unionByName(more.select("column", "_at", "_field", lower(F.col("_text")).alias("_have"), words(F.col("_text")).alias("_h")))
+    # A name without letters is known by its first character alone.
+    mark = lambda c: F.concat(F.lit("^"), F.left(c, F.lit(1)))
+    indexed = texts.withColumn("_gram", F.explode(F.array_append(_grams(F.col("_h")), mark(F.col("_have")))))
+    said = spoken.select("name").distinct().withColumns({"_want": lower(F.col("name")), "_w": words(F.col("name"))}).where("_want <> ''")
+    common = indexed.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    own = said.withColumn("_gram", F.explode(F.when(F.col("_w") == "", F.array(mark(F.col("_want")))).otherwise(_own_grams(F.col("_w")))))
+    # A gram that no text has rules all texts out.
+    rarest = own.join(common, "_gram", "left").groupBy("name", "_want", "_w").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
+    want, have, w, h, field = (F.col(x) for x in ("_want", "_have", "_w", "_h", "_field"))
+    is_column, split = field == "column", lambda x: F.split(x, " ")
+    shared = (w != "") & (F.size(F.array_except(split(w), split(h))) == 0)
+    holds = (w != "") & F.contains(h, w)
+    extra = F.size(split(h)) - F.size(split(w))
+    tier = F.when(is_column, F.when(want == have, 1).when(F.startswith(have, want), 2).when((w != "") & (w == h), 3).when(holds, 4).when(shared, 5)).when(holds, F.when(field == "variable", 6).when(field == "variable_key", 7).otherwise(8)).when((field == "description") & shared & (F.size(split(w)) > 1), 9)
+    scored = rarest.join(indexed, "_gram").withColumn("tier", tier).where("tier IS NOT NULL")
+    strength = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    best = F.struct(strength.alias("_s"), F.when(F.col("tier") == 5, extra).otherwise(0).alias("_x"), "_at")
+    found = scored.groupBy("name").agg(F.min_by(F.struct("column", "tier"), best).alias("_b")).select("name", "_b.column", "_b.tier")
     return spoken.join(found, "name", "left")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.rounding import epoch_seconds, half_up
-from millrace.operators import board, crosstab, patterns, rhythm, rollup
+from millrace.operators import board, config, crosstab, patterns, rhythm, rollup
 from millrace.plans import catalogue as c
 from millrace.plans import facets
 from millrace.plans.catalogue import CELL, EPOCH, LONG_LINEITEM, MEASURES, ORDER, QUARANTINED, TICKS, WINDOWS, query, r, table
@@ -116,3 +116,18 @@ def equal_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "customer").select(F.lit("segments").alias("roster"), F.col("c_mktsegment").alias("member"))
     found = rollup.equal_rosters(events.unionByName(months).unionByName(segments), 20)
     return found.withColumn("members", F.array_join("members", ","))
+
+
+# Names
+
+@query("""WITH d AS (SELECT p_type, 'sold as ' || min(p_name) || ' and ' || max(p_name) AS t FROM part GROUP BY 1),
+s AS (SELECT DISTINCT CASE WHEN length(p_name) % 2 = 0 THEN p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END AS name FROM part),
+h AS (SELECT name, min(p_type) FILTER (contains(t, name)) AS held, min(p_type) FILTER (list_has_all(string_split(t, ' '), string_split(name, ' '))) AS worded FROM s, d GROUP BY 1)
+SELECT name, coalesce(held, worded) AS "column", CASE WHEN held IS NOT NULL THEN 8 WHEN worded IS NOT NULL THEN 9 END AS tier FROM h""")
+def dictionary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, every other one backwards, to types by what a dictionary says of them."""
+    part = table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    spoken = part.select(F.when(F.length("p_name") % 2 == 0, F.col("p_name")).otherwise(F.array_join(F.reverse(words), " ")).alias("name")).distinct()
+    entries = part.groupBy(F.col("p_type").alias("column")).agg(F.concat(F.lit("sold as "), F.min("p_name"), F.lit(" and "), F.max("p_name")).alias("description")).withColumn("variable_key", F.lit("type")).orderBy("column").coalesce(1)
+    return config.bind_names(spoken, entries.select("column"), entries)

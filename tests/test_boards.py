@@ -4,7 +4,7 @@ from statistics import fmean, pvariance, stdev
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import board, crosstab, rollup
+from millrace.operators import board, config, crosstab, rollup
 
 
 def test_projection_goes_by_the_usual_rest_and_todays_pace(spark):
@@ -100,3 +100,45 @@ def test_no_row_holds_a_large_roster(spark):
     both = spark.range(200_000).select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("roster"), F.col("id").cast("string").alias("member")).where("NOT (roster = 'c' AND member = '77')")
     found = {r["roster"]: (r["n"], r["kept_as"], len(r["members"])) for r in rollup.equal_rosters(both).collect()}
     assert found == {"a": (200_000, "a", 120), "b": (200_000, "a", 120), "c": (199_999, "c", 120)}
+
+
+def _bound(spoken, columns):
+    """Every name against every column, one after the other."""
+    import re
+    import unicodedata
+
+    plain = lambda x: " ".join(re.findall("[a-z0-9]+", "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c))))
+    found = {}
+    for name in spoken:
+        best = None
+        for i, column in enumerate(columns):
+            want, have, w, h = name.strip().lower(), column.strip().lower(), plain(name), plain(column)
+            if not want:
+                continue
+            tier = 1 if want == have else 2 if have.startswith(want) else 3 if w and w == h else 4 if w and w in h else 5 if w and set(w.split()) <= set(h.split()) else None
+            if tier:
+                key = (tier, len(h.split()) - len(w.split()) if tier == 5 else 0, i)
+                best = min(best, (key, column)) if best else (key, column)
+        found[name] = (best[1], best[0][0]) if best else (None, None)
+    return found
+
+
+def test_names_meet_columns_as_if_all_pairs_were_tried(spark):
+    draw = random.Random(11)
+    words = ["pit", "position", "Fuel", "rate", "of", "Ton", "id", "Condición", "vía", "x", "#"]
+    columns = list(dict.fromkeys(draw.choice([" ", "-", "_", "  "]).join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(60)))
+    spoken = list(dict.fromkeys([*(" ".join(draw.choices(words, k=draw.randint(1, 3))) for _ in range(80)), *(c.upper() for c in columns[:9]), *(c[: draw.randint(1, 6)] for c in columns), *(c[draw.randint(0, 3) :] for c in columns), "condicion via", "#", "", " ", "--", "galaxy", "zz"]))
+    df = config.bind_names(spark.createDataFrame([(n,) for n in spoken], "name string"), spark.createDataFrame([(c,) for c in columns], "column string").coalesce(1))
+    assert {r["name"]: (r["column"], r["tier"]) for r in df.collect()} == _bound(spoken, columns)
+
+
+def test_names_are_found_through_the_dictionary(spark):
+    columns = spark.createDataFrame([("Shift ID",), ("Pit Position (zone)",), ("Operator ID",), (None,)], "column string").coalesce(1)
+    entries = [("Shift ID", "shift_key", "Turno de trabajo"), ("Pit Position", "segment", "Segmento o ubicación en la vía"), ("Operator ID", None, None), ("Not there", "ghost", "Nada"), (None, "operator", "Persona que opera")]
+    dictionary = spark.createDataFrame(entries, "column string, variable_key string, description string").coalesce(1)
+    spoken = spark.createDataFrame([(n,) for n in ("segment", "ubicacion", "turno", "shift", "position", "ghost", "via segmento", "persona", None, "")], "name string")
+    got = {r["name"]: (r["column"], r["tier"]) for r in config.bind_names(spoken, columns, dictionary).collect()}
+    pit = "Pit Position (zone)"
+    assert got == {"segment": (pit, 7), "ubicacion": (pit, 8), "turno": ("Shift ID", 8), "shift": ("Shift ID", 2), "position": (pit, 6), "ghost": (None, None), "via segmento": (pit, 9), "persona": ("Operator ID", 8), None: (None, None), "": (None, None)}
+    assert config.bind_names(spoken.limit(0), columns, dictionary).count() == 0
+    assert {r["tier"] for r in config.bind_names(spoken, columns.limit(0)).collect()} == {None}
