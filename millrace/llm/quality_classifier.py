@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm.quality_rules import document_counts
 from millrace.llm.statistics import COUNTS, text_counts
 from millrace.llm.text import WordHashes, each, texts
+from millrace.llm.work import discard, stored
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -122,23 +123,41 @@ def held_out(folds: int = 5) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 20_000, max_unlabelled: int = 20_000, seed: int = 10) -> QualityModel | None:
-    """Fit on rows outside the held-out fold.
-
-    Up to `max_positive` trusted positives and about `max_unlabelled` other texts
-    teach, taken by hash of doc_id: both bounds hold at every size of the tables,
-    so the sample may be broadcast and gathered. Negative labels are not used, the
-    class prior is estimated without them too.
+    """Fit on texts of rows outside the held-out fold.
+
+    At most `max_positive` trusted positives and `max_unlabelled` other texts teach, those of
+    the least hashes of the text. Equal texts teach once, whatever their ids (null too), and
+    an id's texts each: so both bounds hold at every size of the tables, and no repeated id or
+    text takes the place of others. Trusted are the texts of up to `max_positive` positive
+    ids. Negative labels are not used, the class prior is estimated without them too, among
+    different texts.
     """
     taught = labels.where(~held_out(folds)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    trusted = taught.where("quality = 1").orderBy(order, "doc_id").limit(max_positive).select(F.col("doc_id").alias("trusted_id"))
-    parts = max(1, docs.count() // max_unlabelled)
-    drawn = docs.where(~held_out(folds)).select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
-    chosen = drawn.withColumn("trusted", F.col("trusted_id").isNotNull()).withColumn("other", F.pmod(order, F.lit(parts)) == 0).where("trusted OR other")
-    # In one order, so that reruns fit the same model.
-    sample = document_counts(chosen, "trusted", "other").toPandas().sort_values(list(COUNTS), ignore_index=True)
-    counts = sample[list(COUNTS)].to_numpy()
-    positive, unlabelled = counts[sample["trusted"].to_numpy(bool)], counts[sample["other"].to_numpy(bool)]
+    trusted = taught.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_positive).select(F.col("doc_id").alias("trusted_id"))
+    order = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed))
+    drawn = docs.where(~held_out(folds)).select("doc_id", "text", order.alias("hash")).join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
+
+    def sample(parts: int) -> DataFrame:
+        """A row a text: of trusted ids, and one of `parts` texts."""
+        chosen = drawn.withColumn("other", F.pmod("hash", F.lit(parts)) == 0).where("trusted OR other")
+        counted = document_counts(chosen, "hash", "trusted", "other")
+        once = counted.groupBy("hash").agg(F.bool_or("trusted").alias("trusted"), F.bool_or("other").alias("other"), *(F.max(c).alias(c) for c in COUNTS))
+        return stored(once, "quality-sample")
+
+    # Twice the texts that are needed; if many are equal, more parts of them are looked at.
+    parts = max(1, docs.count() // (2 * max_unlabelled))
+    found = sample(parts)
+    while parts > 1 and found.where("other").count() < max_unlabelled:
+        discard(found)
+        parts //= 4
+        found = sample(max(1, parts))
+
+    def least(side: str, most: int) -> np.ndarray:
+        return found.where(side).orderBy("hash").limit(most).select(*COUNTS).toPandas().to_numpy()
+
+    # In the order of hashes, so that reruns fit the same model.
+    positive, unlabelled = least("trusted", max_positive), least("other", max_unlabelled)
+    discard(found)
     if not len(positive) or not len(unlabelled):
         return None
     return fit_positive_unlabelled(positive, unlabelled, estimate_prior(positive, unlabelled))

@@ -122,8 +122,9 @@ def lexical_features(parts: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(featured: DataFrame, folds: int) -> DataFrame:
-    """Rows (suffix, fold, blocked, seen): labelled URLs by host suffix and fold."""
-    return featured.groupBy("suffix", _fold(folds).alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"))
+    """Rows (suffix, fold, blocked, seen, urls): labelled URLs by host suffix and fold. A URL
+    has one suffix and one fold, so the numbers of different URLs (about) add up."""
+    return featured.groupBy("suffix", _fold(folds).alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"), F.approx_count_distinct(F.coalesce("url", F.lit(""))).alias("urls"))
 
 
 def _fold(folds: int) -> Column:
@@ -154,14 +155,14 @@ def train_url_model(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12
 
     The trees see at most `max_rows` different URLs, those of the least hashes: the
     bound on this sample does not depend on the input, nor on how often a URL is
-    repeated. Suffix statistics cover all labelled rows; a URL of the sample is given
+    repeated: URLs are counted and drawn as different ones. Suffix statistics cover all labelled rows; a URL of the sample is given
     those of the other folds, so that no label is seen by its own feature. Without
     any labelled row there is no model (None).
     """
     featured = lexical_features(labelled)
     by_fold = stored(suffix_statistics(featured, folds), "url-folds")
-    total = by_fold.agg(F.sum("seen")).first()[0]
-    if not total:
+    different = by_fold.agg(F.sum("urls")).first()[0]
+    if not different:
         return None
     whole = Window.partitionBy("suffix")
     others = by_fold.select("suffix", "fold", *_smoothed(F.sum("blocked").over(whole) - F.col("blocked"), F.sum("seen").over(whole) - F.col("seen")))
@@ -174,10 +175,13 @@ def train_url_model(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12
         once = rows.dropDuplicates(["url", "label"]).orderBy(order, "url", "label").limit(max_rows)
         return stored(once.withColumn("fold", _fold(folds)).join(others, ["suffix", "fold"]).select(*inputs, "label"), "url-sample", rows=max_rows)
 
-    # Twice the share that is needed is sorted; if it happens to hold none, all is.
-    data = sample(min(1.0, 2 * max_rows / total))
-    if not data.take(1):
-        data = sample(1.0)
+    # Twice the share that is needed is sorted; if that happens to hold too few, more is.
+    share = min(1.0, 2 * max_rows / different)
+    data = sample(share)
+    while share < 1 and data.count() < max_rows:
+        discard(data)
+        share = min(1.0, 4 * share)
+        data = sample(share)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     classifier = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, cacheNodeIds=False).fit(assembler.transform(data).select("features", "label"))
     discard(by_fold, data)

@@ -86,3 +86,18 @@ def test_rows_without_id_and_long_texts(spark, documents, prose):
     assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
     again = {(r["doc_id"], r["score"]) for r in q.op10_quality_classifier(spark, sf).collect()}
     assert again == {(r["doc_id"], r["score"]) for r in rows}
+
+
+def test_bounds_are_of_texts_and_repeats_take_no_place(spark, monkeypatch):
+    shapes = []
+    monkeypatch.setattr(q, "estimate_prior", lambda p, u: 0.5)
+    monkeypatch.setattr(q, "fit_positive_unlabelled", lambda p, u, prior: shapes.append((len(p), len(u))))
+    free = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5][:1_200]
+    # One trusted id on 3 000 rows of as many texts; a third of all ids null; one text 3 000 times.
+    rows = [(free[0], f"hot {i}") for i in range(3_000)] + [(None, f"none {i}") for i in range(3_000)] + [(i, "the same") for i in free[:100] * 30] + [(i, f"text {i}") for i in free[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in free[:21]], "doc_id long, quality int")
+    for most in ((10, 1_000), (10_000, 100_000), (5_000, 300)):
+        q.train_quality(docs, labels, max_positive=most[0], max_unlabelled=most[1])
+    # Of 21 trusted ids: 3 000 texts, 20 texts of their own and the one they share.
+    assert shapes == [(10, 1_000), (3_021, 7_200), (3_021, 300)]

@@ -86,3 +86,21 @@ def test_entropy(spark):
 
     df = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "t string")
     assert [round(r[0], 6) for r in df.select(u._entropy(F.col("t"))).collect()] == [0.0, 0.0, 1.0, 2.0]
+
+
+def test_a_repeated_url_takes_no_other_urls_place(spark, monkeypatch):
+    seen = []
+
+    class Counting:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            seen.append(rows.count())
+
+    monkeypatch.setattr(u, "GBTClassifier", Counting)
+    one = spark.range(40_000).selectExpr("'https://hot.com/en/' AS url", "'hot.com' AS host", "'/en/' AS path", "1.0D AS label")
+    others = spark.range(400).selectExpr("concat('https://h', id, '.net/de/') AS url", "concat('h', id, '.net') AS host", "'/de/' AS path", "0.0D AS label")
+    for bound, want in ((20_000, 401), (401, 401), (100, 100), (1, 1)):
+        u.train_url_model(one.union(others), max_rows=bound)
+        assert seen.pop() == want
