@@ -109,3 +109,33 @@ def test_rows_beyond_the_header_and_a_broken_id(spark, tmp_path):
     assert zipfile.is_zipfile(tmp_path / "w.xlsx")
     found = intake.sheets_of(readers.read_rows(spark, str(tmp_path / "w.xlsx")))
     assert [c["name"] for c in found[0].columns] == ["Name", "Load", "col3"]
+
+
+def test_ranges_are_dealt_by_size_not_by_number(tmp_path, monkeypatch):
+    """As few tasks for many ranges or files as for few; each row once, and of each sheet
+    what lies before a task's first range is inflated only once a task."""
+    for k in range(9):
+        with open(tmp_path / f"b{k}.xlsx", "wb") as f:
+            write_workbook(f, [(f"S{k}-{j}", telemetry(150 + j, k)) for j in range(3)])
+    opened = []
+    rows_in = workbook.rows_in
+    monkeypatch.setattr(workbook, "rows_in", lambda stream, start, end: opened.append(start) or rows_in(stream, start, end))
+    want = {(f"S{k}-{j}", i) for k in range(9) for j in range(3) for i in range(151 + j)}
+    for size in (500, 5000, 1 << 26):
+        reader = workbook.WorkbookReader({"path": str(tmp_path), "rangeBytes": str(size), "tasks": "6"})
+        shares = reader.partitions()
+        opened.clear()
+        rows = [(r["sheet"], r["_row"]) for share in shares for b in reader.read(share) for r in b.to_pylist()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert 4 <= len(shares) <= 8 and len(opened) < 27 + len(shares)
+        assert size > 500 or any(opened)
+
+
+def test_small_files_are_planned_unopened(tmp_path, monkeypatch):
+    with open(tmp_path / "a.xlsx", "wb") as f:
+        write_workbook(f, [("Keep", [("A", "B"), ("x", 1)]), ("Leave", [("A", "B"), ("y", 2)])])
+    reader = workbook.WorkbookReader({"path": str(tmp_path), "sheets": "keep", "tasks": "4"})
+    with monkeypatch.context() as closed:
+        closed.setattr(workbook, "_book", lambda path: pytest.fail("opened"))
+        shares = reader.partitions()
+    assert [(r["sheet"], r["_row"], r["cells"]) for s in shares for b in reader.read(s) for r in b.to_pylist()] == [("Keep", 0, ["A", "B"]), ("Keep", 1, ["x", "1"])]
