@@ -84,10 +84,10 @@ def headers(rows: DataFrame, look: int = 12) -> DataFrame:
     return found.groupBy("sheet").agg(F.max_by(F.struct(F.col("_row").alias("at"), F.col("cells").alias("names")), F.struct(F.least("live", "below"), -F.col("_row"))).alias("h")).select("sheet", "h.at", "h.names")
 
 
-def with_header(rows: DataFrame, look: int = 12) -> DataFrame:
-    """Rows (sheet, _row, column, name, cell): cells under the header found. Cells beyond
-    it get names of their own."""
-    body = rows.join(headers(rows, look), "sheet").where(F.col("_row") > F.col("at"))
+def with_header(rows: DataFrame, look: int = 12, found: DataFrame | None = None) -> DataFrame:
+    """Rows (sheet, _row, column, name, cell): cells under the header found (`headers`,
+    where they are known). Cells beyond it get names of their own."""
+    body = rows.join(headers(rows, look) if found is None else found, "sheet").where(F.col("_row") > F.col("at"))
     cell = body.select("sheet", "_row", F.posexplode("cells").alias("column", "cell"), "names")
     name = F.coalesce(F.get("names", F.col("column")), F.concat(F.lit("col"), F.col("column") + 1))
     return cell.select("sheet", "_row", "column", name.alias("name"), "cell")

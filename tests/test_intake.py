@@ -139,3 +139,31 @@ def test_small_files_are_planned_unopened(tmp_path, monkeypatch):
         closed.setattr(workbook, "_book", lambda path: pytest.fail("opened"))
         shares = reader.partitions()
     assert [(r["sheet"], r["_row"], r["cells"]) for s in shares for b in reader.read(s) for r in b.to_pylist()] == [("Keep", 0, ["A", "B"]), ("Keep", 1, ["x", "1"])]
+
+
+def test_layouts_of_many_sheets_are_one_join(spark, tmp_path, monkeypatch):
+    """No sheet's name is in the plan of the facets, whatever the sheets look like; each
+    column is taken where its sheet has it, the first of one name."""
+    day = lambda i: f"2024-01-0{1 + i % 3}T00:00:{i:02d}"
+    sheets = []
+    for k in range(12):
+        names = [("At", "Kind", "Load"), ("Load", "At", "Kind"), ("Kind", "Load", "At", "Load"), ("Kind", "Extra", "At", "Load")][k % 4]
+        value = {"At": day, "Kind": lambda i: "ab"[i % 2], "Load": lambda i: float(i), "Extra": lambda i: 7.0}
+        rows = [[value[n](i) for n in names] for i in range(20)]
+        if k % 4 == 2:
+            for r in rows:
+                r[3] = 1000.0
+        sheets.append((f"Yard {k}", [names, *rows]))
+    sheets += [(f"Case {k}", [("Caso", "Inicio", "Fin"), (f"leak{k}", f"2024-01-0{2 + k}", f"2024-01-0{2 + k}T12:00:00")]) for k in range(2)]
+    with open(tmp_path / "yards.xlsx", "wb") as f:
+        write_workbook(f, sheets)
+    plans = []
+    facets_of = profile.profile
+    monkeypatch.setattr(intake.profile, "profile", lambda df, *a: plans.append(df._jdf.queryExecution().analyzed().toString()) or facets_of(df, *a))
+    facets = intake.profile_file(spark, str(tmp_path / "yards.xlsx"), "yards", str(tmp_path / "store"))
+    assert plans and "Yard" not in plans[0] and "Union" not in plans[0] and "Join" not in plans[0]
+    cells = {(r["value"], r["measure"]): r for r in facets["cells"].collect()}
+    held = {v: sum(i % 3 > 0 for i in range(20) if "ab"[i % 2] == v) for v in "ab"}
+    assert {k: (r["n"], r["mean"], r["ex_n"]) for k, r in cells.items()} == {("a", "Load"): (120, 9.0, 12 * held["a"]), ("b", "Load"): (120, 10.0, 12 * held["b"]), ("a", "Extra"): (30, 7.0, 3 * held["a"]), ("b", "Extra"): (30, 7.0, 3 * held["b"])}
+    told = {r["sheet"]: r for r in facets["sheets"].collect()}
+    assert facets["incidents"].count() == 2 and [s for s, r in told.items() if r["reference"]] and all(r["contributes"] == s.startswith("Yard") for s, r in told.items())
